@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, store
+from tessera.llm import bpe, fingerprint, langid, store
 from tessera.llm.workspace import documents
 
 
@@ -20,6 +20,10 @@ def pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(documents(spark, sf_dir))
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.store_and_check(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
@@ -28,8 +32,12 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), vocabulary("byte_bpe_multi_50k.tiktoken"), pattern())
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_token_store, op9_byte_bpe)}
+    return {f.__name__: f for f in (op2_fingerprints, op8_token_store, op9_byte_bpe, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
