@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, fingerprint, langid, store
+from tessera.llm import bpe, fingerprint, langid, neardup, store
 from tessera.llm.workspace import documents
 
 
@@ -24,6 +24,10 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(documents(spark, sf_dir))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir), k=4)
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.store_and_check(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
@@ -37,7 +41,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_fingerprints, op8_token_store, op9_byte_bpe, op10_language)}
+    return {f.__name__: f for f in (op2_fingerprints, op7_near_duplicates, op8_token_store, op9_byte_bpe, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
