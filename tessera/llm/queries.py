@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, fingerprint, langid, neardup, store
+from tessera.llm import bpe, decontam, fingerprint, langid, neardup, oracles, store
 from tessera.llm.workspace import documents
 
 
@@ -20,6 +20,10 @@ def pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(documents(spark, sf_dir))
 
@@ -41,8 +45,8 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_fingerprints, op7_near_duplicates, op8_token_store, op9_byte_bpe, op10_language)}
+    return {f.__name__: f for f in (op1_decontamination, op2_fingerprints, op7_near_duplicates, op8_token_store, op9_byte_bpe, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_decontamination": oracles.OP1, "op7_near_duplicates": oracles.OP7}
