@@ -3,8 +3,9 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontam, fingerprint, langid, neardup, oracles, store
+from tessera.llm import bpe, decontam, fingerprint, langid, neardup, oracles, store, suffix
 from tessera.llm.workspace import documents
 
 
@@ -28,6 +29,11 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(documents(spark, sf_dir))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = F.expr("aggregate(spans, 0L, (a, s) -> a + s.stop - s.start)").alias("n_removed")
+    return suffix.substring_dedup(documents(spark, sf_dir)).select("doc_id", "n_bytes", removed, F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir), k=4)
 
@@ -45,7 +51,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_fingerprints, op7_near_duplicates, op8_token_store, op9_byte_bpe, op10_language)}
+    return {f.__name__: f for f in (op1_decontamination, op2_fingerprints, op5_substring_dedup, op7_near_duplicates, op8_token_store, op9_byte_bpe, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -27,8 +27,8 @@ from tessera.llm.workspace import parts, workdir
 
 DIGEST = 16
 WINDOW = 8
-#: One id in 128 ends a chunk; a chunk has 1024 ids at most.
-CUT_BITS, LONGEST = 7, 1024
+#: One id in 256 ends a chunk; a chunk has 2048 ids at most.
+CUT_BITS, LONGEST = 8, 2048
 
 
 def digest(data: bytes) -> bytes:
@@ -73,10 +73,10 @@ def tokenizer(path: str) -> SegmentEncoder:
         size[i] = len(token)  # byte-level: one character for each byte
 
     def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [np.array(e.ids, np.uint32) for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = [np.array(tok.encode(t, add_special_tokens=False).ids, np.uint32) for t in texts]  # one block's encoding in memory at a time
         return np.concatenate(ids), np.array([len(x) for x in ids], np.int64)
 
-    return SegmentEncoder(encode, size)
+    return SegmentEncoder(encode, size, most=1_500_000)
 
 
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0) -> None:
@@ -93,7 +93,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0) -> None:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spell, sent, press = tokenizer(vocabulary), set(), zstandard.ZstdCompressor(3)
         wide = "<u4" if len(spell.id_bytes) > 1 << 16 else "<u2"
-        for rows, buf, offs in slices(batches):
+        for rows, buf, offs in slices(batches, limit=2 << 20):
             ids, at = spell(buf, offs)
             ids, at = np.insert(ids, at[1:], end_id), at + np.arange(len(at))
             raw = memoryview(ids.astype(wide).tobytes())
