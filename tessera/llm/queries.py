@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontam, fingerprint, langid, neardup, oracles, store, suffix
+from tessera.llm import bpe, decontam, fingerprint, langid, neardup, oracles, store, suffix, windows
 from tessera.llm.workspace import documents
 
 
@@ -34,6 +34,11 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.substring_dedup(documents(spark, sf_dir)).select("doc_id", "n_bytes", removed, F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = F.expr("aggregate(spans, 0L, (a, s) -> a + s.last_word - s.first_word)").alias("n_removed_words")
+    return windows.passage_dedup(documents(spark, sf_dir)).select("doc_id", "n_words", F.size("spans").cast("long").alias("n_spans"), removed, "spans", "partners", F.sha2("deduped", 256).alias("deduped_sha256"))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir), k=4)
 
@@ -51,7 +56,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_fingerprints, op5_substring_dedup, op7_near_duplicates, op8_token_store, op9_byte_bpe, op10_language)}
+    return {f.__name__: f for f in (op1_decontamination, op2_fingerprints, op5_substring_dedup, op6_passage_dedup, op7_near_duplicates, op8_token_store, op9_byte_bpe, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
