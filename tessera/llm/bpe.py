@@ -183,8 +183,11 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: every text encoded, and the ids decoded again."""
+def round_trip(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: every text encoded, and the ids decoded again; ``ids`` last if kept.
+
+    Null and empty texts give no ids and the digests of nothing.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spell, ranks = encoder(path, pattern), load(path, pattern)
@@ -195,6 +198,9 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             raw, pos = memoryview(ids.astype("<u4").tobytes()), (at * 4).tolist()
             view = memoryview(text)
             digest = lambda v, p: pa.array([hashlib.sha256(v[a:b]).hexdigest() for a, b in zip(p, p[1:])], pa.string())
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.diff(at)), digest(raw, pos), digest(view, upto)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            cols = {"doc_id": rows.column("doc_id"), "n_tokens": pa.array(np.diff(at)), "ids_sha256": digest(raw, pos), "decoded_sha256": digest(view, upto)}
+            if keep_ids:
+                cols["ids"] = pa.array([bytes(raw[a:b]) for a, b in zip(pos, pos[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([*cols.values()], [*cols])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids)
