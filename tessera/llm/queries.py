@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, crf, decontam, fingerprint, langid, neardup, oracles, store, suffix, windows
+from tessera.llm import bpe, crf, decontam, fingerprint, hpy, langid, neardup, oracles, store, suffix, windows
 from tessera.llm.workspace import documents
 
 
@@ -29,6 +29,10 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(documents(spark, sf_dir))
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpy.scores(documents(spark, sf_dir))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf.quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -60,7 +64,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_fingerprints, op4_quality, op5_substring_dedup, op6_passage_dedup, op7_near_duplicates, op8_token_store, op9_byte_bpe, op10_language)}
+    return {f.__name__: f for f in (op1_decontamination, op2_fingerprints, op3_language_model, op4_quality, op5_substring_dedup, op6_passage_dedup, op7_near_duplicates, op8_token_store, op9_byte_bpe, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
