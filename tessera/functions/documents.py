@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf, udtf
+from pyspark.sql.types import IntegerType, StringType, StructType
 
 #: Headings that begin references and acknowledgments.
 REFERENCE_HEADINGS = [r"(?im)^\s*(?:\d+\.?\s*)?references\s*$", r"(?im)^\s*bibliography\s*$", r"(?im)^\s*works cited\s*$"]
@@ -82,14 +83,14 @@ def without_references(text: Column) -> Column:
     out = text
     for pattern in reversed(REFERENCE_HEADINGS):
         at = F.regexp_instr(text, F.lit(pattern))
-        out = F.when(at > 0.7 * F.length(text), F.rtrim(F.substring(text, F.lit(1), at - 1))).otherwise(out)
+        out = F.when(at > 0.7 * F.length(text), F.regexp_replace(F.substring(text, F.lit(1), at - 1), r"\s+$", "")).otherwise(out)
     return out
 
 
 def without_acknowledgments(text: Column) -> Column:
     """Text without the section of acknowledgments: to the next heading line, or to the end after 80 %."""
     at = F.regexp_instr(text, F.lit(ACKNOWLEDGMENTS))
-    late = F.when(at > 0.8 * F.length(text), F.rtrim(F.substring(text, F.lit(1), at - 1)))
+    late = F.when(at > 0.8 * F.length(text), F.regexp_replace(F.substring(text, F.lit(1), at - 1), r"\s+$", ""))
     inner = F.regexp_replace(text, r"(?ims)^\s*acknowledge?ments?\s*$.*?(?=^[A-Z][^\n]{0,60}$|\z)", "")
     return F.when(at > 0, F.coalesce(late, inner)).otherwise(text)
 
@@ -103,7 +104,7 @@ def slug(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(name, r"[^\w\s.-]", ""), r"\s+", "_")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Unicode normal form KC without control characters."""
     return text.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKC", t) if c in "\n\t" or unicodedata.category(c) != "Cc"))
@@ -151,7 +152,7 @@ def markdown(caption: str, rows: list[list[str]]) -> str:
     return "\n".join([f"**{caption}**", "", line(full[0]), "|" + " --- |" * width, *map(line, full[1:])])
 
 
-@udtf(returnType="caption: string, n_rows: int, n_columns: int, markdown: string")
+@udtf(returnType=StructType().add("caption", StringType()).add("n_rows", IntegerType()).add("n_columns", IntegerType()).add("markdown", StringType()))
 class DetectTables:
     def eval(self, text: str) -> Iterator[tuple]:
         for caption, rows in find_tables(text):

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructType
 
 #: English stop words for token likeness.
 STOP_WORDS = ["a", "an", "and", "are", "as", "at", "by", "for", "in", "is", "it", "of", "on", "or", "that", "the", "to", "was", "were", "with"]
@@ -42,7 +43,7 @@ def ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a or "", b or "").ratio()
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)])
 
@@ -75,7 +76,7 @@ def ground(excerpt: str, source: str, low: str | None = None) -> tuple[str, int,
     return "not_found", -1, -1
 
 
-@pandas_udf("struct<status: string, char_start: int, char_end: int>")
+@pandas_udf(StructType().add("status", StringType()).add("char_start", IntegerType()).add("char_end", IntegerType()))
 def ground_udf(excerpt: pd.Series, source: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([ground(e, s) for e, s in zip(excerpt, source, strict=True)], columns=["status", "char_start", "char_end"])
 

@@ -74,10 +74,10 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root"))
     for _ in range(rounds):
         near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        jump = labels.select(F.col("node").alias("root"), F.col("root").alias("far"))
-        nxt = labels.join(near, "node").join(jump, "root", "left").select("node", F.least("root", "near", F.coalesce("far", "root")).alias("root"))
+        jump = labels.selectExpr("node AS root", "root AS far")
+        nxt = labels.join(near, "node").join(jump, "root", "left").selectExpr("node", "least(root, near, coalesce(far, root)) AS root")
         nxt = nxt.checkpoint() if both.sparkSession.sparkContext.getCheckpointDir() else nxt.persist()
-        if not nxt.join(labels, "node").where(nxt.root != labels.root).limit(1).count():
+        if nxt.join(labels.withColumnRenamed("root", "was"), "node").where("root <> was").isEmpty():
             return nxt
         labels = nxt
     return labels
