@@ -45,12 +45,14 @@ def missing_embeddings(passages: DataFrame, store: DataFrame) -> DataFrame:
 class HashingRetriever:
     """Offline stand-in for an embedder: words hashed to a few hundred counters."""
 
-    def __init__(self, dim: int = 256):
+    def __init__(self, dim: int = 509):
         self.dim = dim
 
-    def embed(self, text: Column) -> Column:
-        slots = F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"\w+"), 0), lambda w: F.pmod(F.xxhash64(w), F.lit(self.dim)).cast("int"))
-        return F.transform(F.sequence(F.lit(0), F.lit(self.dim - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("float"))
+    def embed(self, passages: DataFrame, text: str, name: str) -> DataFrame:
+        slots = F.expr(f"transform(regexp_extract_all(lower({text}), '[a-z0-9]+', 0), w -> pmod(xxhash64(w), {self.dim}L))")
+        count = F.expr(f"transform(sequence(0L, {self.dim - 1}L), n -> cast(size(filter(_slots, s -> s = n)) as float))")
+        return passages.withColumn("_slots", slots).withColumn(name, count).drop("_slots")
 
     def query(self, passages: DataFrame, question: str, k: int) -> DataFrame:
-        return top_k(scored(passages.withColumn("_v", self.embed(F.col("text"))), "_v", self.embed(F.lit(question))).drop("_v"), "doc_id", "pos", k)
+        both = self.embed(self.embed(passages.withColumn("_q", F.lit(question)), "text", "_v"), "_q", "_w")
+        return top_k(scored(both, "_v", F.col("_w")).drop("_v", "_w", "_q"), "doc_id", "pos", k)

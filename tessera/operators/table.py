@@ -19,7 +19,7 @@ def sort_keys(name: str, kind: str, descending: bool = False, dialect: str = "se
     place = empty.desc() if dialect == "ui" and descending else empty.asc()
     if kind in NUMERIC or kind in ("timestamp", "date"):
         return [place, col.desc_nulls_last() if descending else col.asc_nulls_last()]
-    num, low = number(col), F.lower(col)
+    num, low = number(col), F.when(~empty, F.lower(col))  # all empty cells are equal
     if descending:
         return [place, num.isNull().asc(), num.desc_nulls_last(), low.desc_nulls_last()]
     return [place, num.isNull().asc(), num.asc_nulls_last(), low.asc_nulls_last()]
