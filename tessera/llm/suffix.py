@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.packed import BLOBS, blob_rows, by_bucket, unpack
+from tessera.llm.packed import BLOBS, blob_rows, by_bucket, inflated, squeezed, unpack
 from tessera.llm.textcore import BYTE, STEP, mix, ragged, slices
 from tessera.llm.workspace import parts
 
@@ -27,8 +27,10 @@ LENGTH = 100
 GRAM = 32
 #: Contexts in a shard, in bytes.
 SHARD = 4 << 20
-#: Records of one anchor from which its windows are dealt by more of their bytes.
-HOT = 2048
+#: Records of one anchor from which its windows are dealt by more of their bytes: the MOST_HOT anchors of most records, as
+#: the list goes to every task. An anchor counts where a task has FREQUENT records of it or more, so one that is not found
+#: hot brings fewer than FREQUENT contexts from each task.
+HOT, MOST_HOT, FREQUENT = 2048, 100_000, 8
 #: Records a task holds before it sends them.
 HELD = 1_000_000
 LANES = 4096
@@ -71,7 +73,7 @@ def anchors(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH) -> tuple[np
 def words8(buf: np.ndarray) -> np.ndarray:
     """The 8 bytes from each position as a big-endian number; zeros beyond the end."""
     out = np.zeros(len(buf), np.uint64)
-    for j in range(8):
+    for j in range(min(8, len(buf))):
         out[: len(buf) - j] |= buf[j:].astype(np.uint64) << np.uint64(56 - 8 * j)
     return out
 
@@ -208,7 +210,7 @@ def _span_batch(doc, start, stop) -> pa.RecordBatch:
 
 
 def shared_anchors(docs: DataFrame, length: int) -> DataFrame:
-    """anchor, doc_id, start, n, hot of the records whose anchor has another record."""
+    """anchor, doc_id, start, n of the records whose anchor has another record."""
     buckets = 4 * parts(docs.sparkSession)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,8 +230,7 @@ def shared_anchors(docs: DataFrame, length: int) -> DataFrame:
             keep = np.sort(first)
             yield blob_rows([*by_bucket((a[keep] % np.uint64(buckets)).astype(np.int64), [a[keep], doc[keep], p[keep], n[keep], count[keep]])], 0)
             if len(rest):
-                lot = np.repeat(times > HOT, times)[~head].astype(np.int32)
-                yield blob_rows([*by_bucket(doc[rest] % buckets, [a[rest], doc[rest], p[rest], n[rest], lot])], 1)
+                yield blob_rows([*by_bucket(doc[rest] % buckets, [a[rest], doc[rest], p[rest], n[rest], n[rest]])], 1)
 
         for rows, buf, offs in slices(batches):
             a, doc, p, n = anchors(buf, offs, length)
@@ -249,33 +250,59 @@ def shared_anchors(docs: DataFrame, length: int) -> DataFrame:
                 if kind == 0:
                     asked.setdefault(bucket, []).append(found)
                 else:
-                    yield rows(*found[:4], found[4] > 0)
+                    yield rows(*found[:4])
         for found in asked.values():
             a, doc, p, n, count = (np.concatenate(x) for x in zip(*found, strict=True))
             _, which, = np.unique(a, return_inverse=True)
             total = np.bincount(which, count)[which]
             keep = total > 1
             if keep.any():
-                yield rows(a[keep], doc[keep], p[keep], n[keep], total[keep] > HOT)
+                yield rows(a[keep], doc[keep], p[keep], n[keep])
 
-    def rows(a, doc, p, n, hot) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(doc), pa.array(p, pa.int32()), pa.array(n, pa.int32()), pa.array(hot, pa.bool_())], ["anchor", "doc_id", "start", "n", "hot"])
+    def rows(a, doc, p, n) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(doc), pa.array(p, pa.int32()), pa.array(n, pa.int32())], ["anchor", "doc_id", "start", "n"])
 
     sent = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(send, BLOBS)
-    return sent.repartition(parts(docs.sparkSession), "bucket").mapInArrow(ask, "anchor long, doc_id long, start int, n int, hot boolean")
+    return sent.repartition(parts(docs.sparkSession), "bucket").mapInArrow(ask, "anchor long, doc_id long, start int, n int")
+
+
+def hot_anchors(docs: DataFrame, length: int) -> np.ndarray:
+    """Anchors of more than HOT records; MOST_HOT at most, as these go to every task."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            a, times = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            keep = times >= FREQUENT
+            return pa.RecordBatch.from_arrays([pa.array(a[keep].view(np.int64)), pa.array(times[keep].astype(np.int64))], ["anchor", "times"])
+
+        for _, buf, offs in slices(batches):
+            held.append(anchors(buf, offs, length)[0])
+            if sum(map(len, held)) > HELD:
+                yield flush()
+        if held:
+            yield flush()
+
+    sums = docs.select("text").where("text is not null").mapInArrow(count, "anchor long, times long").groupBy("anchor").agg(F.sum("times").alias("times"))
+    found = sums.where(F.col("times") > HOT).orderBy(F.desc("times"), "anchor").limit(MOST_HOT).collect()
+    return np.sort(np.array([r.anchor for r in found], np.int64).view(np.uint64))
 
 
 def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, start, stop of runs of bytes to remove; runs of one document may overlap."""
     buckets = 4 * parts(docs.sparkSession)
-    per_doc = shared_anchors(docs, length).groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "n", "hot")).alias("r"))
-    found = docs.select("doc_id", "text").join(per_doc, "doc_id").select("doc_id", "text", *(F.col(f"r.{c}").alias(c) for c in ("anchor", "start", "n", "hot")))
+    often = hot_anchors(docs, length)
+    per_doc = shared_anchors(docs, length).groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("r"))
+    found = squeezed(docs).join(per_doc.hint("merge"), "doc_id").select("doc_id", "z", *(F.col(f"r.{c}").alias(c) for c in ("anchor", "start", "n")))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = lambda b, c: b.column(c).flatten().to_numpy(zero_copy_only=False)
-        for b, buf, offs in slices(batches):
+        for b, buf, offs in slices(inflated(batches)):
             counts = b.column("anchor").value_lengths().to_numpy()
-            a, p, n, hot = flat(b, "anchor").view(np.uint64), flat(b, "start").astype(np.int64), flat(b, "n").astype(np.int64), flat(b, "hot")
+            a, p, n = flat(b, "anchor").view(np.uint64), flat(b, "start").astype(np.int64), flat(b, "n").astype(np.int64)
+            hot = np.isin(a, often) if len(often) else np.zeros(len(a), bool)
             row = np.repeat(np.arange(b.num_rows), counts)
             if hot.any():
                 a, p, n, row = _deal(a, p, n, row, hot, buf, offs, length)
@@ -395,7 +422,7 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-        for b, buf, offs in slices(batches):
+        for b, buf, offs in slices(inflated(batches)):
             size, spans_, kept = [], [], []
             for i, s in enumerate(b.column("s").to_pylist()):
                 own, runs = buf[offs[i] : offs[i + 1]], []
@@ -410,4 +437,4 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 spans_.append([{"start": x, "stop": y} for x, y in runs])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int64()), pa.array(spans_, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
-    return docs.select("doc_id", "text").join(spans, "doc_id", "left").mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary")
+    return squeezed(docs).join(spans.hint("merge"), "doc_id", "left").mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary")
