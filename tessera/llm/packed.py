@@ -5,6 +5,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 
 def pack(arrays: list[np.ndarray]) -> bytes:
@@ -42,3 +44,27 @@ def blob_rows(rows: list[tuple[int, bytes]], kind: int) -> pa.RecordBatch:
 
 
 BLOBS = "bucket int, kind int, data binary"
+
+
+def squeezed(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """``columns`` (doc_id alone unless given) and z: texts compressed one by one, for a shuffle that moves whole texts."""
+    plain = docs.select(*(columns or ["doc_id"]), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(1).compress
+        for b in batches:
+            z = pa.array([None if t is None else press(t.encode()) for t in b.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], z], [*b.schema.names[:-1], "z"])
+
+    return plain.mapInArrow(run, StructType(plain.schema.fields[:-1]).add("z", "binary"))
+
+
+def inflated(batches: Iterator[pa.RecordBatch], rows: int = 2000, kind: pa.DataType | None = None) -> Iterator[pa.RecordBatch]:
+    """Batches with the texts of column ``z`` in ``text``, as bytes unless ``kind`` is given."""
+    open_ = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            b = batch.slice(i, rows)
+            keep = [c for c in b.schema.names if c != "z"]
+            text = pa.array([None if z is None else open_(z) for z in b.column("z").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), text.cast(kind) if kind else text], [*keep, "text"])
