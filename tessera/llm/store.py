@@ -76,7 +76,7 @@ def tokenizer(path: str) -> SegmentEncoder:
         ids = [np.array(tok.encode(t, add_special_tokens=False).ids, np.uint32) for t in texts]  # one block's encoding in memory at a time
         return np.concatenate(ids), np.array([len(x) for x in ids], np.int64)
 
-    return SegmentEncoder(encode, size, most=1_500_000)
+    return SegmentEncoder(encode, size, most=600_000)
 
 
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0) -> None:
@@ -107,7 +107,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0) -> None:
                 if name not in sent:
                     sent.add(name)
                     held.setdefault(int.from_bytes(name[:4], "little") % buckets, []).append(i)
-            if len(sent) > 200_000:
+            if len(sent) > 100_000:
                 sent = set()  # chunks sent again are dropped in their bucket
             blobs = [press.compress(b"".join(names[i] + int(ends[i] - begin[i]).to_bytes(2, "little") for i in own) + b"".join(raw[begin[i] * width : ends[i] * width] for i in own)) for own in held.values()]
             yield pa.RecordBatch.from_arrays([pa.array([*held], pa.int32()), pa.array([True] * len(held), pa.bool_()), pa.nulls(len(held), pa.int64()), pa.array([len(v) for v in held.values()], pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "chunk", "doc_id", "n", "data"])
@@ -118,21 +118,17 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0) -> None:
     def keep_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         open_ = zstandard.ZstdDecompressor()
-        width = 4 if len(tokenizer(vocabulary).id_bytes) > 1 << 16 else 2
         for b in batches:
             kind, name, n, data = [], [], [], []
             for chunk, doc, count, blob in zip(b.column("chunk").to_pylist(), b.column("doc_id").to_pylist(), b.column("n").to_pylist(), b.column("data").to_pylist(), strict=True):
                 if not chunk:
                     kind.append("recipe"), name.append(doc), n.append(count), data.append(blob)
                     continue
-                raw, fresh, at = open_.decompress(blob), [], count * (DIGEST + 2)
-                for i in range(count):
-                    key = raw[i * (DIGEST + 2) : (i + 1) * (DIGEST + 2)]
-                    size = int.from_bytes(key[DIGEST:], "little") * width
+                fresh = []
+                for key, ids in _split(open_.decompress(blob), count):
                     if key[:DIGEST] not in seen:
                         seen.add(key[:DIGEST])
-                        fresh.append((key, raw[at : at + size]))
-                    at += size
+                        fresh.append((key, ids))
                 if fresh:
                     kind.append("chunks"), name.append(None), n.append(len(fresh)), data.append(b"".join(k for k, _ in fresh) + b"".join(v for _, v in fresh))
             yield pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(name, pa.int64()), pa.array(n, pa.int64()), pa.array(data, pa.binary())], ["kind", "doc_id", "n", "data"])
@@ -143,6 +139,18 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0) -> None:
     _recipes(spark, path)
 
 
+def _split(raw: bytes, count: int) -> Iterator[tuple[bytes, bytes]]:
+    """Digest with size, and ids, of each chunk of a blob."""
+    keys = [raw[i : i + DIGEST + 2] for i in range(0, count * (DIGEST + 2), DIGEST + 2)]
+    sizes = [int.from_bytes(k[DIGEST:], "little") for k in keys]
+    at = count * (DIGEST + 2)
+    width = (len(raw) - at) // max(1, sum(sizes))
+    for key, size in zip(keys, sizes, strict=True):
+        ids = raw[at : at + size * width]
+        at += size * width
+        yield key, ids
+
+
 def _objects(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return spark.read.schema("doc_id long, n long, data binary, kind string").parquet(f"{path}/objects").where(F.col("kind") == kind).drop("kind")
 
@@ -231,23 +239,25 @@ def _shift(n_bytes: int) -> np.ndarray:
     return out
 
 
+def _stored(b: pa.RecordBatch) -> Iterator[list[tuple[bytes, np.ndarray]]]:
+    """Digest and ids of the chunks of each row, verified."""
+    for count, raw in zip(b.column("n").to_pylist(), b.column("data").to_pylist(), strict=True):
+        out = []
+        wide = (len(raw) - count * (DIGEST + 2)) // max(1, sum(int.from_bytes(raw[i + DIGEST : i + DIGEST + 2], "little") for i in range(0, count * (DIGEST + 2), DIGEST + 2)))
+        for key, ids in _split(raw, count):
+            if digest(ids) != key[:DIGEST]:
+                raise ValueError(f"chunk {key[:DIGEST].hex()} is damaged")
+            out.append((key[:DIGEST], np.frombuffer(ids, f"<u{wide}").astype("<u4")))
+        yield out
+
+
 def chunks(spark: SparkSession, path: str) -> DataFrame:
     """digest, n, ids (little-endian unsigned 32-bit) of every stored chunk, read from the files; a chunk that is not what its digest names raises."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for count, raw in zip(b.column("n").to_pylist(), b.column("data").to_pylist(), strict=True):
-                heads = [raw[i * (DIGEST + 2) : (i + 1) * (DIGEST + 2)] for i in range(count)]
-                sizes = [int.from_bytes(h[DIGEST:], "little") for h in heads]
-                at, out = count * (DIGEST + 2), []
-                width = (len(raw) - at) // max(1, sum(sizes))
-                for h, s in zip(heads, sizes, strict=True):
-                    ids = raw[at : at + s * width]
-                    if digest(ids) != h[:DIGEST]:
-                        raise ValueError(f"chunk {h[:DIGEST].hex()} is damaged")
-                    out.append(np.frombuffer(ids, f"<u{width}").astype("<u4").tobytes())
-                    at += s * width
-                yield pa.RecordBatch.from_arrays([pa.array([h[:DIGEST] for h in heads], pa.binary()), pa.array(sizes, pa.int32()), pa.array(out, pa.binary())], ["digest", "n", "ids"])
+            for found in _stored(b):
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.binary()), pa.array([len(x) for _, x in found], pa.int32()), pa.array([x.tobytes() for _, x in found], pa.binary())], ["digest", "n", "ids"])
 
     return _objects(spark, path, "chunks").mapInArrow(read, "digest binary, n int, ids binary")
 
@@ -271,7 +281,8 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("digest"), b.column("n"), pa.array([zlib.crc32(x) for x in b.column("ids").to_pylist()], pa.int64())], ["digest", "n", "crc"])
+            for found in _stored(b):
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.binary()), pa.array([len(x) for _, x in found], pa.int32()), pa.array([zlib.crc32(x) for _, x in found], pa.int64())], ["digest", "n", "crc"])
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -285,7 +296,7 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
             total = [sum(x) for x in ns]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), pa.array(total, pa.int64()), pa.array(acc.astype(np.int64))], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    small = chunks(spark, path).mapInArrow(sums, "digest binary, n int, crc long")
+    small = _objects(spark, path, "chunks").mapInArrow(sums, "digest binary, n int, crc long")
     whole = _pieces(spark, path).join(small, "digest").groupBy("doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("seq", "n", "crc"))).alias("of"))
     return whole.select("doc_id", "start", F.col("of.n").alias("ns"), F.col("of.crc").alias("crcs")).mapInArrow(fold, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
