@@ -113,7 +113,7 @@ def _(nation):
     return catalog.changes(base.where("n_regionkey <> 0"), new)
 
 
-@query("jon_17_model_price", "supplier", "SELECT s_name AS model, CASE WHEN s_suppkey % 2 = 0 THEN s_acctbal ELSE 1.0 END AS price_in, CASE WHEN s_suppkey % 2 = 0 THEN 2.0 ELSE 3.0 END AS price_out FROM supplier")
+@query("jon_17_model_price", "supplier", "SELECT s_name AS model, CASE WHEN s_suppkey % 2 = 0 THEN s_acctbal ELSE 1.0 END AS price_in, CASE WHEN s_suppkey % 2 = 0 THEN 2::DOUBLE ELSE 3::DOUBLE END AS price_out FROM supplier")
 def _(supplier):
     from tessera.operators.cost import price_of
 
@@ -290,7 +290,7 @@ def _(documents):
     return documents.select("doc_id", F.left(F.md5("text"), F.lit(16)).alias("key"))
 
 
-@query("fn_08_ranges", "part", "SELECT p_partkey, -10.0 AS low, p_size::DOUBLE AS high FROM part")
+@query("fn_08_ranges", "part", "SELECT p_partkey, (-10)::DOUBLE AS low, p_size::DOUBLE AS high FROM part")
 def _(part):
     text = F.concat(F.lit("-10-"), F.col("p_size").cast("string"))
     part_ = lambda i: F.regexp_extract(text, r"^(-?\d+(?:\.\d+)?)-(-?\d+(?:\.\d+)?)$", i).try_cast("double")

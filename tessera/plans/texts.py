@@ -160,7 +160,7 @@ def _(part):
     return part.select("p_partkey", got["match"].alias("match"), F.round(got["similarity"], 6).alias("similarity"))
 
 
-@query("sim_16_value_similarity", "part", "SELECT p_partkey, CASE WHEN lower(trim(p_name)) = lower(trim(p_type)) THEN 1.0 WHEN contains(lower(p_name), lower(split_part(p_name, ' ', 1))) THEN 0.7 ELSE 0.0 END AS score FROM part")
+@query("sim_16_value_similarity", "part", "SELECT p_partkey, CASE WHEN lower(trim(p_name)) = lower(trim(p_type)) THEN 1::DOUBLE WHEN contains(lower(p_name), lower(split_part(p_name, ' ', 1))) THEN 0.7::DOUBLE ELSE 0::DOUBLE END AS score FROM part")
 def _(part):
     first = F.split_part("p_name", F.lit(" "), F.lit(1))
     other = F.when(F.lower("p_name") == F.lower("p_type"), F.col("p_name")).otherwise(first)
