@@ -104,7 +104,7 @@ class Ranks:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, flat, and how many each has; each match of the pattern is encoded separately."""
-        if len(self.pieces) > 500_000:
+        if len(self.pieces) > 250_000:
             self._forget()
         split = [self.pattern.findall(t) for t in texts]
         at, base = self.pieces, len(self.pieces)
@@ -151,7 +151,7 @@ def load(path: str, pattern: str) -> Ranks:
 def encoder(path: str, pattern: str) -> SegmentEncoder:
     """One for each worker and vocabulary: what it has spelt before it need not merge again."""
     ranks = load(path, pattern)
-    return SegmentEncoder(ranks.encode, ranks.lens)
+    return SegmentEncoder(ranks.encode, ranks.lens, most=1_000_000)
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -106,7 +106,7 @@ def fit(docs: DataFrame, at_most: int = FIT_DOCUMENTS) -> dict[str, np.ndarray]:
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for rows, buf, offs in slices(batches):
+        for rows, buf, offs in slices(batches, limit=1 << 20):
             vec = unit(bundles(buf, offs))
             langs = np.array(rows.column("lang").to_pylist())
             for lang in np.unique(langs):
@@ -130,7 +130,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
     table = unit(np.array([prototypes[x] for x in langs])).astype(np.float32) if langs else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, buf, offs in slices(batches):
+        for rows, buf, offs in slices(batches, limit=1 << 20):
             if table is None:
                 best, score, any_ = np.zeros(rows.num_rows, int), np.zeros(rows.num_rows), np.zeros(rows.num_rows, bool)
             else:

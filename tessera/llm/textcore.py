@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _rng = np.random.Generator(np.random.Philox(20240229))
 BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
