@@ -112,3 +112,49 @@ def any_of(conditions: list[Column]) -> Column:
 
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
+
+
+def nested(row: Column) -> Column:
+    """The data of a flat row (a map): its keys that don't begin with an underscore."""
+    return F.map_filter(row, lambda k, v: ~k.startswith("_"))
+
+
+def parse_excerpts(text: Column) -> Column:
+    """Excerpts (source, text) of a text: "[source] text" joined by bars, a JSON list of texts, or one plain text."""
+    listed = F.from_json(F.when(text.startswith("["), text), "array<string>")
+    usable = listed.isNotNull() & (F.size(F.filter(listed, lambda x: x.isNotNull())) > 0)
+    of = lambda x: F.struct(F.nullif(F.regexp_extract(x, r"^\[([^\]]*)\]\s", 1), F.lit("")).alias("source"), F.regexp_replace(x, r"^\[[^\]]*\]\s", "").alias("text"))
+    return F.when(usable, F.transform(listed, lambda x: F.struct(F.lit(None).cast("string").alias("source"), x.alias("text")))).otherwise(F.transform(F.split(text, r" \| "), of))
+
+
+def attach_source(excerpts: Column, source: Column) -> Column:
+    return F.transform(excerpts, lambda x: F.struct(x.alias("text"), source.alias("source")))
+
+
+def unit_name(data: Column) -> Column:
+    """A row's unit: _unit_name, unit_name, else its first key that speaks of a unit or observation."""
+    key = F.try_element_at(F.filter(F.array_sort(F.map_keys(data)), lambda k: F.lower(k).rlike("unit|observation")), F.lit(1))
+    return F.coalesce(data["_unit_name"], data["unit_name"], data[key])
+
+
+def source_document(data: Column, papers: Column) -> Column:
+    return F.coalesce(data["_source_document"], data["source_document"], data["document"], F.try_element_at(papers, F.lit(1)))
+
+
+def flatten_json(text: Column) -> Column:
+    """A JSON list of texts joined by commas; other text as it is."""
+    listed = F.from_json(F.when(text.startswith("["), text), "array<string>")
+    return F.coalesce(F.array_join(listed, ", "), text)
+
+
+def clamp(value: Column, low: float, high: float) -> Column:
+    """A number, with or without a percent sign, kept within a range, as text."""
+    n = number(F.regexp_replace(value, r"%\s*$", ""))
+    return F.when(n < low, F.lit(float(low)).cast("string")).when(n > high, F.lit(float(high)).cast("string")).otherwise(value)
+
+
+def display_order(columns: list[str]) -> list[str]:
+    """Identifying columns, then those that look so, then the others by name; the directory comes last."""
+    exact = ["row_name", "name", "id", "unit_name", "document"]
+    rank = lambda c: (3 if c == "document_directory" else 0 if c.lower() in exact else 1 if c.lower().endswith(("_id", "_name", "key")) else 2, c.lower())
+    return sorted(columns, key=rank)

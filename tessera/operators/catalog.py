@@ -135,3 +135,32 @@ def suggestions(values: DataFrame, known: DataFrame, threshold: int | None = 2)
     counted = values.groupBy("column", "value").agg(F.count_distinct("document").alias("documents"))
     fresh = counted.withColumn("_low", F.lower("value")).join(low, ["column", "_low"], "left_anti").drop("_low")
     return fresh.withColumn("action", F.when(F.col("documents") >= F.lit(threshold), "add").otherwise("pending") if threshold and threshold > 0 else F.lit("pending"))
+
+
+#: What a definition says of a column's kind; the first kind that applies.
+STRATEGIES = [("identifier", "id|identifier|accession|registration|code"), ("numeric", "number|count|percent|rate|score|accuracy|size|cost"), ("categorical", "type|category|class|phase|status"), ("text", "")]
+
+
+def strategy(definition):
+    """How a column is best extracted, by words within its definition."""
+    low = F.lower(definition)
+    out = F.lit("text")
+    for kind, words in reversed(STRATEGIES[:-1]):
+        out = F.when(low.rlike(words), kind).otherwise(out)
+    return out
+
+
+def greedy_alignment(pairs: list[tuple[str, str, float]], least: float = 0.6) -> dict[str, str]:
+    """One partner for each prediction, in order, the best of those still free above ``least`` (schema-sized, on the driver)."""
+    out: dict[str, str] = {}
+    for name in dict.fromkeys(p for p, _, _ in pairs):
+        free = [(s, g) for p, g, s in pairs if p == name and g not in out.values() and s > least]
+        if free:
+            out[name] = max(free, key=lambda x: x[0])[1]
+    return out
+
+
+def recommendations(one: DataFrame) -> DataFrame:
+    """What the metrics (accuracy, answer_rate, high_rate) of an evaluation call for."""
+    said = F.array(F.when(F.col("accuracy") < 0.7, "refine definitions"), F.when(F.col("answer_rate") < 0.8, "add columns"), F.when(F.col("high_rate") < 0.5, "add examples"))
+    return one.withColumn("recommendations", F.filter(said, lambda x: x.isNotNull()))
