@@ -282,7 +282,7 @@ def _(supplier):
     return supplier.select("s_suppkey", F.concat_ws("; ", *pairs).alias("prompt"))
 
 
-# what Spark adds to the reference's operators
+# what Spark adds
 
 
 @query("ext_cube", "lineitem", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 4) AS quantity FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
