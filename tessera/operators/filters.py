@@ -130,11 +130,20 @@ def of_documents(df: DataFrame, documents: list[str], column: str = "source") ->
     return df.where(F.col(column).isin(documents)) if documents else df
 
 
-#: Patterns that mark an academic paper and their weights.
-PAPER_SIGNS = [(r"\babstract\b", 2), (r"\bintroduction\b", 1), (r"\breferences\b", 2), (r"\bdoi\b", 2), (r"\barxiv\b", 2), (r"\bet al\b", 1)]
-
-
-def paper_score(text: Column, head: int = 2000) -> Column:
-    """Sum of the weights of the signs found in the first ``head`` characters; 4 or more make a paper."""
-    start = F.lower(F.substring(text, 1, head))
-    return sum((F.when(start.rlike(p), w).otherwise(0) for p, w in PAPER_SIGNS), F.lit(0))
+#: Patterns that mark an academic paper, the characters they are looked for in (the first ones, the last
+#: ones if negative, all if none) and their weights.
+PAPER_SIGNS = [
+    (r"\babstract\b", 2000, 2),
+    (r"\bintroduction\b", 5000, 1),
+    (r"\breferences?\b|\bbibliography\b", -5000, 2),
+    (r"\bconclusion\b", None, 1),
+    (r"\bmethod(s|ology)?\b", None, 1),
+    (r"\bexperiment(s|al)?\b|\bresults?\b", None, 1),
+]
+
+
+def paper_score(text: Column) -> Column:
+    """Sum of the weights of the signs found in their part of the text; 4 or more make a paper."""
+    low = F.lower(text)
+    part = {n: low if n is None else F.substring(low, 1, n) if n > 0 else F.right(low, F.lit(-n)) for _, n, _ in PAPER_SIGNS}
+    return sum((F.when(part[n].rlike(f"(?U){p}"), w).otherwise(0) for p, n, w in PAPER_SIGNS), F.lit(0))

@@ -165,3 +165,13 @@ def test_discovery_and_replies():
 def test_exports():
     assert writers.export_columns(["b", "a", "row_name", "_x"], ["b"]) == ["row_name", "b", "a"]
     assert writers.archive({"schema.json": "{}"})[:2] == b"PK" and "dose" in writers.schema_csv([{"name": "dose"}])
+
+
+def test_paper_signs_have_their_ranges(spark):
+    pad = "word " * 2000
+    texts = {
+        1: ("Abstract " + pad + "method results conclusion " + pad + "references", 7), 2: (pad + "abstract introduction " + pad, 0), 3: ("word " * 500 + "abstract introduction " + pad, 1),
+        4: ("references " + pad, 0), 5: (pad + "Bibliography " + "x" * 4000, 2), 6: (pad + "methodology " + pad, 1), 7: (pad + "experimental " + pad, 1), 8: ("doi arxiv et al methodical éabstract", 0), 9: (None, 0), 10: ("reference", 2),
+    }
+    df = spark.createDataFrame([(i, t) for i, (t, _) in texts.items()], "id int, text string")
+    assert {r.id: r.s for r in df.select("id", filters.paper_score(F.col("text")).alias("s")).collect()} == {i: s for i, (_, s) in texts.items()}
