@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.documents import token_count
+from tessera.operators.blocks import join_blocks
 
 #: Fixed values of the cost model.
 PASSAGE_TOKENS, REPLY_TOKENS, FILL, CELL_TOKENS, UNITS_PER_DOCUMENT = 250, 300, 0.7, 40, 1.5
@@ -48,8 +49,11 @@ def calls_by_stage(log: DataFrame) -> DataFrame:
 
 
 def price_of(models: DataFrame, prices: DataFrame, default: tuple[float, float]) -> DataFrame:
-    """model, price_in, price_out: by equal name, else where one name holds the other, else the default."""
-    hit = models.join(F.broadcast(prices.withColumnRenamed("model", "known").limit(10_000)), (F.col("model") == F.col("known")) | F.col("model").contains(F.col("known")) | F.col("known").contains(F.col("model")), "left")
-    best = F.min_by(F.struct("price_in", "price_out"), F.struct((F.col("model") != F.col("known")).alias("x"), (-F.length("known")).alias("n")))
-    one = hit.groupBy("model").agg(best.alias("p"))
+    """model, price_in, price_out: by equal name, else where one name holds the other (the longest known), else the default."""
+    known = prices.select(F.col("model").alias("known"), F.struct("price_in", "price_out").alias("p"))
+    equal = models.select("model").distinct().join(known, F.col("model") == F.col("known"), "left")
+    rest = equal.where("known is null").select("model")
+    part = join_blocks(rest, known, F.col("model").contains(F.col("known")) | F.col("known").contains(F.col("model")))
+    found = equal.select("model", "p", F.when(F.col("known").isNotNull(), F.lit(-1)).alias("n")).unionByName(part.select("model", "p", (-F.length("known")).alias("n")))
+    one = found.groupBy("model").agg(F.min_by("p", "n").alias("p"))
     return one.select("model", F.coalesce("p.price_in", F.lit(default[0])).alias("price_in"), F.coalesce("p.price_out", F.lit(default[1])).alias("price_out"))

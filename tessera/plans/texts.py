@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import cells, documents as docs_, similarity
 from tessera.operators import cost, evaluate, retrieve
+from tessera.operators.blocks import join_blocks
 from tessera.plans.registry import query
 
 _SENT = "string_split(regexp_replace(text, '([.?!])\\s+', '\\1' || chr(1), 'g'), chr(1))"
@@ -181,7 +182,7 @@ def _(part):
 
 @query("jon_19_ground_plain", "benchmark documents", "SELECT item_id, doc_id, CASE WHEN contains(d.text, b.text) THEN 'exact' ELSE 'case_insensitive' END AS status FROM benchmark b, documents d WHERE contains(lower(d.text), lower(b.text))")
 def _(benchmark, documents):
-    pairs = documents.join(F.broadcast(benchmark.select("item_id", F.col("text").alias("excerpt")).limit(100_000)), F.lower("text").contains(F.lower("excerpt")))
+    pairs = join_blocks(documents, benchmark.select("item_id", F.col("text").alias("excerpt")), F.lower("text").contains(F.lower("excerpt")))
     return pairs.select("item_id", "doc_id", similarity.ground_plain(F.col("excerpt"), F.col("text")).alias("status"))
 
 
@@ -195,7 +196,7 @@ def _(documents):
 
 @query("agg_11_grounding_stats", "benchmark documents", "SELECT CASE WHEN contains(d.text, b.text) THEN 'exact' ELSE 'case_insensitive' END AS status, count(*) AS n FROM benchmark b, documents d WHERE contains(lower(d.text), lower(b.text)) GROUP BY 1")
 def _(benchmark, documents):
-    pairs = documents.join(F.broadcast(benchmark.select(F.col("text").alias("excerpt")).limit(100_000)), F.lower("text").contains(F.lower("excerpt")))
+    pairs = join_blocks(documents, benchmark.select("item_id", F.col("text").alias("excerpt")), F.lower("text").contains(F.lower("excerpt")))
     return pairs.groupBy(similarity.ground_plain(F.col("excerpt"), F.col("text")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -175,3 +175,26 @@ def test_paper_signs_have_their_ranges(spark):
     }
     df = spark.createDataFrame([(i, t) for i, (t, _) in texts.items()], "id int, text string")
     assert {r.id: r.s for r in df.select("id", filters.paper_score(F.col("text")).alias("s")).collect()} == {i: s for i, (_, s) in texts.items()}
+
+
+@pytest.mark.parametrize("rows", [50_000, 7])
+def test_excerpts_and_prices_of_any_number(spark, tmp_path, rows, monkeypatch):
+    from tessera.operators import blocks, cost
+    from tessera.plans.catalogue import QUERIES
+
+    monkeypatch.setattr(blocks, "ROWS", rows)
+    n = 100_400 if rows > 7 else 100
+    items = spark.range(n).select(F.col("id").alias("item_id"), F.format_string("Item <%d>", "id").alias("text"))
+    items.repartition(2).write.parquet(f"{tmp_path}/benchmark.parquet")
+    held = list(range(0, n, n // 50))
+    text = " ".join(f"Item <{i}>" for i in held)
+    spark.createDataFrame([(1, text), (2, text.upper()), (3, None), (4, "other")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["jon_19_ground_plain"](spark, str(tmp_path))
+    want = {(i, d, s) for i in held for d, s in ((1, "exact"), (2, "case_insensitive"))}
+    assert sorted(tuple(r) for r in got.select("item_id", "doc_id", "status").collect()) == sorted(want)
+    assert {tuple(r) for r in QUERIES["agg_11_grounding_stats"](spark, str(tmp_path)).collect()} == {("exact", len(held)), ("case_insensitive", len(held))}
+    few = 12_000 if rows > 7 else 60
+    prices = spark.range(few).select(F.format_string("m<%d>", "id").alias("model"), F.col("id").cast("double").alias("price_in"), F.lit(2.0).alias("price_out"))
+    models = [(f"m<{i}>",) for i in range(0, few, few // 30)] + [(f"m<{few - 1}>",), (f"the m<{few - 2}> model",), ("none",), (None,)]
+    out = {r.model: r.price_in for r in cost.price_of(spark.createDataFrame(models, "model string"), prices, (-1.0, 3.0)).collect()}
+    assert out == {m: float(m.split("<")[1].split(">")[0]) if m and "<" in m else -1.0 for (m,) in models}
