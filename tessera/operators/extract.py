@@ -140,3 +140,28 @@ def discover(batches: list[list[str]], model: Model, schema: TableSchema, patien
         if unchanged >= patience:
             break
     return schema, snapshots
+
+
+def propose(docs: DataFrame, model: Callable[[], Model], text: str = "text") -> DataFrame:
+    """name, definition, rationale, allowed_values, n_documents: columns the model proposes for any document, in parallel.
+
+    Names that differ in case alone are one column, spelled as the least of them; the longest rationale stays and
+    allowed values unite, sorted.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client = model()
+        for batch in batches:
+            out = []
+            for body in batch["text"]:
+                reply = parse_reply(client.generate(prompt({"task": "columns", "known": []}, body or "")))
+                named = {r["name"].lower(): r for r in reversed(reply.get("columns") or []) if r.get("name")}
+                out += [(key, r["name"], r.get("definition", ""), r.get("rationale", ""), list(r.get("allowed_values") or ())) for key, r in named.items()]
+            yield pd.DataFrame(out, columns=["key", "name", "definition", "rationale", "allowed_values"])
+
+    rows = docs.select(F.col(text).alias("text")).mapInPandas(run, "key string, name string, definition string, rationale string, allowed_values array<string>")
+    # counted by what is proposed first: documents that propose the same are one row
+    same = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n"))
+    longest = F.max_by("rationale", F.struct(F.length("rationale"), "rationale")).alias("rationale")
+    allowed = F.array_sort(F.array_distinct(F.flatten(F.collect_set("allowed_values")))).alias("allowed_values")
+    return same.groupBy("key").agg(F.min("name").alias("name"), F.min("definition").alias("definition"), longest, allowed, F.sum("n").alias("n_documents")).drop("key")

@@ -264,9 +264,8 @@ def _(documents):
 
 @query("llm_05_discovery", "documents", "SELECT unnest(['lang', 'source']) AS name")
 def _(documents):
-    rows = documents.orderBy("doc_id").limit(8).select(F.concat(F.lit("lang: "), "lang", F.lit("\nsource: "), "source").alias("p")).collect()  # the passages shown to the model
-    schema, _ = extract.discover([[r.p for r in rows[:4]], [r.p for r in rows[4:]]], extract.RuleModel(), catalog.TableSchema())
-    return documents.sparkSession.createDataFrame([(c.name,) for c in schema.columns], "name string")
+    shown = documents.select(F.concat_ws("\n", F.concat(F.lit("lang: "), "lang"), F.concat(F.lit("source: "), "source"), "text").alias("text"))  # what the model is shown
+    return extract.propose(shown, extract.RuleModel).select("name")
 
 
 @query("agg_35_rows_with_missing", "documents", "SELECT count(DISTINCT doc_id) AS n_rows FROM documents WHERE source NOT IN ('src0', 'src1')")

@@ -198,3 +198,13 @@ def test_excerpts_and_prices_of_any_number(spark, tmp_path, rows, monkeypatch):
     models = [(f"m<{i}>",) for i in range(0, few, few // 30)] + [(f"m<{few - 1}>",), (f"the m<{few - 2}> model",), ("none",), (None,)]
     out = {r.model: r.price_in for r in cost.price_of(spark.createDataFrame(models, "model string"), prices, (-1.0, 3.0)).collect()}
     assert out == {m: float(m.split("<")[1].split(">")[0]) if m and "<" in m else -1.0 for (m,) in models}
+
+
+def test_discovery_reads_every_document(spark, tmp_path):
+    from tessera.plans.catalogue import QUERIES
+
+    rows = [(i, "plain text", "en", "src") for i in range(40)] + [(40, "Dose: 3\nunit: mg", "en", "src"), (41, "dose: 4", "en", "src"), (42, None, "en", "src")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r.name for r in QUERIES["llm_05_discovery"](spark, str(tmp_path)).collect()) == ["dose", "lang", "source", "unit"]
+    assert {r.name: r.n_documents for r in extract.propose(docs, extract.RuleModel).collect()} == {"dose": 2, "unit": 1}
