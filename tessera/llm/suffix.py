@@ -11,7 +11,6 @@
    merged by binary search. All but the first start in each group are removed.
 """
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,16 +20,14 @@ from pyspark.sql import functions as F
 
 from tessera.llm.packed import BLOBS, blob_rows, by_bucket, inflated, squeezed, unpack
 from tessera.llm.textcore import BYTE, STEP, mix, ragged, slices
-from tessera.llm.workspace import parts
+from tessera.llm.workspace import materialise, parts
 
 LENGTH = 100
 GRAM = 32
-#: Contexts in a shard, in bytes.
-SHARD = 4 << 20
-#: Records of one anchor from which its windows are dealt by more of their bytes: the MOST_HOT anchors of most records, as
-#: the list goes to every task. An anchor counts where a task has FREQUENT records of it or more, so one that is not found
-#: hot brings fewer than FREQUENT contexts from each task.
-HOT, MOST_HOT, FREQUENT = 2048, 100_000, 8
+#: Contexts in a shard, in bytes: positions, ranks and places then fit one 64-bit sorting key.
+SHARD = 1 << 20
+#: Records of one anchor from which its windows are dealt by more of their bytes.
+HOT = 2048
 #: Records a task holds before it sends them.
 HELD = 1_000_000
 LANES = 4096
@@ -46,8 +43,8 @@ def gram_hashes(buf: np.ndarray, size: int) -> np.ndarray:
     return mix(h)
 
 
-def anchors(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """anchor, document, start in the document and number of windows of every record."""
+def anchors(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """anchor, document, start in the document, number of windows, and bytes from the start to the anchor, of every record."""
     n = len(buf)
     span = length - GRAM + 1
     size = np.diff(offs)
@@ -67,42 +64,45 @@ def anchors(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH) -> tuple[np
     first[1:] = at[1:] != at[:-1]
     first = np.flatnonzero(first)
     doc = np.repeat(np.arange(len(size)), windows)[first]
-    return h[at[first]], doc, p[first] - offs[doc], np.diff(np.append(first, len(p)))
+    return h[at[first]], doc, p[first] - offs[doc], np.diff(np.append(first, len(p))), at[first] - p[first]
 
 
-def words8(buf: np.ndarray) -> np.ndarray:
-    """The 8 bytes from each position as a big-endian number; zeros beyond the end."""
+def leading(buf: np.ndarray, size: int = 8) -> np.ndarray:
+    """The ``size`` bytes from each position as a big-endian number; zeros beyond the end."""
     out = np.zeros(len(buf), np.uint64)
-    for j in range(min(8, len(buf))):
-        out[: len(buf) - j] |= buf[j:].astype(np.uint64) << np.uint64(56 - 8 * j)
+    for j in range(min(size, len(buf))):
+        out[: len(buf) - j] |= buf[j:].astype(np.uint64) << np.uint64(8 * (size - 1 - j))
     return out
 
 
+def ordered(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the order of ``key``, equal keys in their own order, and the keys so; a key has 64 - ``bits`` bits, a place ``bits``."""
+    packed = np.sort(key << np.uint64(bits) | np.arange(len(key), dtype=np.uint64))
+    return (packed & np.uint64((1 << bits) - 1)).astype(np.int64), packed >> np.uint64(bits)
+
+
 def suffix_array(buf: np.ndarray) -> np.ndarray:
-    """Suffixes in order. Kasai's step needs the whole order, not that of the first bytes alone."""
+    """Suffixes in order, for up to 2^21 bytes. Kasai's step needs the whole order, not that of the first bytes alone."""
     n = len(buf)
-    key = words8(buf)
-    sa = np.argsort(key, kind="stable")
+    bits = n.bit_length()
+    if bits > 21:
+        raise ValueError(f"{n} bytes are too many for one shard")
+    h = min(8, (64 - bits) // 8)
+    sa, key = ordered(leading(buf, h), bits)
     head = np.ones(n, bool)
-    head[1:] = key[sa[1:]] != key[sa[:-1]]
-    rank = np.empty(n + 1, np.int64)
-    rank[n] = -1
-    rank[sa] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-    h = 8
+    head[1:] = key[1:] != key[:-1]
+    rank = np.zeros(n + 1, np.uint64)  # from 1 on; 0 is the empty suffix
+    rank[sa] = np.maximum.accumulate(np.where(head, np.arange(1, n + 1), 0)).astype(np.uint64)
     while h < n:
-        single = head & np.append(head[1:], True)
-        todo = np.flatnonzero(~single)
+        todo = np.flatnonzero(~(head & np.append(head[1:], True)))
         if not len(todo):
             break
         own = sa[todo]
-        second = rank[np.minimum(own + h, n)]
-        order = np.argsort(rank[own] * (n + 2) + second + 1, kind="stable")
-        own, second = own[order], second[order]
+        order, key = ordered(rank[own] << np.uint64(bits) | rank[np.minimum(own + h, n)], bits)
+        own = own[order]
         sa[todo] = own
-        same = np.zeros(len(todo), bool)
-        same[1:] = (rank[own[1:]] == rank[own[:-1]]) & (second[1:] == second[:-1])
-        head[todo] = ~same
-        rank[own] = np.maximum.accumulate(np.where(head[todo], todo, 0))
+        head[todo[1:]] = key[1:] != key[:-1]
+        rank[own] = np.maximum.accumulate(np.where(head[todo], todo + 1, 0)).astype(np.uint64)
         h *= 2
     return sa
 
@@ -116,7 +116,7 @@ def common_prefixes(buf: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     n = len(buf)
     before = np.full(n + 1, -1, np.int64)
     before[sa[1:]] = sa[:-1]
-    word = np.append(words8(buf), np.zeros(most + 16, np.uint64))
+    word = np.append(leading(buf), np.zeros(most + 16, np.uint64))
     out = np.zeros(n, np.int64)
     step = -(-n // LANES)
     lane = np.arange(0, n, step)
@@ -162,19 +162,19 @@ def repeated(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], length: in
         if len(shards) > 1:
             text = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(buf, length)[starts[first]]).view(f"S{length}").ravel()
             if known is None:
-                known, known_order, known_at = text, order[first], [(len(flags), first)]
+                known, known_order = text, order[first]
                 owner = np.zeros(len(text), np.int64)
                 where = first
             else:
                 at = np.searchsorted(known, text)
                 hit = np.flatnonzero((at < len(known)) & (known[np.minimum(at, len(known) - 1)] == text))
-                for k in hit.tolist():  # strings of one anchor that several shards hold
-                    old, new = known_order[at[k]], order[first[k]]
-                    if old.tolist() < new.tolist():
-                        flag[first[k]] = True
-                    elif old != new:
-                        flags[owner[at[k]]][where[at[k]]] = True
-                        known_order[at[k]], owner[at[k]], where[at[k]] = new, len(flags), first[k]
+                old, new = known_order[at[hit]], order[first[hit]]
+                later = (old["doc"] < new["doc"]) | (old["doc"] == new["doc"]) & (old["p"] < new["p"])
+                flag[first[hit[later]]] = True
+                sooner = hit[~later & (old != new)]  # strings whose first start is in this shard
+                for shard in np.unique(owner[at[sooner]]).tolist():
+                    flags[shard][where[at[sooner[owner[at[sooner]] == shard]]]] = True
+                known_order[at[sooner]], owner[at[sooner]], where[at[sooner]] = order[first[sooner]], len(flags), first[sooner]
                 fresh = np.setdiff1d(np.arange(len(text)), hit)
                 known = np.insert(known, at[fresh], text[fresh])
                 known_order = np.insert(known_order, at[fresh], order[first[fresh]])
@@ -210,16 +210,16 @@ def _span_batch(doc, start, stop) -> pa.RecordBatch:
 
 
 def shared_anchors(docs: DataFrame, length: int) -> DataFrame:
-    """anchor, doc_id, start, n of the records whose anchor has another record."""
+    """anchor, doc_id, start, n, at of the records whose anchor has another record; ``at`` is the anchor's place after start."""
     buckets = 4 * parts(docs.sparkSession)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            a, doc, p, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            a, doc, p, n, at = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            order = np.argsort(a, kind="stable")
+            order = np.argsort(a)
             head = np.ones(len(a), bool)
             head[1:] = a[order[1:]] != a[order[:-1]]
             times = np.diff(np.append(np.flatnonzero(head), len(a)))
@@ -228,84 +228,67 @@ def shared_anchors(docs: DataFrame, length: int) -> DataFrame:
             count = np.zeros(len(a), np.int32)
             count[first] = times
             keep = np.sort(first)
-            yield blob_rows([*by_bucket((a[keep] % np.uint64(buckets)).astype(np.int64), [a[keep], doc[keep], p[keep], n[keep], count[keep]])], 0)
+            yield blob_rows([*by_bucket((a[keep] % np.uint64(buckets)).astype(np.int64), [x[keep] for x in (a, doc, p, n, at, count)])], 0)
             if len(rest):
-                yield blob_rows([*by_bucket(doc[rest] % buckets, [a[rest], doc[rest], p[rest], n[rest], n[rest]])], 1)
+                yield blob_rows([*by_bucket(doc[rest] % buckets, [x[rest] for x in (a, doc, p, n, at, count)])], 1)
 
         for rows, buf, offs in slices(batches):
-            a, doc, p, n = anchors(buf, offs, length)
+            a, doc, p, n, at = anchors(buf, offs, length)
             ids = rows.column("doc_id").to_numpy()
-            held.append([a, ids[doc], p.astype(np.int32), n.astype(np.int32)])
+            held.append([a, ids[doc], p.astype(np.int32), n.astype(np.uint16), at.astype(np.uint16)])
             if sum(len(x[0]) for x in held) > HELD:
                 yield from flush()
         if held:
             yield from flush()
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = ["<u8", "<i8", "<i4", "<i4", "<i4"]
+        kinds = ["<u8", "<i8", "<i4", "<u2", "<u2", "<i4"]
         asked: dict[int, list] = {}
         for b in batches:
             for bucket, kind, blob in zip(*(b.column(c).to_pylist() for c in ("bucket", "kind", "data")), strict=True):
-                found = unpack(blob, kinds)[:5]
+                found = unpack(blob, kinds)[:6]
                 if kind == 0:
                     asked.setdefault(bucket, []).append(found)
                 else:
-                    yield rows(*found[:4])
+                    yield rows(found[:5])
         for found in asked.values():
-            a, doc, p, n, count = (np.concatenate(x) for x in zip(*found, strict=True))
-            _, which, = np.unique(a, return_inverse=True)
-            total = np.bincount(which, count)[which]
-            keep = total > 1
+            *cols, count = (np.concatenate(x) for x in zip(*found, strict=True))
+            _, which = np.unique(cols[0], return_inverse=True)
+            keep = np.bincount(which, count)[which] > 1
             if keep.any():
-                yield rows(a[keep], doc[keep], p[keep], n[keep])
+                yield rows([c[keep] for c in cols])
 
-    def rows(a, doc, p, n) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(doc), pa.array(p, pa.int32()), pa.array(n, pa.int32())], ["anchor", "doc_id", "start", "n"])
+    def rows(cols: list[np.ndarray]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+        return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c, kind) for c, kind in zip(cols, kinds, strict=True)], ["anchor", "doc_id", "start", "n", "at"])
 
     sent = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(send, BLOBS)
-    return sent.repartition(parts(docs.sparkSession), "bucket").mapInArrow(ask, "anchor long, doc_id long, start int, n int")
-
-
-def hot_anchors(docs: DataFrame, length: int) -> np.ndarray:
-    """Anchors of more than HOT records; MOST_HOT at most, as these go to every task."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+    return sent.repartition(parts(docs.sparkSession), "bucket").mapInArrow(ask, "anchor long, doc_id long, start int, n int, at int")
 
-        def flush() -> pa.RecordBatch:
-            a, times = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            keep = times >= FREQUENT
-            return pa.RecordBatch.from_arrays([pa.array(a[keep].view(np.int64)), pa.array(times[keep].astype(np.int64))], ["anchor", "times"])
-
-        for _, buf, offs in slices(batches):
-            held.append(anchors(buf, offs, length)[0])
-            if sum(map(len, held)) > HELD:
-                yield flush()
-        if held:
-            yield flush()
 
-    sums = docs.select("text").where("text is not null").mapInArrow(count, "anchor long, times long").groupBy("anchor").agg(F.sum("times").alias("times"))
-    found = sums.where(F.col("times") > HOT).orderBy(F.desc("times"), "anchor").limit(MOST_HOT).collect()
-    return np.sort(np.array([r.anchor for r in found], np.int64).view(np.uint64))
+def records(docs: DataFrame, length: int) -> DataFrame:
+    """``shared_anchors`` with ``hot``: whether the anchor has more than HOT records. Anchors are found once and written."""
+    found = materialise(shared_anchors(docs, length), "anchors")
+    hot = materialise(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") > HOT).select("anchor", F.lit(True).alias("hot")), "hot")
+    return found.join(hot, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
 
 
 def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, start, stop of runs of bytes to remove; runs of one document may overlap."""
     buckets = 4 * parts(docs.sparkSession)
-    often = hot_anchors(docs, length)
-    per_doc = shared_anchors(docs, length).groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("r"))
-    found = squeezed(docs).join(per_doc.hint("merge"), "doc_id").select("doc_id", "z", *(F.col(f"r.{c}").alias(c) for c in ("anchor", "start", "n")))
+    columns = ["anchor", "start", "n", "at", "hot"]
+    per_doc = records(docs, length).groupBy("doc_id").agg(F.collect_list(F.struct(*columns)).alias("r"))
+    found = squeezed(docs).join(per_doc.hint("merge"), "doc_id").select("doc_id", "z", *(F.col(f"r.{c}").alias(c) for c in columns))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = lambda b, c: b.column(c).flatten().to_numpy(zero_copy_only=False)
         for b, buf, offs in slices(inflated(batches)):
             counts = b.column("anchor").value_lengths().to_numpy()
-            a, p, n = flat(b, "anchor").view(np.uint64), flat(b, "start").astype(np.int64), flat(b, "n").astype(np.int64)
-            hot = np.isin(a, often) if len(often) else np.zeros(len(a), bool)
+            a, p, n, at = flat(b, "anchor").view(np.uint64), *(flat(b, c).astype(np.int64) for c in ("start", "n", "at"))
             row = np.repeat(np.arange(b.num_rows), counts)
+            hot = flat(b, "hot").astype(bool)
             if hot.any():
-                a, p, n, row = _deal(a, p, n, row, hot, buf, offs, length)
+                a, p, n, row = _deal(a, p, n, p + at, row, hot, buf, offs, length)
             doc = b.column("doc_id").to_numpy()[row]
             size = n + length - 1
             data = buf[ragged(offs[row] + p, size)]
@@ -341,28 +324,24 @@ def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return sent.repartition(parts(docs.sparkSession), "bucket").mapInArrow(resolve, "doc_id long, start long, stop long")
 
 
-def _deal(a, p, n, row, hot, buf, offs, length):
+def _deal(a, p, n, at, row, hot, buf, offs, length):
     """Records of hot anchors in two: windows that hold half of the rest to the anchor's left, and the others.
 
     The new anchor covers those bytes too; equal windows still get equal anchors.
     """
     half = (length - GRAM) // 2
     own = np.flatnonzero(hot)
-    with np.errstate(over="ignore"):
-        h = gram_hashes(buf, GRAM)
-    base = offs[row[own]]
-    # place of the anchor: the one gram of this hash that all windows of the record hold
+    p_, at_, stop = p[own], at[own], p[own] + n[own]
+    split = np.clip(at_ - half + 1, p_, stop)  # windows from here on hold fewer than half bytes before the anchor
+    power = np.multiply.accumulate(np.full(GRAM + half, STEP, np.uint64))
     out = [[x[~hot]] for x in (a, p, n, row)]
-    for i, b in zip(own.tolist(), base.tolist()):
-        lo, hi = p[i] + n[i] - 1, p[i] + length - GRAM
-        inside = h[b + lo : b + hi + 1]
-        at = int(lo + np.flatnonzero(inside == a[i])[0])
-        split = min(max(at - half + 1, p[i]), p[i] + n[i])  # windows from here on hold fewer than half bytes before the anchor
-        for start, count, x, y in ((p[i], split - p[i], at - half, at + GRAM), (split, p[i] + n[i] - split, at, at + GRAM + half)):
-            if count > 0:
-                key = int.from_bytes(hashlib.blake2b(buf[b + x : b + y].tobytes(), digest_size=8).digest(), "little")
-                for col, v in zip(out, (np.uint64(key), start, count, row[i])):
-                    col.append(np.array([v]))
+    for first, last, x in ((p_, split, at_ - half), (split, stop, at_)):
+        some = np.flatnonzero(last > first)
+        for i in range(0, len(some), 1 << 14):
+            few = some[i : i + (1 << 14)]
+            places = (offs[row[own[few]]] + x[few])[:, None] + np.arange(GRAM + half)
+            for col, v in zip(out, (mix((BYTE[buf[places]] * power).sum(1, dtype=np.uint64)), first[few], (last - first)[few], row[own[few]]), strict=True):
+                col.append(v)
     return (np.concatenate(x) for x in out)
 
 
@@ -387,19 +366,19 @@ def _bucket(a, doc, p, n, data, length) -> Iterator[pa.RecordBatch]:
     heads = np.flatnonzero(new)
     totals = np.diff(np.append(upto[heads] - size[first[heads]], upto[-1] if len(upto) else 0))
     groups: list[list[np.ndarray]] = []
-    room = 0
+    room, begun = 0, 0
     for h, t, e in zip(heads.tolist(), totals.tolist(), [*heads[1:].tolist(), len(first)], strict=True):
-        own = first[h:e]
+        if t > room and begun < h:
+            groups.append([first[begun:h]])
+            begun = h
         if t > SHARD:
-            cut = np.cumsum(size[own]) // SHARD
-            groups.append(np.split(own, np.flatnonzero(np.diff(cut)) + 1))
-            room = 0
-        elif t > room:
-            groups.append([own])
-            room = SHARD - t
+            cut = np.cumsum(size[first[h:e]]) // SHARD
+            groups.append(np.split(first[h:e], np.flatnonzero(np.diff(cut)) + 1))
+            room, begun = 0, e
         else:
-            groups[-1] = [np.concatenate([groups[-1][0], own])] if len(groups[-1]) == 1 else groups[-1]
-            room -= t
+            room = (SHARD if t > room else room) - t
+    if begun < len(first):
+        groups.append([first[begun:]])
     for shards in groups:
         built = []
         for own in shards:

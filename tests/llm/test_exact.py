@@ -155,8 +155,7 @@ def repeats(rows, length):
 @pytest.mark.parametrize("hot", [2048, 3])
 def test_substrings(make, odd, hot, monkeypatch):
     monkeypatch.setattr(suffix, "HOT", hot)
-    monkeypatch.setattr(suffix, "FREQUENT", 8 if hot > 3 else 1)
-    monkeypatch.setattr(suffix, "SHARD", 4 << 20 if hot > 3 else 600)
+    monkeypatch.setattr(suffix, "SHARD", 1 << 20 if hot > 3 else 600)
     line = "this very common line of more than thirty two bytes"
     rows = [*odd, *[(200 + i, f"{i} begins {line} and ends in {i * 7} ways, {odd[0][1][i * 9 : i * 9 + 140]}") for i in range(40)]]
     out = {r.doc_id: bytes(r.kept) for r in suffix.substring_dedup(make(rows)).collect()}
