@@ -183,6 +183,21 @@ def segment_starts(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+def within(buf: np.ndarray, offs: np.ndarray, token: bytes, places: np.ndarray) -> np.ndarray:
+    """Which of ``places`` lie within an occurrence of ``token``, its first byte aside, that no document boundary parts."""
+    raw, found = buf.tobytes(), []
+    at = raw.find(token)
+    while at >= 0:
+        found.append(at)
+        at = raw.find(token, at + 1)
+    begin = np.array(found, np.int64)
+    begin = begin[np.searchsorted(offs, begin, "right") == np.searchsorted(offs, begin + len(token) - 1, "right")]
+    if not len(begin):
+        return np.zeros(len(places), bool)
+    last = begin[np.maximum(np.searchsorted(begin, places) - 1, 0)]  # the last occurrence that begins before the place
+    return (last < places) & (places < last + len(token))
+
+
 def joinable(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Whether a segment begins and ends as ``segment_starts`` asks of both sides of a cut."""
     last, before, second = buf[ends - 1], buf[np.maximum(ends - 2, starts)], buf[np.minimum(starts + 1, ends - 1)]
@@ -197,8 +212,8 @@ class SegmentEncoder:
     segments is emptied at ``most`` entries: that bounds space and never changes the ids.
     """
 
-    def __init__(self, encode, id_bytes: np.ndarray, most: int = 3_000_000, block: int = 1 << 16):
-        self.encode, self.id_bytes, self.most, self.block = encode, id_bytes, most, block
+    def __init__(self, encode, id_bytes: np.ndarray, most: int = 3_000_000, block: int = 1 << 16, whole: tuple[bytes, ...] = ()):
+        self.encode, self.id_bytes, self.most, self.block, self.whole = encode, id_bytes, most, block, whole
         self._clear()
 
     def _clear(self):
@@ -226,6 +241,8 @@ class SegmentEncoder:
     def __call__(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents and each document's first id."""
         starts = segment_starts(buf, offs)
+        for token in self.whole:
+            starts = starts[~within(buf, offs, token, starts)]
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
         if len(self.keys) > self.most:
