@@ -8,9 +8,11 @@ fingerprint are compared byte by byte before they count as one class.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.workspace import parts
+
 NFKC = "com.ibm.icu.text.Normalizer"
-#: Documents in one bucket of neighbours, about, and the most buckets.
-BUCKET, MOST_BUCKETS = 1024, 65_536
+#: Buckets of neighbouring documents for each partition of a shuffle.
+BUCKETS = 4
 
 
 def canonical(text: Column) -> Column:
@@ -23,26 +25,41 @@ def fingerprint(canon: Column) -> Column:
     return F.lower(F.concat(*[F.lpad(F.hex(x), 16, "0") for x in wide]))
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``bucket``: neighbours in (id, tie), whose cuts are quantiles of both, so that no spread of ids fills one bucket.
+
+    The cuts come to the driver, a row for each bucket; each row finds its own by binary search over them.
+    """
+    n = BUCKETS * parts(rows.sparkSession)
+    ranged = rows.select("id", "tie").repartitionByRange(n, "id", "tie").groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct("id", "tie")).alias("least"))
+    cuts = sorted((r.least.id, r.least.tie) for r in ranged.collect())[1:]
+    ids, ties = (F.split(F.lit(",".join(str(c[i]) for c in cuts)), ",").cast("array<bigint>") for i in (0, 1))
+    rows = rows.withColumn("bucket", F.lit(0))
+    for k in reversed(range(len(cuts).bit_length())):
+        at = F.col("bucket") + F.lit((1 << k) - 1)
+        passed = (F.get(ids, at) < F.col("id")) | (F.get(ids, at) == F.col("id")) & (F.get(ties, at) <= F.col("tie"))
+        rows = rows.withColumn("bucket", F.col("bucket") + F.when(passed, F.lit(1 << k)).otherwise(F.lit(0)))
+    return rows
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, next_text: the text of the next document in descending doc_id, after the last the first's.
 
-    Null texts count as empty. Equal doc_ids follow in descending order of text, null doc_ids come last. Documents are
-    dealt to buckets of neighbours by doc_id; each bucket also gets the first document of the bucket that follows, so
-    that one shuffle of the texts and no global sort is needed.
+    Null texts count as empty. Equal doc_ids follow in an order fixed by a hash of their texts, null doc_ids come last.
+    Documents are dealt to buckets of neighbours; each bucket also gets the first document of the bucket that follows,
+    so that one shuffle of the texts and no global sort is needed.
     """
+    half = F.shiftrightunsigned(F.xxhash64("text"), 1)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    n, low, high = rows.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
-    buckets = max(1, min(MOST_BUCKETS, -(-n // BUCKET)))
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // buckets))
-    bucket = F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(width)), F.lit(-1)).cast("long")
-    rows = rows.withColumn("bucket", bucket)
-    heads = rows.groupBy("bucket").agg(F.max("doc_id").alias("top_id"))  # MOST_BUCKETS + 1 rows at most
+    # null ids come below the least id: their ties are negative
+    rows = numbered(rows.withColumn("id", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("tie", F.when(F.col("doc_id").isNull(), -half - 1).otherwise(half)))
+    heads = rows.groupBy("bucket").agg(F.max(F.struct("id", "tie")).alias("top"))  # a row for each bucket
     order = Window.orderBy(F.desc("bucket"))
     last = F.min("bucket").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    heads = heads.select(F.coalesce(F.lag("bucket").over(order), last).alias("to"), "top_id")
-    ghosts = rows.join(F.broadcast(heads), rows.doc_id.eqNullSafe(heads.top_id)).groupBy("to").agg(F.max("text").alias("text"))
-    both = rows.withColumn("ghost", F.lit(False)).unionByName(ghosts.select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("to").alias("bucket"), F.lit(True).alias("ghost")))
-    down = Window.partitionBy("bucket").orderBy("ghost", F.desc_nulls_last("doc_id"), F.desc("text"))
+    heads = heads.select("bucket", F.coalesce(F.lag("bucket").over(order), last).alias("to"), "top.id", "top.tie")
+    ghosts = rows.join(F.broadcast(heads), ["bucket", "id", "tie"]).groupBy("to").agg(F.max("text").alias("text"))
+    both = rows.withColumn("ghost", F.lit(False)).unionByName(ghosts.select(F.col("to").alias("bucket"), "text", F.lit(True).alias("ghost")), allowMissingColumns=True)
+    down = Window.partitionBy("bucket").orderBy("ghost", F.desc("id"), F.desc("tie"))
     return both.withColumn("next_text", F.lead("text").over(down)).where(~F.col("ghost")).select("doc_id", "text", "next_text")
 
 

@@ -8,6 +8,8 @@ from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -38,8 +40,6 @@ def reference():
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(max_size=60), max_size=6))
 def test_bpe_of_any_text(reference, texts):
-    import pyarrow as pa
-
     buf, offs = textcore.text_buffer(pa.array(texts, pa.string()))
     ids, at = bpe.encoder(PATH, public_tokenizers.PATTERN)(buf, offs)
     assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [reference.encode_ordinary(t) for t in texts]
@@ -59,8 +59,8 @@ def test_bpe_round_trip(make, odd, reference):
 def test_store(spark, make, odd):
     vocab = public_tokenizers.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(vocab)
-    tok.encode_special_tokens = True
-    rows = [*odd, (20, odd[0][1]), (21, odd[9][1])]
+    special = "a <|endoftext|> b<|endoftext|><|endoftext|>.x <|endof text|> é<|endoftext|>!"
+    rows = [*odd, (20, odd[0][1]), (21, odd[9][1]), (22, special), (23, "<|endoftext|>"), (24, "|>" + special * 3), (25, "<|endoftext")]
     path = workdir(spark, "store")
     store.write(make(rows), path, vocab)
     sums = {r.doc_id: r for r in store.checksums(spark, path).collect()}
@@ -71,6 +71,7 @@ def test_store(spark, make, odd):
         assert (sums[d].start, sums[d].n_tokens, sums[d].ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
         assert whole[d] == ids.tobytes()
         at += len(ids)
+    assert 50256 in np.frombuffer(whole[22], "<u4")
     names = [bytes(r.digest) for r in store.chunks(spark, path).collect()]
     assert len(names) == len(set(names))  # copies are stored once
     top = spark.read.parquet(f"{path}/manifest").where("part = -1").collect()[0]
@@ -79,6 +80,59 @@ def test_store(spark, make, odd):
     assert store.store_and_check(make([]), vocab).count() == 0
 
 
+def test_store_of_rows_without_id(spark, make):
+    vocab = public_tokenizers.path("byte_bpe_50k.json")
+    out = store.store_and_check(make([(None, "x y"), (1, "z"), (1, "z"), (1, None)]), vocab).collect()
+    assert sorted((r.doc_id or -1, r.n_tokens) for r in out) == [(-1, 3), (1, 1), (1, 2), (1, 2)]
+    spans = sorted((r.start, r.start + r.n_tokens) for r in out)
+    assert spans[0][0] == 0 and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+
+
+def _altered(path, table, change):
+    """Rewrites the rows of the first file of ``table`` that has any."""
+    import glob
+    import os
+
+    for name in sorted(glob.glob(f"{path}/{table}/*.parquet")):
+        found = pq.ParquetFile(name).read()
+        if found.num_rows:
+            os.remove(name)
+            os.path.exists(crc := os.path.join(os.path.dirname(name), f".{os.path.basename(name)}.crc")) and os.remove(crc)
+            rows = change(found.to_pylist())
+            pq.write_table(pa.Table.from_pylist(rows, found.schema), name)
+            return
+    raise AssertionError("nothing to alter")
+
+
+def _first_chunk_gone(rows):
+    (key, _), *rest = store._split(rows[0]["data"], rows[0]["n"])
+    data = b"".join(k for k, _ in rest) + b"".join(v for _, v in rest)
+    return [rows[0] | {"n": len(rest), "data": data}, *rows[1:]] if rest else rows[1:]
+
+
+@pytest.mark.parametrize(
+    ("table", "change"),
+    [
+        ("objects/kind=chunks", _first_chunk_gone),
+        ("objects/kind=chunks", lambda rows: [rows[0] | {"data": rows[0]["data"][:-1] + bytes([rows[0]["data"][-1] ^ 1])}, *rows[1:]]),
+        ("recipes", lambda rows: rows[1:]),
+        ("recipes", lambda rows: [rows[0] | {"n_tokens": rows[0]["n_tokens"] + 1}, *rows[1:]]),
+        ("recipes", lambda rows: [rows[0] | {"digests": rows[0]["digests"][::-1]}, *rows[1:]]),
+        ("recipes", lambda rows: [rows[0] | {"doc_id": -5}, *rows[1:]]),
+        ("manifest", lambda rows: [r for r in rows if r["part"] != 0]),
+        ("manifest", lambda rows: [r | {"n_tokens": r["n_tokens"] + (r["part"] == 0)} for r in rows]),
+    ],
+)
+def test_damage_raises(spark, make, odd, table, change):
+    path = workdir(spark, "store")
+    store.write(make([*odd[:4], odd[9]]), path, public_tokenizers.path("byte_bpe_50k.json"))
+    _altered(path, table, change)
+    with pytest.raises(Exception):
+        store.checksums(spark, path).collect()
+    with pytest.raises(Exception):
+        store.read_documents(spark, path).collect()
+
+
 def test_merkle_tells_changes():
     leaves = [bytes([i]) * 16 for i in range(5)]
     assert store.merkle(leaves) != store.merkle(leaves[::-1]) and store.merkle(leaves[:1]) == leaves[0]
@@ -104,6 +158,43 @@ def test_fingerprints(make, odd):
     assert one.near_next == 1.0 and one.edited_sha256 == hashlib.sha256(b"x x").hexdigest()
 
 
+def value_of(text):
+    """The fingerprint by other means: NFKC and xxhash64 in Python."""
+    import unicodedata
+
+    import xxhash
+
+    canon = re.sub(r"\s+", " ", unicodedata.normalize("NFKC", text).lower()).strip(" ").encode()
+
+    def xx(parts):
+        seed = 42
+        for x in parts:
+            seed = xxhash.xxh64_intdigest(x, seed)
+        return seed
+
+    return f"{xx([canon]):016x}{xx([(0x5BD1E995).to_bytes(4, 'little'), canon, (0x27D4EB2F).to_bytes(4, 'little')]):016x}"
+
+
+@pytest.mark.parametrize("ids", [[-(2**63), -6_900_000_000_000_000_000, -1, 0, 1, 6_900_000_000_000_000_000, 2**63 - 1], [*range(30), 10**15], [7] * 12, [None, 3, None, 1, 3, -(2**63)]])
+def test_fingerprints_of_any_ids(make, ids):
+    texts = [f"Text ﬁ  {i % 9} \tof É{i % 9}" if i % 5 else None for i in range(len(ids))]
+    rows = list(zip(ids, texts))
+    out = fingerprint.fingerprints(make(rows)).collect()
+    assert len(out) == len(rows)
+    following = {(r.doc_id, r.text): [] for r in fingerprint.with_next(make(rows)).collect()}
+    pairs = [(r.doc_id, r.text, r.next_text) for r in fingerprint.with_next(make(rows)).collect()]
+    for d, t, nxt in pairs:
+        following[d, t].append(nxt)
+    # one ring through all rows, ids descending, null ids last
+    assert sorted(t for _, t, _ in pairs) == sorted(n for _, _, n in pairs)
+    order = sorted({i for i in ids if i is not None}, reverse=True) + [None] * (None in ids)
+    of = lambda i: {t or "" for d, t in rows if d == i}
+    for i, nxt in zip(order, [*order[1:], order[0]]):
+        ends = [n for d, t, n in pairs if d == i]
+        assert all(n in of(i) | of(nxt) for n in ends) and any(n in of(nxt) for n in ends)
+    assert sorted(r.fingerprint for r in out) == sorted(value_of(t or "") for t in texts)
+
+
 def linked_components(sets, num=80, den=100):
     root = {d: d for d in sets}
 
