@@ -34,12 +34,14 @@ def numbered(rows: DataFrame) -> DataFrame:
     ranged = rows.select("id", "tie").repartitionByRange(n, "id", "tie").groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct("id", "tie")).alias("least"))
     cuts = sorted((r.least.id, r.least.tie) for r in ranged.collect())[1:]
     ids, ties = (F.split(F.lit(",".join(str(c[i]) for c in cuts)), ",").cast("array<bigint>") for i in (0, 1))
-    rows = rows.withColumn("bucket", F.lit(0))
-    for k in reversed(range(len(cuts).bit_length())):
-        at = F.col("bucket") + F.lit((1 << k) - 1)
-        passed = (F.get(ids, at) < F.col("id")) | (F.get(ids, at) == F.col("id")) & (F.get(ties, at) <= F.col("tie"))
-        rows = rows.withColumn("bucket", F.col("bucket") + F.when(passed, F.lit(1 << k)).otherwise(F.lit(0)))
-    return rows
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, len(cuts).bit_length())))])
+
+    def step(bucket: Column, size: Column) -> Column:
+        cut = bucket + size - 1
+        passed = (F.get(ids, cut) < F.col("id")) | (F.get(ids, cut) == F.col("id")) & (F.get(ties, cut) <= F.col("tie"))
+        return bucket + F.when(passed, size).otherwise(F.lit(0))
+
+    return rows.withColumn("bucket", F.aggregate(steps, F.lit(0), step))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
