@@ -33,8 +33,10 @@ def numbered(rows: DataFrame) -> DataFrame:
     n = BUCKETS * parts(rows.sparkSession)
     ranged = rows.select("id", "tie").repartitionByRange(n, "id", "tie").groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct("id", "tie")).alias("least"))
     cuts = sorted((r.least.id, r.least.tie) for r in ranged.collect())[1:]
+    if not cuts:
+        return rows.withColumn("bucket", F.lit(0))
     ids, ties = (F.split(F.lit(",".join(str(c[i]) for c in cuts)), ",").cast("array<bigint>") for i in (0, 1))
-    steps = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, len(cuts).bit_length())))])
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))])
 
     def step(bucket: Column, size: Column) -> Column:
         cut = bucket + size - 1
