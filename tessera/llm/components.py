@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.workspace import materialise, parts
 
-#: Largest group that one task clusters; larger ones go round by round.
-GROUP = 20_000
+#: Largest group that one task clusters, in members and in bytes of their payloads; larger ones go round by round.
+GROUP, GROUP_BYTES = 20_000, 64 << 20
 #: Members of a large group that all others are held against in one round.
 PIVOTS = 32
 
@@ -76,12 +76,12 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[by
 def cluster(members: DataFrame, compare, group: int = GROUP) -> DataFrame:
     """doc_id, root of all members (grp long, doc_id long, payload binary) within each group, root the smallest doc_id.
 
-    ``compare(payloads)`` returns the ``linked`` of ``spanning``. Groups of more than ``group`` members are clustered by
-    rounds of joins, without being gathered.
+    ``compare(payloads)`` returns the ``linked`` of ``spanning``. Groups of more than ``group`` members, or of more bytes
+    than GROUP_BYTES, are clustered by rounds of joins, without being gathered.
     """
     members = materialise(members, "members")
-    sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
-    large = materialise(sizes.where(F.col("size") > group).select("grp"), "large")
+    sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("size"), F.sum(F.length("payload").cast("long")).alias("bytes"))
+    large = materialise(sizes.where((F.col("size") > group) | (F.col("bytes") > GROUP_BYTES)).select("grp"), "large")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, roots = [], []

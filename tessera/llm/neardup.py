@@ -98,8 +98,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
 
     A text of fewer than k words is one shingle; null texts and texts without words are linked with nothing. Equal sets
     are one document from the start, so copies are never compared. component_id is the smallest doc_id that links
-    reach; kept is whether it is the document's own. Repeated rows give a row each and don't count as links; a null
-    doc_id stays without component. Other columns are ignored.
+    reach; kept is whether it is the document's own. Repeated rows give a row each and don't count as links; with a null
+    doc_id, component_id and kept are null. Other columns are ignored.
     """
     sketch = materialise(sketches(docs, k), "sketch")
     full = sketch.where("key is not null and doc_id is not null")
@@ -122,5 +122,5 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     full_sets = with_text.mapInArrow(gather, "grp long, doc_id long, payload binary").dropDuplicates(["grp", "doc_id"])
     linked = cluster(full_sets, partial(overlap, num=num, den=den)).where("doc_id <> root")
     of_key = reps.select("key", F.col("doc_id").alias("rep")).join(linked.select(F.col("doc_id").alias("rep"), "root"), "rep", "left").select("key", F.coalesce("root", "rep").alias("component"))
-    out = sketch.select("doc_id", "n_shingles", "key").join(of_key, "key", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    out = sketch.select("doc_id", "n_shingles", "key").join(of_key, "key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
