@@ -66,7 +66,7 @@ def first_of(*aliases: Column) -> Column:
 
 def header(name: Column) -> Column:
     """Display form of a column name: underscores are spaces, words have capitals."""
-    return F.array_join(F.transform(F.split(name, "_"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 10_000)))), " ")
+    return F.array_join(F.transform(F.split(name, "_"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2))))), " ")
 
 
 def normal_name(name: Column) -> Column:

@@ -1,18 +1,16 @@
 """Texts of documents: cleaning, sentences, chunks, tables, keywords, tokens."""
 
 import re
-import unicodedata
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf, udtf
+from pyspark.sql.functions import udtf
 from pyspark.sql.types import IntegerType, StringType, StructType
 
 #: Headings that begin references and acknowledgments.
-REFERENCE_HEADINGS = [r"(?im)^\s*(?:\d+\.?\s*)?references\s*$", r"(?im)^\s*bibliography\s*$", r"(?im)^\s*works cited\s*$"]
-ACKNOWLEDGMENTS = r"(?im)^\s*acknowledge?ments?\s*$"
+REFERENCE_HEADINGS = [r"(?im)^\s*(?:\d+\.?\s+)?references?\s*$", r"(?im)^\s*bibliography\s*$", r"(?im)^\s*literature\s+cited\s*$", r"(?i)\\section\*?\{references?\}"]
+ACKNOWLEDGMENTS = [r"(?im)^\s*acknowledgments?\s*$", r"(?im)^\s*acknowledgements?\s*$"]
 CAPTION = re.compile(r"^\s*table\s+\d+", re.I)
 
 
@@ -42,15 +40,23 @@ def windows(items: Column, width: int, overlap: int) -> Column:
 
 
 def packs(text: Column, width: int) -> Column:
-    """Sentences packed in order into passages of ``width`` words at most; a longer sentence is cut."""
-    pieces = F.flatten(F.transform(sentences(text), lambda s: windows(words(s), width, 0)))
-    start = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("now"))
+    """Sentences packed in order into passages of ``width`` words at most; a longer sentence is cut.
 
-    def step(acc: Column, piece: Column) -> Column:
-        fits = F.size(acc["now"]) + F.size(piece) <= width
-        return F.struct(F.when(fits, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["now"]))).alias("done"), F.when(fits, F.concat(acc["now"], piece)).otherwise(piece).alias("now"))
+    Only the sizes of sentences are folded, to the places where passages begin; the words are sliced once.
+    """
+    by_sentence = F.transform(sentences(text), words)
+    cut = lambda n: F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(width)), lambda i: F.least(F.lit(width), n - i))).otherwise(F.array().cast("array<int>"))
+    sizes = F.flatten(F.transform(by_sentence, lambda s: cut(F.size(s))))
+    start = F.struct(F.array(F.lit(0)).alias("begin"), F.lit(0).alias("now"), F.lit(0).alias("all"))
 
-    return F.aggregate(pieces, start, step, lambda acc: F.filter(F.concat(acc["done"], F.array(acc["now"])), lambda p: F.size(p) > 0))
+    def step(acc: Column, n: Column) -> Column:
+        fits = acc["now"] + n <= width
+        return F.struct(F.when(fits, acc["begin"]).otherwise(F.array_append(acc["begin"], acc["all"])).alias("begin"), F.when(fits, acc["now"] + n).otherwise(n).alias("now"), (acc["all"] + n).alias("all"))
+
+    places = F.aggregate(sizes, start, step)
+    one = F.array(F.struct(F.flatten(by_sentence).alias("w"), places["begin"].alias("begin"), places["all"].alias("all")))
+    sliced = F.transform(one, lambda x: F.transform(x["begin"], lambda b, i: F.slice(x["w"], b + 1, F.coalesce(F.get(x["begin"], i + 1), x["all"]) - b)))
+    return F.filter(F.flatten(sliced), lambda p: F.size(p) > 0)
 
 
 def chunks(text: Column, width: int, overlap: int = 64) -> Column:
@@ -78,36 +84,49 @@ def snippets(text: Column, terms: Column, most: int = 8) -> Column:
     return F.transform(F.slice(F.array_sort(scored), 1, most), lambda s: s["text"])
 
 
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def without_references(text: Column) -> Column:
-    """Text before the first kind of reference heading whose first place is after 70 % of the text."""
+    """Text before the first kind of reference heading whose first place is after 70 % of the text, stripped."""
     out = text
     for pattern in reversed(REFERENCE_HEADINGS):
         at = F.regexp_instr(text, F.lit(pattern))
-        out = F.when(at > 0.7 * F.length(text), F.regexp_replace(F.substring(text, F.lit(1), at - 1), r"\s+$", "")).otherwise(out)
+        out = F.when(at - 1 > 0.7 * F.length(text), stripped(F.substring(text, F.lit(1), at - 1))).otherwise(out)
     return out
 
 
 def without_acknowledgments(text: Column) -> Column:
-    """Text without the section of acknowledgments: to the next heading line, or to the end after 80 %."""
-    at = F.regexp_instr(text, F.lit(ACKNOWLEDGMENTS))
-    late = F.when(at > 0.8 * F.length(text), F.regexp_replace(F.substring(text, F.lit(1), at - 1), r"\s+$", ""))
-    inner = F.regexp_replace(text, r"(?ims)^\s*acknowledge?ments?\s*$.*?(?=^[A-Z][^\n]{0,60}$|\z)", "")
-    return F.when(at > 0, F.coalesce(late, inner)).otherwise(text)
+    """Text without the section of acknowledgments: to the next line that begins with a word, or to the end after 80 %."""
+    for pattern in ACKNOWLEDGMENTS:
+        at = F.regexp_instr(text, F.lit(pattern))
+        before = F.substring(text, F.lit(1), at - 1)
+        rest = F.substr(text, at + F.length(F.regexp_extract(text, pattern, 0)))
+        then = F.regexp_instr(rest, F.lit(r"(?im)^\s*(?:\d+\.?\s+)?[A-Z][a-z]+"))
+        text = F.when(at == 0, text).when(then > 0, F.concat(before, F.substr(rest, then))).when(at - 1 > 0.8 * F.length(text), before).otherwise(text)
+    return text
 
 
 def preprocess(text: Column, paper: Column) -> Column:
-    """Long papers lose references and acknowledgments; texts under 1000 characters stay."""
-    return F.when((F.length(text) >= 1000) & paper, without_acknowledgments(without_references(text))).otherwise(text)
+    """Papers (``paper`` says which) of 1000 characters or more lose references and acknowledgments; other texts stay."""
+    return F.when((F.length(text) >= 1000) & paper, stripped(without_acknowledgments(without_references(text)))).otherwise(text)
 
 
 def slug(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(name, r"[^\w\s.-]", ""), r"\s+", "_")
 
 
-@pandas_udf(StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    """Unicode normal form KC without control characters."""
-    return text.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKC", t) if c in "\n\t" or unicodedata.category(c) != "Cc"))
+def nfkc(text: Column) -> Column:
+    """Unicode normal form KC (ICU's, which Spark carries) without control characters but line breaks and tabs."""
+    composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
+    return F.when(text.isNotNull(), F.regexp_replace(composed, r"[\p{Cc}&&[^\n\t]]", ""))
+
+
+def line_cells(line: Column) -> Column:
+    """``cells_of`` as a column: by bars, else tabs, else two spaces or more."""
+    cut = F.when(line.contains("|"), F.split(F.regexp_replace(F.trim(line), r"^\|+|\|+$", ""), "[|]")).when(line.contains("\t"), F.split(line, "\t")).otherwise(F.split(F.trim(line), " {2,}"))
+    return F.transform(cut, lambda c: F.trim(c))
 
 
 def cells_of(line: str) -> list[str]:

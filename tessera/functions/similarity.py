@@ -22,9 +22,16 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def tokens(text: Column, stop_words: list[str] | None = None) -> Column:
-    """Distinct lower-case words of letters and digits."""
-    found = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+"), 0))
-    return F.filter(found, lambda w: ~w.isin(stop_words)) if stop_words else found
+    """Distinct lower-case words of letters and digits, without ``stop_words`` where they are given, by their stems."""
+    found = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+"), 0)
+    return F.array_distinct(F.transform(F.filter(found, lambda w: ~w.isin(stop_words)), stem)) if stop_words else F.array_distinct(found)
+
+
+def stem(word: Column) -> Column:
+    """A word without its commonest English endings."""
+    for pattern, by in ((r"(ss|sh|ch|x)es$", "$1"), (r"ies$", "y"), (r"(?<=[^su])s$", ""), (r"(?<=[a-z]{3})(ing|ed)$", "")):
+        word = F.regexp_replace(word, pattern, by)
+    return word
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -39,8 +46,8 @@ def contains_score(a: Column, b: Column) -> Column:
 
 
 def ratio(a: str, b: str) -> float:
-    """Share of characters in matching blocks, prediction first."""
-    return SequenceMatcher(None, a or "", b or "").ratio()
+    """Share of characters in matching blocks, prediction first, case apart."""
+    return SequenceMatcher(None, (a or "").lower(), (b or "").lower()).ratio()
 
 
 @pandas_udf(DoubleType())

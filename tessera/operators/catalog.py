@@ -105,6 +105,12 @@ class TableSchema:
         return TableSchema(raw.get("query", "") if isinstance(raw, dict) else "", tuple(cols), unit and Unit(unit["name"], unit.get("definition", ""), tuple(unit.get("example_names") or ())))
 
 
+def schema_jaccard(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
+    """jaccard of two sets of names, each name a row; 0 where both are empty."""
+    both = a.select(name).distinct().withColumn("a", F.lit(1)).join(b.select(name).distinct().withColumn("b", F.lit(1)), name, "full")
+    return both.agg(F.round(F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()) / F.greatest(F.count(F.lit(1)), F.lit(1)), 6).alias("jaccard"))
+
+
 def compatibility(schema: DataFrame, data: DataFrame) -> DataFrame:
     """name, status (matching, missing, extra) of schema columns against data columns, both by normal name."""
     a = schema.select(normal_name(F.col("name")).alias("name"), F.lit(1).alias("a")).distinct()

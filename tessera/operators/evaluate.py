@@ -7,8 +7,8 @@ from tessera.functions.cells import number
 from tessera.functions.similarity import contains_score
 
 #: Words that say yes and no; yes is looked for first.
-POSITIVE = ["yes", "true", "positive", "present", "1"]
-NEGATIVE = ["no", "false", "negative", "absent", "0"]
+POSITIVE = ["yes", "true", "positive", "confirmed", "present"]
+NEGATIVE = ["no", "false", "negative", "absent", "not", "none"]
 
 
 def binary(text: Column) -> Column:
@@ -20,7 +20,8 @@ def binary(text: Column) -> Column:
 
 
 def relative_error(predicted: Column, truth: Column) -> Column:
-    p, t = number(predicted), number(truth)
+    """Of the first number within the prediction against a truth that is a number; null where either is none."""
+    p, t = F.regexp_extract(predicted.cast("string"), r"[\d.]+", 0).try_cast("double"), number(truth)
     return F.when(t == 0, F.when(p == 0, 0.0).otherwise(1.0)).otherwise(F.abs(p - t) / F.abs(t))
 
 
@@ -49,14 +50,6 @@ def gt_metrics(df: DataFrame, predicted: Column, truth: Column) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(right.cast("double")), 6).alias("accuracy"), F.round(F.avg(inside.cast("double")), 6).alias("containment"))
 
 
-def match_rows(truth: DataFrame, predicted: DataFrame, key: str, least: float = 0.3) -> DataFrame:
-    """key, match, score: the prediction of best containment score for each truth, the first among equals; a nested loop over the smaller side."""
-    pairs = truth.select(F.col(key).alias("key")).join(predicted.select(F.col(key).alias("match")), F.col("key").contains(F.col("match")) | F.col("match").contains(F.col("key")))
-    pairs = pairs.withColumn("score", contains_score(F.col("key"), F.col("match"))).where(F.col("score") > least)
-    best = F.max_by("match", F.struct("score", F.lit(0)))
-    return pairs.groupBy("key").agg(F.max("score").alias("score"), best.alias("match"))
-
-
 def prf(tp: Column, fp: Column, fn: Column) -> list[Column]:
     """precision, recall and f1; 0 without true positives."""
     p, r = F.try_divide(tp, tp + fp), F.try_divide(tp, tp + fn)
@@ -76,15 +69,9 @@ def stratified(df: DataFrame, label: str, order: list[Column], n: int) -> DataFr
     return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 
-def confidence_class(text: Column) -> Column:
-    """High, Medium or Low by what a reply says of itself."""
-    low = F.lower(text)
-    return F.when(low.rlike("high|certain|confident"), "High").when(low.rlike("low|unsure|uncertain|guess"), "Low").otherwise("Medium")
-
-
 def column_usage(df: DataFrame, used: str) -> DataFrame:
     """name, rate: the share of rows that used each column, with its class."""
-    n = df.count()
-    rows = df.select(F.explode(used).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("k"))
-    rate = F.round(F.col("k") / F.lit(max(1, n)), 6)
+    n = df.agg(F.count(F.lit(1)).alias("n"))  # one row
+    rows = df.select(F.explode(used).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("k")).join(F.broadcast(n), F.lit(True))
+    rate = F.round(F.col("k") / F.col("n"), 6)
     return rows.select("name", rate.alias("rate"), F.when(rate > 0.7, "high").when(rate < 0.1, "low").otherwise("middle").alias("class"))

@@ -40,6 +40,17 @@ class Preset:
         return Preset(raw["name"], [Rule(**r) for r in raw["rules"]], [tuple(s) for s in raw["sort"]])
 
 
+def _compiles(pattern: str) -> bool:
+    from pyspark.errors import IllegalArgumentException
+    from pyspark.sql import SparkSession
+
+    try:
+        SparkSession.getActiveSession()._jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException:
+        return False
+    return True
+
+
 def _float(value: Any) -> float | None:
     try:
         return float(value)
@@ -52,8 +63,8 @@ def compile_rule(rule: Rule, types: Mapping[str, str], dialect: str = "server",
 
     An empty cell fails all but ``isNull``. A numeric rule on a numeric column compares without a cast, so that it is
     pushed down; on text it parses (``ui`` dialect: what the text begins with). A malformed ``between`` and an unknown
-    operator hold for every row that is not empty, as clients expect, unless ``strict``, which raises. A pattern that
-    Java cannot compile matches nothing.
+    operator hold for every row that is not empty, as clients expect, unless ``strict``, which raises. Patterns are
+    Java's, with Python's spelling of named groups; one that Java cannot compile matches nothing.
     """
     cell = F.col(rule.column)
     kind = types.get(rule.column, "string")
@@ -79,11 +90,9 @@ def _test(rule: Rule, cell: Column, kind: str, dialect: str, strict: bool) -> Co
         want = want if rule.case_sensitive else want.lower()
         return {"contains": left.contains, "equals": left.__eq__, "startsWith": left.startswith, "endsWith": left.endswith}[op](want)
     if op == "regex":
-        try:
-            re.compile(str(value))
-        except re.error:
-            return F.lit(False)
-        return text.rlike(str(value) if rule.case_sensitive else f"(?i){value}")
+        pattern = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", str(value).replace("(?P<", "(?<"))
+        pattern = pattern if rule.case_sensitive else f"(?iu){pattern}"
+        return text.rlike(pattern) if _compiles(pattern) else F.lit(False)
     if op in COMPARE or op == "between":
         have = cell if kind in NUMERIC else leading_number(cell) if dialect == "ui" else number(cell)
         if op == "between":

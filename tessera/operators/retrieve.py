@@ -29,6 +29,11 @@ def dynamic_k(rows: DataFrame, group: str, order: str, threshold: float, least:
     return rows.join(k, group).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.col("k"))
 
 
+def rerank(rows: DataFrame, score: Column, group: str, order: str, k: int) -> DataFrame:
+    """The k rows of each group by another ``score``, later ones first among equals."""
+    return top_k(rows.drop("rank").withColumn("similarity", score), group, order, k)
+
+
 def expanded_k(k: int) -> int:
     return min(max(2 * k, 8), 24)
 

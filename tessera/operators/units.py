@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.similarity import ratio, ratio_udf
+from tessera.sources.scratch import new_path
 
 #: Confidence from best to worst.
 CONFIDENCE = ["high", "known", "medium", "low"]
 #: Names that are no unit.
-SUSPICIOUS = ["n/a", "na", "none", "unknown", "unit", "example", "placeholder", "test"]
+SUSPICIOUS = ["answer", "excerpts", "confidence", "relevant_passages", "observation_units"]
 
 
 def unit_summary(df: DataFrame, unit: str, source: str) -> DataFrame:
@@ -33,7 +34,8 @@ def keep_confident(df: DataFrame, confidence: str = "confidence") -> DataFrame:
 
 
 def suspicious(name: Column) -> Column:
-    return F.lower(F.trim(name)).isin(SUSPICIOUS) | (F.length(F.trim(name)) < 2)
+    """Whether a unit's name is a key of another kind of reply."""
+    return F.coalesce(F.lower(F.trim(name)).isin(SUSPICIOUS), F.lit(False))
 
 
 def best_units(df: DataFrame, document: str, confidence: str, order: str, most: int = 15) -> DataFrame:
@@ -43,17 +45,36 @@ def best_units(df: DataFrame, document: str, confidence: str, order: str, most:
     return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
 
 
-def similar_units(names: DataFrame, threshold: float, blocks: Column) -> DataFrame:
-    """a, b, score of units of one block, a before b: 0.7 of the text ratio and 0.3 of the shared words over the longer's.
+def similar_units(names: DataFrame, threshold: float) -> DataFrame:
+    """a, b, score of units, a before b: 0.7 of the text ratio and 0.3 of the shared words over the longer's, case apart.
 
-    ``blocks``: an array of keys; two units meet if they share one. Pairs that share none are not compared.
+    Names without a word in common score below 0.7, so for a ``threshold`` of 0.7 or more the units that meet are those
+    that share a word. Names equal but for case score 1 and meet as such.
     """
-    keyed = names.select("name", F.explode(F.array_distinct(blocks)).alias("k"))
-    a, b = keyed.select("k", F.col("name").alias("a")), keyed.select("k", F.col("name").alias("b"))
-    pairs = a.join(b, "k").where("lower(a) < lower(b)").select("a", "b").distinct()
-    wa, wb = (F.array_distinct(F.split(F.lower(F.col(c)), r"\s+")) for c in "ab")
-    shared = F.size(F.array_intersect(wa, wb)) / F.greatest(F.size(wa), F.size(wb))
-    return pairs.select("a", "b", F.round(0.7 * ratio_udf(F.lower("a"), F.lower("b")) + 0.3 * shared, 6).alias("score")).where(F.col("score") >= threshold)
+    if threshold < 0.7:
+        raise ValueError("units below 0.7 may share no word")
+    plain = F.trim(F.lower("name"))
+    words = F.array_distinct(F.filter(F.split(plain, r"\s+"), lambda w: w != ""))
+    keyed = names.where("name is not null").distinct().select("name", plain.alias("low"), words.alias("w"))
+    one = keyed.select(F.explode("w").alias("k"), *(F.col(c).alias(f"a_{c}") for c in ("name", "low", "w")))
+    two = keyed.select(F.explode("w").alias("k"), *(F.col(c).alias(f"b_{c}") for c in ("name", "low", "w")))
+    # a pair meets at the least word it shares, so each pair is scored once
+    shared = F.array_intersect("a_w", "b_w")
+    pairs = one.join(two, "k").where("struct(a_low, a_name) < struct(b_low, b_name)").where(F.array_min(shared) == F.col("k"))
+    overlap = F.size(shared) / F.greatest(F.size("a_w"), F.size("b_w"))
+    score = F.when(F.col("a_low") == F.col("b_low"), 1.0).otherwise(F.round(0.7 * ratio_udf("a_low", "b_low") + 0.3 * overlap, 6))
+    return pairs.select(F.col("a_name").alias("a"), F.col("b_name").alias("b"), score.alias("score")).where(F.col("score") >= threshold)
+
+
+def merged_name(a: Column, b: Column) -> Column:
+    """name and reason of a merge of two units: the longer name where one holds the other, the first where they differ in case or spaces, else the shorter."""
+    x, y = F.trim(a), F.trim(b)
+    low = lambda c: F.lower(c)
+    tight = lambda c: F.replace(F.lower(c), F.lit(" "), F.lit(""))
+    variation = lambda p, q: F.concat(F.lit("'"), p, F.lit("' appears to be a variation of '"), q, F.lit("'"))
+    name = F.when(low(y).contains(low(x)), y).when(low(x).contains(low(y)), x).when(tight(x) == tight(y), x).when(F.length(x) <= F.length(y), x).otherwise(y)
+    reason = F.when(low(y).contains(low(x)), variation(x, y)).when(low(x).contains(low(y)), variation(y, x)).when(tight(x) == tight(y), "Names differ only in case or spacing").otherwise("names appear to refer to the same entity")
+    return F.struct(name.alias("name"), reason.alias("reason"))
 
 
 def merge_reason(a: Column, b: Column) -> Column:
@@ -68,19 +89,27 @@ def best_name(names: Column) -> Column:
     return F.aggregate(pool, F.lit(""), lambda a, n: F.when(F.length(n) > F.length(a), n).otherwise(a))
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """node, root of undirected edges (a, b), root the smallest node within reach; labels halve their distance each round."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root"))
-    for _ in range(rounds):
+def components(edges: DataFrame) -> DataFrame:
+    """node, root of undirected edges (a, b), root the smallest node within reach.
+
+    Labels go to neighbours and jump to their roots' roots until nothing changes, written to the shared folder each
+    round; minima are taken before the shuffle, so a node of many neighbours is no hot key.
+    """
+    spark = edges.sparkSession
+
+    def written(df: DataFrame) -> DataFrame:
+        df.write.parquet(path := new_path(spark, "components"))
+        return spark.read.schema(df.schema).parquet(path)
+
+    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a is not null and b is not null").distinct())
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
+    while True:
         near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         jump = labels.selectExpr("node AS root", "root AS far")
-        nxt = labels.join(near, "node").join(jump, "root", "left").selectExpr("node", "least(root, near, coalesce(far, root)) AS root")
-        nxt = nxt.checkpoint() if both.sparkSession.sparkContext.getCheckpointDir() else nxt.persist()
-        if nxt.join(labels.withColumnRenamed("root", "was"), "node").where("root <> was").isEmpty():
-            return nxt
-        labels = nxt
-    return labels
+        nxt = written(labels.join(near, "node").join(jump, "root", "left").selectExpr("node", "least(root, near, coalesce(far, root)) AS root", "root AS was"))
+        if nxt.where("root <> was").isEmpty():
+            return nxt.select("node", "root")
+        labels = nxt.select("node", "root")
 
 
 def dedup_units(df: DataFrame, document: str, name: str, vector: str, confidence: str, threshold: float = 0.85) -> DataFrame:

@@ -16,19 +16,60 @@ def _(events):
     return readers.read_jsonl(events.sparkSession, path, "event_id long, event_type string, value double")
 
 
-@query("src_05_csv", "customer", "SELECT c_custkey, c_name, c_mktsegment AS segment FROM customer")
+@query("src_05_csv", "customer", "SELECT c_custkey, c_name, c_mktsegment AS segment, CASE WHEN c_custkey % 3 = 0 THEN '# ' || c_name ELSE c_mktsegment || ', \"' || c_custkey || '\"' || chr(10) || 'c_custkey' END AS note FROM customer")
 def _(customer):
     spark, path = customer.sparkSession, new_path(customer.sparkSession, "csv")
-    writers.write_csv(customer.select("c_custkey", "c_name", "c_mktsegment"), path)
-    out = spark.read.option("header", True).schema("c_custkey long, c_name string, c_mktsegment string").csv(path)
-    return out.withColumnsRenamed({"c_mktsegment": "segment"})
+    note = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("# "), "c_name")).otherwise(F.concat(F.col("c_mktsegment"), F.lit(', "'), F.col("c_custkey").cast("string"), F.lit('"\nc_custkey')))
+    writers.write_csv(customer.select("c_custkey", "c_name", "c_mktsegment", note.alias("note")), path)
+    return readers.read_csv(spark, path, rename={"c_mktsegment": "segment"}, schema="c_custkey long, c_name string, c_mktsegment string, note string")
+
+
+@query("src_06_preamble", "supplier", "SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 2 = 0 THEN '# Query: which?' ELSE 's_suppkey,s_name' || chr(10) || 'x' END AS note FROM supplier")
+def _(supplier):
+    """Exports with a preamble, one for each nation, read back: rows that look like the preamble or the header stay."""
+    spark, path = supplier.sparkSession, new_path(supplier.sparkSession, "exports")
+    rows = supplier.withColumn("note", F.when(F.col("s_suppkey") % 2 == 0, "# Query: which?").otherwise("s_suppkey,s_name\nx"))
+    meta = {"session_id": "s", "query": "which?", "columns": [{"name": "s_name", "definition": "a name", "rationale": "asked"}]}
+    writers.export_csv(rows.select("s_suppkey", "s_name", "note", "s_nationkey"), path, meta, "s_nationkey")
+    return readers.read_csv(spark, f"{path}/*", schema="s_suppkey long, s_name string, note string")
+
+
+@query("src_07_validate", "events", "SELECT event_type, 'csv' AS format, count(*)::INT AS n_rows, 2 AS n_columns, false AS schema_only, 0 AS n_errors FROM events GROUP BY event_type")
+def _(events):
+    spark, path = events.sparkSession, new_path(events.sparkSession, "uploads")
+    writers.export_csv(events.select("event_id", "value", "event_type"), path, {"query": "q"}, "event_type")
+    found = readers.validate_files(spark, f"{path}/*").withColumn("event_type", F.regexp_extract(F.col("filename"), r"^(.*)\.csv$", 1))
+    return found.select("event_type", "format", "n_rows", "n_columns", "schema_only", F.size("errors").alias("n_errors"))
+
+
+@query("src_09_upload_errors", "nation", "SELECT n_regionkey, CASE n_regionkey % 3 WHEN 0 THEN ['not a CSV or JSON file'] WHEN 1 THEN ['empty'] ELSE [] END AS errors FROM nation GROUP BY n_regionkey")
+def _(nation):
+    spark, path = nation.sparkSession, new_path(nation.sparkSession, "uploads")
+    k = F.col("n_regionkey") % 3
+    files = nation.groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n")).select(F.concat(F.lit("f"), F.col("n_regionkey").cast("string"), F.when(k == 0, ".exe").when(k == 1, ".csv").otherwise(".jsonl")).alias("name"), F.when(k == 1, "# only a comment\n").otherwise('{"a": 1}\n').alias("text"))
+    writers.write_files(files, path)
+    return readers.validate_files(spark, path).select(F.regexp_extract("filename", r"(\d+)", 1).cast("int").alias("n_regionkey"), "errors")
+
+
+@query("src_10_schema_files", "part", "SELECT p_partkey, CASE WHEN p_partkey % 4 = 3 THEN NULL ELSE p_brand END AS name, CASE WHEN p_partkey % 4 = 3 THEN NULL ELSE p_type END AS rationale, CASE p_partkey % 4 WHEN 3 THEN NULL WHEN 1 THEN 2 ELSE 0 END AS n_allowed FROM part")
+def _(part):
+    """Schema files in their four forms: columns of each, none for one that is bad."""
+    k = F.col("p_partkey") % 4
+    old = F.struct(F.col("p_brand").alias("column"), F.col("p_type").alias("explanation"))
+    new = F.struct(F.col("p_brand").alias("name"), F.col("p_type").alias("rationale"), F.array("p_name", "p_brand").alias("allowed_values"))
+    text = F.when(k == 0, F.to_json(F.struct(F.array(old).alias("schema")))).when(k == 1, F.to_json(F.struct(F.array(new).alias("columns")))).when(k == 2, F.to_json(F.array(old))).otherwise("{bad")
+    c = F.get(readers.schema_columns(text), F.lit(0))
+    return part.select("p_partkey", c["name"].alias("name"), c["rationale"].alias("rationale"), F.when(c.isNotNull(), F.size(c["allowed_values"])).alias("n_allowed"))
 
 
 @query("src_08_json_rows", "supplier", "SELECT s_suppkey, s_name FROM supplier")
 def _(supplier):
+    """Complete exports with nine keys each, one for each nation, and their rows again."""
     spark, path = supplier.sparkSession, new_path(supplier.sparkSession, "json")
-    whole = supplier.agg(F.to_json(F.struct(F.collect_list(F.struct("s_suppkey", "s_name")).alias("data"))).alias("value"))
-    whole.write.text(path)
+    rows = F.collect_list(F.struct("s_suppkey", "s_name")).alias("data")
+    other = [F.lit(x).alias(x) for x in ("query", "generated", "session_id", "model", "unit", "evolution", "metadata", "version")]
+    files = supplier.groupBy("s_nationkey").agg(rows).select(F.concat(F.col("s_nationkey").cast("string"), F.lit(".json")).alias("name"), F.to_json(F.struct(*other, "data")).alias("text"))
+    writers.write_files(files, path)
     return readers.read_json(spark, path)
 
 

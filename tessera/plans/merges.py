@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tessera.functions import cells
 from tessera.functions.similarity import contains_score, jaccard, tokens
 from tessera.operators import catalog, merge, units
+from tessera.operators.match import match_rows
 from tessera.operators.table import runs
 from tessera.plans.registry import query
 
@@ -59,13 +60,10 @@ def _(orders):
     return merge.cross_file_dedup(orders.select("o_orderkey", "o_custkey", (F.col("o_orderkey") % 4).alias("f")), "o_custkey", "f").select("o_orderkey")
 
 
-@query("jon_07_containment_match", "part nation", "WITH t AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS key FROM part), p AS (SELECT DISTINCT p_name AS match FROM part WHERE p_partkey <= 200), x AS (SELECT key, match, least(length(key), length(match))::DOUBLE / greatest(length(key), length(match)) AS score FROM t, p WHERE contains(key, match) OR contains(match, key)) SELECT key, round(max(score), 6) AS score FROM x WHERE score > 0.3 GROUP BY key")
-def _(part, nation):
-    from tessera.operators.evaluate import match_rows
-
+@query("jon_07_containment_match", "part", "WITH t AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS key FROM part), p AS (SELECT DISTINCT p_name AS match FROM part), x AS (SELECT key, match, least(length(key), length(match))::DOUBLE / greatest(length(key), length(match)) AS score FROM t, p WHERE contains(key, match) OR contains(match, key)) SELECT key, round(max(score), 6) AS score FROM x WHERE score > 0.3 GROUP BY key")
+def _(part):
     truth = part.select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("n")).distinct()
-    found = part.where("p_partkey <= 200").select(F.col("p_name").alias("n")).distinct()
-    return match_rows(truth, found, "n").select("key", F.round("score", 6).alias("score"))
+    return match_rows(truth, part.select(F.col("p_name").alias("n")).distinct(), "n").select("key", F.round("score", 6).alias("score"))
 
 
 @query("jon_10_value_alignment", "documents labels", "SELECT count(*) AS n, round(avg(CASE WHEN l.quality IS NULL THEN 0.0 WHEN l.quality = 1 THEN 1.0 ELSE 0.5 END), 6) AS mean_score FROM documents d LEFT JOIN labels l USING (doc_id)")
@@ -83,7 +81,7 @@ def _(nation, region):
 @query("jon_12_similar_units", "part")
 def _(part):
     names = part.select(F.col("p_name").alias("name")).distinct()
-    return units.similar_units(names, 0.7, F.split("name", " "))
+    return units.similar_units(names, 0.7)
 
 
 @query("jon_13_availability", "documents benchmark", "SELECT source AS paper, CASE WHEN source IN ('src0', 'src1', 'src2') THEN 'local' WHEN source IN ('src3', 'src4') THEN 'cloud' ELSE 'missing' END AS status, count(DISTINCT doc_id) AS n_rows FROM documents GROUP BY source")
@@ -93,16 +91,16 @@ def _(documents, benchmark):
     return merge.availability(refs, papers.where(F.col("paper").isin("src0", "src1", "src2")), papers.where(F.col("paper").isin("src2", "src3", "src4")))
 
 
-@query("jon_14_papers_to_rows", "orders", "SELECT o_custkey AS paper, list(o_orderkey ORDER BY o_orderkey) AS rows FROM orders WHERE o_custkey <= 50 GROUP BY o_custkey")
+@query("jon_14_papers_to_rows", "orders", "SELECT o_custkey AS paper, list(o_orderkey ORDER BY o_orderkey) AS rows FROM orders GROUP BY o_custkey")
 def _(orders):
-    few = orders.where("o_custkey <= 50").select("o_orderkey", F.array("o_custkey").alias("papers"))
-    return merge.papers_of_rows(few, "o_orderkey", "papers")
+    rows = orders.select("o_orderkey", F.array("o_custkey").alias("papers"))
+    return merge.papers_of_rows(rows, "o_orderkey", "papers")
 
 
-@query("jon_15_new_columns", "part", "SELECT DISTINCT lower(p_type) AS name FROM part WHERE lower(p_type) NOT IN (SELECT lower(p_type) FROM part WHERE p_size > 49)")
+@query("jon_15_new_columns", "part", "SELECT DISTINCT lower(p_type) AS name FROM part WHERE lower(p_type) NOT IN (SELECT lower(p_type) FROM part WHERE p_size > 20 AND p_size % 7 = 0 AND starts_with(p_type, 'S'))")
 def _(part):
     low = part.select(F.lower("p_type").alias("name"), "p_size")
-    return low.select("name").distinct().join(low.where("p_size > 49").select("name"), "name", "left_anti")
+    return low.select("name").distinct().join(low.where("p_size > 20 AND p_size % 7 = 0 AND name LIKE 's%'").select("name"), "name", "left_anti")
 
 
 @query("jon_16_changes", "nation", "SELECT name, change FROM (SELECT CASE n_regionkey WHEN 1 THEN n_name || '2' ELSE n_name END AS name, CASE n_regionkey WHEN 0 THEN 'new' WHEN 1 THEN 'renamed' WHEN 2 THEN 'definition' WHEN 3 THEN 'allowed_values' END AS change FROM nation) WHERE change IS NOT NULL")
@@ -156,12 +154,11 @@ def _(conversations):
     return merge.fold_rows(conversations, "conv_id", "turn", "text")
 
 
-@query("agg_28_row_completion", "lineitem", "SELECT l_orderkey, count(*) FILTER (l_linenumber > 3) = 0 AS complete FROM lineitem WHERE l_orderkey <= 400 GROUP BY l_orderkey")
+@query("agg_28_row_completion", "lineitem", "SELECT l_orderkey, count(*) FILTER (l_linenumber > 3) = 0 AS complete FROM lineitem GROUP BY l_orderkey")
 def _(lineitem):
-    few = lineitem.where("l_orderkey <= 400")
     number = F.col("l_linenumber").cast("string")
-    expected = few.groupBy("l_orderkey").agg(F.collect_set(number).alias("papers"))
-    done = few.where("l_linenumber <= 3").groupBy("l_orderkey").agg(F.collect_set(number).alias("papers"))
+    expected = lineitem.groupBy("l_orderkey").agg(F.collect_set(number).alias("papers"))
+    done = lineitem.where("l_linenumber <= 3").groupBy("l_orderkey").agg(F.collect_set(number).alias("papers"))
     return merge.complete_rows(expected, done, "l_orderkey", "papers")
 
 
@@ -200,9 +197,9 @@ def _(lineitem):
     return units.keep_confident(named).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("flt_24_suspicious_names", "customer", "SELECT c_custkey FROM customer WHERE c_mktsegment NOT IN ('AUTOMOBILE')")
+@query("flt_24_suspicious_names", "customer", "SELECT c_custkey FROM customer WHERE c_mktsegment NOT IN ('AUTOMOBILE', 'BUILDING')")
 def _(customer):
-    named = customer.withColumn("name", F.when(F.col("c_mktsegment") == "AUTOMOBILE", "N/A").otherwise(F.col("c_mktsegment")))
+    named = customer.withColumn("name", F.when(F.col("c_mktsegment") == "AUTOMOBILE", " Answer ").when(F.col("c_mktsegment") == "BUILDING", "observation_units").when(F.col("c_mktsegment") == "MACHINERY", "test").otherwise(F.col("c_mktsegment")))
     return named.where(~units.suspicious(F.col("name"))).select("c_custkey")
 
 
@@ -213,10 +210,15 @@ def _(nation):
     return pairs.select(F.col("a.n_name").alias("a"), F.col("b.n_name").alias("b"), units.merge_reason(F.col("a.n_name"), F.col("b.n_name")).alias("reason"))
 
 
-@query("sim_07_components", "orders", "WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, o_orderkey % 40 + 1000000 AS b FROM orders WHERE o_orderkey % 7 = 0 AND o_orderkey % 40 < 20), l AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a) SELECT a AS node, least(a, min(b)) AS root FROM r GROUP BY a")
-def _(orders):
-    edges = orders.where("o_orderkey % 7 = 0 AND o_orderkey % 40 < 20").select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") % 40 + 1000000).alias("b")).distinct()
-    return units.components(edges)
+@query("sim_07_components", "customer orders", "WITH m AS (SELECT o_custkey, min(o_orderkey) AS root FROM orders GROUP BY o_custkey) SELECT o_orderkey AS node, root FROM orders JOIN m USING (o_custkey) UNION ALL SELECT o_custkey + 1000000000000, root FROM m")
+def _(customer, orders):
+    return units.components(orders.select(F.col("o_orderkey").alias("a"), (F.col("o_custkey") + 1000000000000).alias("b")))
+
+
+@query("sim_07_best_name", "part", "WITH n AS (SELECT lower(p_brand) AS unit, list(DISTINCT CASE WHEN p_partkey % 2 = 0 THEN upper(p_brand) ELSE p_brand END) AS names FROM part GROUP BY 1) SELECT unit, CASE WHEN len(list_filter(names, lambda x: x <> upper(x))) > 0 THEN list_filter(names, lambda x: x <> upper(x))[1] ELSE names[1] END AS name FROM n")
+def _(part):
+    name = F.when(F.col("p_partkey") % 2 == 0, F.upper("p_brand")).otherwise(F.col("p_brand"))
+    return part.groupBy(F.lower("p_brand").alias("unit")).agg(F.collect_set(name).alias("names")).select("unit", units.best_name(F.col("names")).alias("name"))
 
 
 @query("sim_08_merge_units", "documents", "SELECT doc_id, CASE WHEN lang IN ('es', 'fr') THEN 'romance' ELSE lang END AS lang, CASE WHEN lang IN ('es', 'fr') THEN [lang] END AS original_units FROM documents")
@@ -242,13 +244,14 @@ def _(part):
 
 @query("set_01_schema_jaccard", "part", "SELECT round(len(list_intersect(a, b))::DOUBLE / greatest(len(list_distinct(list_concat(a, b))), 1), 6) AS jaccard FROM (SELECT list(DISTINCT lower(p_type)) FILTER (p_size < 30) AS a, list(DISTINCT lower(p_type)) FILTER (p_size > 20) AS b FROM part)")
 def _(part):
-    low = F.lower("p_type")
-    return part.agg(F.collect_set(F.when(F.col("p_size") < 30, low)).alias("a"), F.collect_set(F.when(F.col("p_size") > 20, low)).alias("b")).select(F.round(jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))
+    low = part.select(F.lower("p_type").alias("name"), "p_size")
+    return catalog.schema_jaccard(low.where("p_size < 30"), low.where("p_size > 20"), "name")
 
 
-@query("set_04_except", "part", "SELECT DISTINCT p_brand FROM part WHERE p_size > 25 EXCEPT SELECT p_brand FROM part WHERE p_size < 3")
+@query("set_04_except", "part", "SELECT DISTINCT p_type || p_brand AS name FROM part WHERE p_size > 25 EXCEPT SELECT p_type || p_brand FROM part WHERE p_size < 20")
 def _(part):
-    return part.where("p_size > 25").select("p_brand").distinct().join(part.where("p_size < 3").select("p_brand"), "p_brand", "left_anti")
+    named = part.select(F.concat("p_type", "p_brand").alias("name"), "p_size")
+    return named.where("p_size > 25").select("name").distinct().join(named.where("p_size < 20").select("name"), "name", "left_anti")
 
 
 @query("set_05_union_locations", "supplier customer", "SELECT s_name AS name, 0 AS file_ord FROM supplier UNION ALL SELECT c_name, 1 FROM customer")

@@ -169,9 +169,12 @@ def _(orders):
     return orders.select("o_orderkey", match.alias("match"))
 
 
-@query("sim_22_rerank", "embeddings", "SELECT label, min(vec_id) AS vec_id FROM embeddings GROUP BY label")
+@query("sim_22_rerank", "embeddings", "WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, label, list_dot_product(embedding::DOUBLE[], q::DOUBLE[]) AS d, list_dot_product(embedding::DOUBLE[], q::DOUBLE[]) / ((sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) + 1e-8) * (sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[])) + 1e-8)) AS sim FROM embeddings, q), t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sim DESC, vec_id DESC) AS n FROM s) WHERE n <= 8) SELECT label, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY d DESC, vec_id DESC) AS m FROM t) WHERE m <= 3")
 def _(embeddings):
-    return retrieve.top_k(embeddings.withColumn("similarity", -F.col("vec_id").cast("double")), "label", "vec_id", 1).select("label", "vec_id")
+    """The eight nearest by cosine of each label, ordered anew by a second scorer, three kept."""
+    q = embeddings.where("vec_id = 0").select(F.col("embedding").alias("q"))
+    near = embeddings.join(F.broadcast(q), F.lit(True)).withColumn("similarity", similarity.cosine(F.col("embedding"), F.col("q")))
+    return retrieve.rerank(retrieve.top_k(near, "label", "vec_id", 8), similarity.dot(F.col("embedding"), F.col("q")), "label", "vec_id", 3).select("label", "vec_id")
 
 
 @query("ddl_03_add_column", "nation", "SELECT n_nationkey, NULL::VARCHAR AS note FROM nation")
@@ -198,12 +201,12 @@ def _(events):
     return out.select(F.col("window.start").alias("start"), "event_type", "n")
 
 
-@query("str_08_suggested", "events", "SELECT DISTINCT event_type AS \"column\", user_id % 3 = 0 AS value FROM events")
+@query("str_08_suggested", "events", "SELECT event_type AS \"column\", user_id % 3 = 0 AS value, count(DISTINCT user_id) AS documents FROM events GROUP BY ALL")
 def _(events):
     from tessera.plans.jobs import _stream
 
     rows = _stream(events).select(F.col("event_type").alias("column"), (F.col("user_id") % 3 == 0).alias("value"), F.col("user_id").alias("document"))
-    return progress.run_once(progress.suggested(rows)).select("column", "value")
+    return progress.run_once(progress.suggested(rows))
 
 
 @query("sup_01_fill_by_position", "nation region", "SELECT n_nationkey, r_name AS paper FROM nation JOIN region ON n_nationkey = r_regionkey")
@@ -222,9 +225,10 @@ def _(documents):
     return documents.withColumn("n", F.row_number().over(w)).where("n <= 2").select("doc_id", "lang")
 
 
-@query("sup_09_named_shots", "labels", "SELECT doc_id FROM labels WHERE doc_id IN (1, 2, 3, 5, 8)")
-def _(labels):
-    return labels.where(F.col("doc_id").isin(1, 2, 3, 5, 8)).select("doc_id")
+@query("sup_09_named_shots", "labels documents", "SELECT doc_id, quality FROM labels WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY source)")
+def _(labels, documents):
+    """Rows picked by name: those of each source's first document."""
+    return labels.join(documents.groupBy("source").agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "doc_id", "left_semi").select("doc_id", "quality")
 
 
 @query("sup_11_recommendations", "labels", "SELECT round(avg(quality), 6) AS accuracy, CASE WHEN avg(quality) < 0.7 THEN ['refine definitions', 'add columns'] WHEN avg(quality) < 0.8 THEN ['add columns'] ELSE [] END AS recommendations FROM labels")

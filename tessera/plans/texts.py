@@ -3,9 +3,8 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.functions import cells, documents as docs_, similarity
-from tessera.operators import cost, evaluate, retrieve
-from tessera.operators.blocks import join_blocks
+from tessera.functions import cells, documents as docs_, replies, similarity
+from tessera.operators import cost, evaluate, filters, match, retrieve
 from tessera.plans.registry import query
 
 _SENT = "string_split(regexp_replace(text, '([.?!])\\s+', '\\1' || chr(1), 'g'), chr(1))"
@@ -28,25 +27,27 @@ def _(documents):
     return documents.select("doc_id", F.posexplode(docs_.chunks(F.col("text"), docs_.chunk_width(2000, 15))).alias("pos", "passage"))
 
 
-@query("doc_01_preprocess", "documents", "SELECT doc_id, length(text) AS n FROM documents")
+@query("doc_01_preprocess", "documents", "WITH t AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Abstract and introduction' || chr(10) || text || chr(10) || 'the methods and results' ELSE text END AS body FROM documents), f AS (SELECT doc_id, body, body || chr(10) || 'References' || chr(10) || '[1] x' AS whole FROM t) SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND length(whole) >= 1000 THEN regexp_replace(body, '^\\s+|\\s+$', '', 'g') ELSE whole END AS text FROM f")
 def _(documents):
-    text = docs_.preprocess(F.col("text"), F.lit(False))
-    return documents.select("doc_id", F.length(text).cast("long").alias("n"))
+    body = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Abstract and introduction\n"), "text", F.lit("\nthe methods and results"))).otherwise(F.col("text"))
+    shown = documents.select("doc_id", F.concat(body, F.lit("\nReferences\n[1] x")).alias("text"))
+    return shown.select("doc_id", docs_.preprocess(F.col("text"), filters.paper_score(F.col("text")) >= 4).alias("text"))
 
 
-_TRIMMED = "SELECT doc_id, regexp_replace(text, '\\s+$', '') AS text FROM documents WHERE length(text) >= 200"
+# where a heading that follows a text begins: after the first line break that ends it
+_HEADED = "WITH h AS (SELECT doc_id, text, CASE doc_id % 5 WHEN 0 THEN 'References' WHEN 1 THEN '2. Reference' WHEN 2 THEN 'literature cited' WHEN 3 THEN '\\section{references}' ELSE 'Works cited' END AS heading FROM documents), f AS (SELECT doc_id, heading, text || chr(10) || heading || chr(10) || '[1] x' AS t, length(regexp_replace(text, '\\s+$', '')) AS n, length(text) AS whole FROM h), g AS (SELECT *, CASE WHEN doc_id % 5 = 3 THEN whole + 2 WHEN n = 0 THEN 1 ELSE n + strpos(substr(t, n + 1), chr(10)) + 1 END AS place FROM f)"
 
 
-@query("doc_02_references", "documents", _TRIMMED)
+@query("doc_02_references", "documents", f"{_HEADED} SELECT doc_id, CASE WHEN doc_id % 5 < 4 AND place - 1 > 0.7 * length(t) THEN regexp_replace(substr(t, 1, place - 1), '^\\s+|\\s+$', '', 'g') ELSE t END AS text FROM g")
 def _(documents):
-    long = documents.where("length(text) >= 200")
-    return long.select("doc_id", docs_.without_references(F.concat("text", F.lit("\n  References\n[1] x"))).alias("text"))
+    heading = F.get(F.array(*map(F.lit, ("References", "2. Reference", "literature cited", "\\section{references}", "Works cited"))), (F.col("doc_id") % 5).cast("int"))
+    return documents.select("doc_id", docs_.without_references(F.concat("text", F.lit("\n"), heading, F.lit("\n[1] x"))).alias("text"))
 
 
-@query("doc_03_acknowledgments", "documents", _TRIMMED)
+@query("doc_03_acknowledgments", "documents", "WITH f AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '[1] 2' ELSE 'we thank' END AS tail, text || chr(10) || 'Acknowledgements' || chr(10) || CASE WHEN doc_id % 3 = 0 THEN '[1] 2' ELSE 'we thank' END AS t, length(regexp_replace(text, '\\s+$', '')) AS n FROM documents), g AS (SELECT *, CASE WHEN n = 0 THEN 1 ELSE n + strpos(substr(t, n + 1), chr(10)) + 1 END AS place FROM f) SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN substr(t, 1, place - 1) || chr(10) || tail WHEN place - 1 > 0.8 * length(t) THEN substr(t, 1, place - 1) ELSE t END AS text FROM g")
 def _(documents):
-    long = documents.where("length(text) >= 200")
-    return long.select("doc_id", docs_.without_acknowledgments(F.concat("text", F.lit("\nAcknowledgments\nwe thank"))).alias("text"))
+    tail = F.when(F.col("doc_id") % 3 == 0, "[1] 2").otherwise("we thank")
+    return documents.select("doc_id", docs_.without_acknowledgments(F.concat("text", F.lit("\nAcknowledgements\n"), tail)).alias("text"))
 
 
 @query("doc_05_tables", "pages")
@@ -55,10 +56,11 @@ def _(pages):
     return pages.select("page_id", text.alias("text")).lateralJoin(docs_.DetectTables(F.col("text").outer())).drop("text")
 
 
-@query("doc_07_cells", "part", "SELECT p_partkey, 3 AS n FROM part")
+@query("doc_07_cells", "part", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN [p_name, p_brand, p_type] WHEN 1 THEN [p_name, p_brand] ELSE [p_name, p_type] END AS cells FROM part")
 def _(part):
-    line = F.concat_ws(" | ", "p_name", "p_brand", "p_type")
-    return part.select("p_partkey", F.size(F.split(line, r"\s*\|\s*")).alias("n"))
+    k = F.col("p_partkey") % 3
+    line = F.when(k == 0, F.concat(F.lit("| "), F.concat_ws(" | ", "p_name", "p_brand", "p_type"), F.lit(" |"))).when(k == 1, F.concat_ws("\t", "p_name", "p_brand")).otherwise(F.concat_ws("   ", "p_name", "p_type"))
+    return part.select("p_partkey", docs_.line_cells(line).alias("cells"))
 
 
 @query("doc_12_keywords", "part", "SELECT p_partkey, list_sort(list_filter(list_distinct(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z0-9_]+')), lambda w: length(w) > 2)) AS keywords FROM part")
@@ -74,7 +76,7 @@ def _(pages):
 
 @query("fn_04_nfkc", "documents")
 def _(documents):
-    return documents.select("doc_id", docs_.nfkc("text").alias("text"))
+    return documents.select("doc_id", docs_.nfkc(F.col("text")).alias("text"))
 
 
 @query("fn_05_slug", "part", "SELECT p_partkey, regexp_replace(regexp_replace(p_name, '[^\\w\\s.-]', '', 'g'), '\\s+', '_', 'g') AS slug FROM part")
@@ -89,26 +91,45 @@ def _(documents):
 
 @query("fn_12_json", "events", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 def _(events):
-    fenced = F.concat(F.lit("```json\n"), "props", F.lit("\n```"))
-    inner = F.regexp_extract(fenced, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
-    return events.select("event_id", F.try_variant_get(F.try_parse_json(inner), "$.k", "string").alias("k"))
+    k = F.col("event_id") % 6
+    cut = F.regexp_replace("props", r"\}\s*$", "")
+    shown = (
+        F.when(k == 0, F.concat(F.lit("Sure:\n```json\n"), "props", F.lit("\n``` as asked")))
+        .when(k == 1, F.concat(cut, F.lit(", }")))
+        .when(k == 2, cut)
+        .when(k == 3, F.concat(F.lit("I found "), "props"))
+        .when(k == 4, F.translate("props", '"', "“"))
+        .otherwise(F.col("props"))
+    )
+    return events.select("event_id", F.try_variant_get(replies.repaired(shown), "$.k", "string").alias("k"))
 
 
-@query("fn_18_confidence", "conversations", "SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), 'high|certain|confident') THEN 'High' WHEN regexp_matches(lower(text), 'low|unsure|uncertain|guess') THEN 'Low' ELSE 'Medium' END AS confidence FROM conversations")
-def _(conversations):
-    return conversations.select("conv_id", "turn", evaluate.confidence_class(F.col("text")).alias("confidence"))
+_HOLDS = lambda column, words: "(" + " OR ".join(f"contains({column}, '{w}')" for w in words) + ")"
+_CONFIDENCE = f"CASE WHEN {_HOLDS('t', ['high confident', 'very confident', 'certain', 'definitely'])} THEN 'High' WHEN {_HOLDS('t', ['medium', 'somewhat', 'likely', 'probably'])} THEN 'Medium' WHEN {_HOLDS('t', ['low', 'uncertain', 'unclear', 'insufficient', 'not sure'])} THEN 'Low' ELSE 'Medium' END"
+_SUFFICIENCY = f"CASE WHEN {_HOLDS('t', ['insufficient information', 'not enough', 'missing', 'unclear'])} THEN 'Insufficient' WHEN {_HOLDS('t', ['partially', 'somewhat', 'limited'])} THEN 'Partial' ELSE 'Complete' END"
+_SAID = "SELECT event_id, lower(props || CASE event_id % 8 WHEN 0 THEN ' I am Certain' WHEN 1 THEN ' probably so' WHEN 2 THEN ' not sure, unclear' WHEN 3 THEN ' confident' WHEN 4 THEN ' somewhat limited' WHEN 5 THEN ' not enough, low' WHEN 6 THEN ' partially' ELSE '' END) AS t FROM events"
 
 
-@query("fn_19_reply_parts", "part", "SELECT p_partkey, p_name AS answer, p_brand AS confidence, p_type || '|x' AS reasoning FROM part")
+def _said(events):
+    tail = F.get(F.array(*map(F.lit, (" I am Certain", " probably so", " not sure, unclear", " confident", " somewhat limited", " not enough, low", " partially", ""))), (F.col("event_id") % 8).cast("int"))
+    return events.select("event_id", F.concat("props", tail).alias("t"))
+
+
+@query("fn_18_confidence", "events", f"SELECT event_id, {_CONFIDENCE} AS confidence, {_SUFFICIENCY} AS sufficiency FROM ({_SAID})")
+def _(events):
+    return _said(events).select("event_id", replies.confidence(F.col("t")).alias("confidence"), replies.sufficiency(F.col("t"), F.lit("")).alias("sufficiency"))
+
+
+@query("fn_19_reply_parts", "part", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE p_name END AS answer, CASE WHEN p_partkey % 3 = 0 THEN 'Medium' ELSE p_brand END AS confidence, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE p_type || ' |x' END AS reasoning, 'Complete' AS sufficiency FROM part")
 def _(part):
-    got = F.split(F.concat(F.concat_ws("|", "p_name", "p_brand", "p_type"), F.lit("|x")), "[|]", 3)
-    return part.select("p_partkey", *[F.element_at(got, i).alias(n) for i, n in enumerate(("answer", "confidence", "reasoning"), 1)])
+    reply = F.when(F.col("p_partkey") % 3 == 0, F.concat("p_name", F.lit("  "))).otherwise(F.concat(F.concat_ws(" | ", "p_name", "p_brand", "p_type"), F.lit(" |x ")))
+    return part.select("p_partkey", replies.parts(reply).alias("p")).select("p_partkey", "p.*")
 
 
-@query("fn_20_binary", "orders", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN true WHEN o_orderstatus = 'F' THEN false END AS v FROM orders")
-def _(orders):
-    text = F.when(F.col("o_orderstatus") == "O", "not present").when(F.col("o_orderstatus") == "F", "it is absent").otherwise("maybe")
-    return orders.select("o_orderkey", evaluate.binary(text).alias("v"))
+@query("fn_20_binary", "events", f"SELECT event_id, CASE WHEN {_HOLDS('t', ['yes', 'true', 'positive', 'confirmed', 'present'])} THEN true WHEN {_HOLDS('t', ['no', 'false', 'negative', 'absent', 'not', 'none'])} THEN false END AS v FROM (SELECT event_id, lower(event_type || CASE event_id % 6 WHEN 0 THEN ' is NOT present' WHEN 1 THEN ' Confirmed' WHEN 2 THEN ' 12 mg' WHEN 3 THEN ' absent' WHEN 4 THEN ' none' ELSE '' END) AS t FROM events)")
+def _(events):
+    tail = F.get(F.array(*map(F.lit, (" is NOT present", " Confirmed", " 12 mg", " absent", " none", ""))), (F.col("event_id") % 6).cast("int"))
+    return events.select("event_id", evaluate.binary(F.concat("event_type", tail)).alias("v"))
 
 
 @query("fn_21_longest_capitals", "part", "SELECT p_partkey, coalesce(list_reduce(list_prepend('', regexp_extract_all(upper(p_name), '[A-Z]{3,}')), lambda a, x: CASE WHEN length(x) > length(a) THEN x ELSE a END), '') AS v FROM part")
@@ -155,9 +176,10 @@ def _(part):
     return part.select("p_partkey", F.when(number > 40, F.lit(40.0).cast("string")).otherwise(F.col("p_size").cast("string")).alias("v"))
 
 
-@query("sim_14_numeric", "part", "SELECT p_partkey, abs(p_retailprice - (p_retailprice + p_size)) / abs(p_retailprice + p_size) < 0.01 AS match, round(greatest(0, 1 - abs(p_retailprice - (p_retailprice + p_size)) / abs(p_retailprice + p_size)), 6) AS similarity FROM part")
+@query("sim_14_numeric", "part", "WITH x AS (SELECT p_partkey, CASE WHEN p_partkey % 5 > 0 THEN round(p_retailprice, 2) END AS p, p_retailprice + p_size % 20 AS t FROM part) SELECT p_partkey, abs(p - t) / abs(t) < 0.01 AS match, round(greatest(0, 1 - abs(p - t) / abs(t)), 6) AS similarity FROM x")
 def _(part):
-    got = evaluate.numeric_match(F.col("p_retailprice"), F.col("p_retailprice") + F.col("p_size"))
+    said = F.when(F.col("p_partkey") % 5 > 0, F.concat(F.lit("about "), F.format_string("%.2f", "p_retailprice"), F.lit(" EUR, or 7"))).otherwise("no idea")
+    got = evaluate.numeric_match(said, F.col("p_retailprice") + F.col("p_size") % 20)
     return part.select("p_partkey", got["match"].alias("match"), F.round(got["similarity"], 6).alias("similarity"))
 
 
@@ -182,22 +204,24 @@ def _(part):
 
 @query("jon_19_ground_plain", "benchmark documents", "SELECT item_id, doc_id, CASE WHEN contains(d.text, b.text) THEN 'exact' ELSE 'case_insensitive' END AS status FROM benchmark b, documents d WHERE contains(lower(d.text), lower(b.text))")
 def _(benchmark, documents):
-    pairs = join_blocks(documents, benchmark.select("item_id", F.col("text").alias("excerpt")), F.lower("text").contains(F.lower("excerpt")))
-    return pairs.select("item_id", "doc_id", similarity.ground_plain(F.col("excerpt"), F.col("text")).alias("status"))
+    return _grounded(benchmark, documents).select(F.col("inner").alias("item_id"), F.col("outer").alias("doc_id"), similarity.ground_plain(F.col("text_in"), F.col("text_out")).alias("status"))
+
+
+def _grounded(benchmark, documents):
+    return match.grounded(benchmark.select(F.col("item_id").alias("inner"), F.col("text").alias("text_in")), documents.select(F.col("doc_id").alias("outer"), F.col("text").alias("text_out")))
 
 
 @query("sim_12_ground_fuzzy", "documents")
 def _(documents):
     words = F.split("text", r"\s+")
     excerpt = F.array_join(F.slice(F.transform(words, lambda w, i: F.when(i == 6, F.lit("other")).otherwise(w)), 3, 12), " ")
-    short = documents.where("n_chars < 600").select("doc_id", "text", excerpt.alias("excerpt"))
-    return short.select("doc_id", similarity.ground_udf("excerpt", "text").alias("g")).select("doc_id", "g.*")
+    shown = documents.select("doc_id", "text", excerpt.alias("excerpt"))
+    return shown.select("doc_id", similarity.ground_udf("excerpt", "text").alias("g")).select("doc_id", "g.*")
 
 
 @query("agg_11_grounding_stats", "benchmark documents", "SELECT CASE WHEN contains(d.text, b.text) THEN 'exact' ELSE 'case_insensitive' END AS status, count(*) AS n FROM benchmark b, documents d WHERE contains(lower(d.text), lower(b.text)) GROUP BY 1")
 def _(benchmark, documents):
-    pairs = join_blocks(documents, benchmark.select("item_id", F.col("text").alias("excerpt")), F.lower("text").contains(F.lower("excerpt")))
-    return pairs.groupBy(similarity.ground_plain(F.col("excerpt"), F.col("text")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    return _grounded(benchmark, documents).groupBy(similarity.ground_plain(F.col("text_in"), F.col("text_out")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("agg_12_gt_metrics", "labels", "SELECT count(*) AS n, round(avg((quality::VARCHAR = toxic::VARCHAR)::INT), 6) AS accuracy, round(avg((quality::VARCHAR = toxic::VARCHAR)::INT), 6) AS containment FROM labels")

@@ -1,6 +1,5 @@
 """Readers: text scans, JSON in several shapes, CSV with a preamble, tables of several locations."""
 
-import csv
 import json
 import re
 from functools import reduce
@@ -9,6 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tessera.sources.scratch import new_path
+from tessera.sources.writers import write_files
+
 #: Names of system files.
 SYSTEM_FILES = r"^(\..*|Thumbs\.db|desktop\.ini|~\$.*|\._.*|\.tmp.*)$"
 TEXT_FILES = "*.{txt,md,html,htm,TXT,MD,HTML,HTM}"
@@ -47,46 +49,62 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: StructType |
 
 
 def read_json(spark: SparkSession, path: str, rows: str = "data") -> DataFrame:
-    """Rows of a JSON file: a list, an export with its rows under ``rows``, or one object."""
+    """Rows of a JSON file: a list, an export with its rows in a list under ``rows`` (whatever else it holds), or one object."""
     df = spark.read.option("multiLine", True).json(path)
-    return df.select(F.explode(rows).alias("r")).select("r.*") if rows in df.columns and len(df.columns) < 6 and "array" in dict(df.dtypes)[rows] else df
+    return df.select(F.explode(rows).alias("r")).select("r.*") if dict(df.dtypes).get(rows, "").startswith("array<struct") else df
+
+
+#: Comment and blank lines before the first other line of a file; a comment may stand in quotes.
+PREAMBLE = r"^(?:[ \t]*+\r?\n|\"?+#[^\n]*+(?:\n|$))++"
+
+
+def _whole(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """path, text of whole files: uploads, 100 MB each at most."""
+    return spark.read.format("binaryFile").load(path).select("path", F.decode("content", encoding).alias("text"))
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", rename: dict[str, str] | None = None) -> DataFrame:
-    """A CSV file with header; comment lines stand before the first line of data only, blank lines nowhere.
+def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", rename: dict[str, str] | None = None, schema: str | None = None) -> DataFrame:
+    """A CSV file with header, or a folder of them; comments stand before the header only, blank lines nowhere.
 
-    The header line is the first that is no comment, found on the driver; the rows are read in parallel.
+    The preamble goes by its place, so later lines that look like it, or like the header, are rows. Cells may hold line
+    breaks. With or without a preamble, types are those of ``schema`` or else inferred.
     """
-    lines = spark.read.option("encoding", encoding).text(path)
-    head = lines.where(~F.col("value").startswith("#") & (F.trim("value") != "")).limit(1).collect()
-    comments = preamble_lines(spark, path)
-    df = spark.read.option("header", True).option("encoding", encoding).option("mode", "PERMISSIVE")
-    if not head:
-        return spark.createDataFrame([], "value string")
-    if not comments:
-        out = df.option("inferSchema", True).csv(path)
-    else:
-        body = lines.where((F.trim("value") != "") & ~F.col("value").isin(comments))
-        out = _csv_rows(body, head[0][0])
-    return out.withColumnsRenamed(rename or {})
-
-
-def _csv_rows(body: DataFrame, header: str) -> DataFrame:
-    names = next(csv.reader([header]))
-    schema = ", ".join(f"`{n}` string" for n in names)
-    return body.where(F.col("value") != header).select(F.from_csv("value", schema, {"mode": "PERMISSIVE"}).alias("r")).select("r.*")
-
-
-def preamble_lines(spark: SparkSession, path: str, most: int = 1000) -> list[str]:
-    """Comment lines before the first other line of a file; ``most`` lines are looked at."""
-    out = []
-    for r in spark.read.text(path).limit(most).collect():
-        if not r.value.strip():
-            continue
-        if not r.value.lstrip('"').startswith("#"):
-            break
-        out.append(r.value)
-    return out
+    whole = _whole(spark, path, encoding)
+    if not whole.where(F.col("text").rlike(r'^\s*"?#')).isEmpty():
+        body = whole.select(F.concat(F.md5("path"), F.lit(".csv")).alias("name"), F.regexp_replace("text", PREAMBLE, "").alias("text"))
+        path, encoding = new_path(spark, "csv"), "UTF-8"
+        write_files(body.where(F.trim("text") != ""), path)
+    df = spark.read.option("header", True).option("multiLine", True).option("encoding", encoding).option("escape", '"')
+    return (df.schema(schema) if schema else df.option("inferSchema", True)).csv(path).withColumnsRenamed(rename or {})
+
+
+def preamble_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> list[str]:
+    """Comment lines before the first other line of a file."""
+    found = _whole(spark, path, encoding).select(F.regexp_extract("text", PREAMBLE, 0).alias("p")).where("p <> ''").first()
+    return [x.strip() for x in found.p.splitlines() if x.strip()] if found else []
+
+
+def validate_files(spark: SparkSession, path: str, most: int = 100 * 1024 * 1024) -> DataFrame:
+    """filename, format, n_rows, n_columns, schema_only, errors of uploads: by name, size and what they hold."""
+    files = spark.read.format("binaryFile").load(path)
+    name = F.lower(file_name(F.col("path")))
+    kind = F.when(name.endswith(".csv"), "csv").when(name.endswith(".json") | name.endswith(".jsonl"), "json")
+    body = F.regexp_replace(F.decode("content", "UTF-8"), PREAMBLE, "")
+    lines = F.filter(F.split(body, r"\r?\n"), lambda x: F.trim(x) != "")
+    columns = F.when(kind == "csv", F.size(F.split(F.get(lines, F.lit(0)), ","))).when(kind == "json", F.size(F.json_object_keys(F.get(lines, F.lit(0)))))
+    errors = F.array_compact(F.array(F.when(F.col("length") > most, "over 100 MB"), F.when(kind.isNull(), "not a CSV or JSON file"), F.when(F.size(lines) == 0, "empty")))
+    rows = F.when(kind == "csv", F.greatest(F.size(lines) - 1, F.lit(0))).when(kind == "json", F.size(lines))
+    return files.select(file_name(F.col("path")).alias("filename"), kind.alias("format"), rows.alias("n_rows"), columns.alias("n_columns"), ((kind == "csv") & (rows == 0)).alias("schema_only"), errors.alias("errors"))
+
+
+def schema_columns(text: Column) -> Column:
+    """Columns (name, definition, rationale, allowed_values) of a schema's JSON: a list, or one under schema or columns; column or name, explanation or rationale. Bad text has none."""
+    entry = "array<struct<column: string, name: string, definition: string, explanation: string, rationale: string, allowed_values: array<string>>>"
+    listed = F.when(F.trim(text).startswith("["), F.from_json(text, entry))
+    under = F.from_json(F.when(F.trim(text).startswith("{"), text), f"struct<schema: {entry}, columns: {entry}>")
+    found = F.coalesce(listed, under["schema"], under["columns"], F.array().cast(entry.replace(": ", ":")))
+    named = F.transform(found, lambda c: F.struct(F.coalesce(c["column"], c["name"]).alias("name"), F.coalesce(c["definition"], F.lit("")).alias("definition"), F.coalesce(c["explanation"], c["rationale"], F.lit("")).alias("rationale"), F.coalesce(c["allowed_values"], F.array().cast("array<string>")).alias("allowed_values")))
+    return F.filter(named, lambda c: F.coalesce(c["name"], F.lit("")) != "")
 
 
 def parse_preamble(lines: list[str]) -> dict:
@@ -137,16 +155,3 @@ def read_eval_tables(spark: SparkSession, path: str) -> DataFrame:
     inner = F.regexp_replace(F.get_json_object("value", "$.table"), r"^```(?:json)?\s*|\s*```$", "")
     df = spark.read.text(path).select(F.get_json_object("value", "$.tabid").alias("tabid"), F.try_parse_json(inner).alias("table"))
     return df.where(F.col("tabid").isNotNull() & F.col("table").isNotNull())
-
-
-def validate_upload(name: str, size: int, head: str) -> dict:
-    """Errors and warnings of a file by its name, size and first characters."""
-    errors = []
-    if size > 100 * 1024 * 1024:
-        errors.append("over 100 MB")
-    if not re.search(r"\.(csv|json|jsonl)$", name, re.I):
-        errors.append("not a CSV or JSON file")
-    if not head.strip():
-        errors.append("empty")
-    lines = [x for x in head.splitlines() if x.strip() and not x.startswith("#")]
-    return {"valid": not errors, "errors": errors, "schema_only": name.lower().endswith(".csv") and len(lines) <= 1}

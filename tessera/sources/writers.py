@@ -54,6 +54,38 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).option("escape", '"').csv(path)
 
 
+def write_files(files: DataFrame, path: str) -> None:
+    """A file for each row (name, text), written by the tasks; texts are upload-sized and end in a line break."""
+    spark = files.sparkSession
+    stage = f"{path.rstrip('/')}-parts"
+    files.select("name", F.regexp_replace("text", r"\n\z", "").alias("value")).write.partitionBy("name").text(stage)
+    fs = spark._jvm.org.apache.hadoop.fs
+    root = fs.Path(stage)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(fs.Path(path))
+    for folder in system.listStatus(root):
+        if folder.isDirectory():
+            name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(folder.getPath().getName().split("=", 1)[1])
+            part = next(f.getPath() for f in system.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-"))
+            system.rename(part, fs.Path(f"{path}/{name}"))
+    system.delete(root, True)
+
+
+def csv_cell(value: Column) -> Column:
+    """A CSV cell, in quotes where it holds a comma, quote, line break or leading number sign."""
+    text = F.coalesce(value.cast("string"), F.lit(""))
+    return F.when(text.rlike(r'[,"\n\r]|^#|^\s|\s$'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+
+
+def export_csv(df: DataFrame, path: str, meta: dict, by: str) -> None:
+    """An upload-sized CSV file for each value of the column ``by``, with the preamble of ``meta``, a header and the rows without ``by``."""
+    columns = [c for c in df.columns if c != by]
+    line = F.concat_ws(",", *[csv_cell(F.col(c)) for c in columns])
+    head = "".join(f"{x}\n" for x in [*preamble(meta), ",".join(columns)])
+    grouped = df.select(F.col(by).cast("string").alias("_by"), line.alias("_line")).groupBy("_by").agg(F.array_join(F.sort_array(F.collect_list("_line")), "\n").alias("_body"))
+    write_files(grouped.select(F.concat(F.coalesce("_by", F.lit("none")), F.lit(".csv")).alias("name"), F.concat(F.lit(head), "_body", F.lit("\n")).alias("text")), path)
+
+
 def excerpts_text(excerpts: Column) -> Column:
     """Excerpts as one text: "[source] text" joined by bars."""
     return F.array_join(F.transform(excerpts, lambda x: F.concat(F.lit("["), F.coalesce(x["source"], F.lit("")), F.lit("] "), x["text"])), " | ")

@@ -137,11 +137,19 @@ def test_retrieval_k(spark):
 def test_preamble_round_trip(spark, tmp_path):
     meta = {"session_id": "s1", "query": "what?", "unit": {"name": "drug"}, "columns": [{"name": "dose", "definition": "in mg", "rationale": "asked", "allowed_values": ["1", "2"]}]}
     path = tmp_path / "a.csv"
-    path.write_text("\n".join([*writers.preamble(meta), "", "dose,note", '1,"a, b"', "2,# not a comment"]))
+    path.write_text("\n".join([*writers.preamble(meta), "", "dose,note", '1,"a, b"', "2,# not a comment", "", "dose,note", "# Session ID: s1,x", '3,"two\nlines"']))
     lines = readers.preamble_lines(spark, str(path))
     assert readers.parse_preamble(lines) == meta
-    assert sorted(map(tuple, readers.read_csv(spark, str(path)).collect())) == [("1", "a, b"), ("2", "# not a comment")]
-    assert readers.validate_upload("x.csv", 10, "a,b\n")["schema_only"] and not readers.validate_upload("x.exe", 10, "a")["valid"]
+    assert sorted(map(tuple, readers.read_csv(spark, str(path)).collect())) == [("# Session ID: s1", "x"), ("1", "a, b"), ("2", "# not a comment"), ("3", "two\nlines"), ("dose", "note")]
+    typed = tmp_path / "typed.csv"
+    typed.write_text("# Query: q\na,b\n1,2.5\n")
+    plain = tmp_path / "plain.csv"
+    plain.write_text("a,b\n1,2.5\n")
+    assert readers.read_csv(spark, str(typed)).dtypes == readers.read_csv(spark, str(plain)).dtypes == [("a", "int"), ("b", "double")]
+    (tmp_path / "wide.json").write_text('{"a": 1, "b": 1, "c": 1, "d": 1, "e": 1, "f": 1, "data": [{"x": 1}, {"x": 2}]}')
+    assert [r.x for r in readers.read_json(spark, str(tmp_path / "wide.json")).collect()] == [1, 2]
+    files = {r.filename: r for r in readers.validate_files(spark, str(tmp_path / "*.csv")).collect()}
+    assert files["plain.csv"].n_rows == 1 and files["plain.csv"].n_columns == 2 and files["plain.csv"].errors == []
 
 
 def test_jsonl_modes(spark, tmp_path):
