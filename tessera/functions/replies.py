@@ -59,14 +59,23 @@ def payload(text: Column) -> Column:
     return F.replace(F.replace(inner, F.lit("{{"), F.lit("{")), F.lit("}}"), F.lit("}"))
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def repaired(text: Column) -> Column:
     """A variant of a reply's JSON, null without any: as it is, then with plain quotes and without trailing commas, then the last object in it, then closed where it was cut."""
+
+    def tries(plain: Column) -> Column:
+        last = F.nullif(F.regexp_extract(plain, r"(?s)(\{.*\})", 1), F.lit(""))
+        cut = F.regexp_extract(plain, r"(?s)([\[{].*)", 1)
+        return F.array(plain, last, *[F.concat(cut, F.lit(end)) for end in ("}", '"}', "]}", '"]}', "}}", '"}}')])
+
     inner = payload(text)
     plain = F.regexp_replace(F.regexp_replace(inner, "[“”]", '"'), r",\s*([}\]])", "$1")
-    last = F.nullif(F.regexp_extract(plain, r"(?s)(\{.*\})", 1), F.lit(""))
-    tries = [inner, plain, last, *[F.concat(plain, F.lit(end)) for end in ("}", '"}', "]}", '"]}', "}}", '"}}')]]
-    objects = [F.when(t.rlike(r"(?s)^\s*[\[{]"), F.try_parse_json(t)) for t in tries]
-    return F.coalesce(*objects)
+    found = F.filter(F.concat(F.array(inner), bound(plain, tries)), lambda t: t.rlike(r"(?s)^\s*[\[{]") & F.try_parse_json(t).isNotNull())
+    return F.try_parse_json(F.get(found, F.lit(0)))
 
 
 def _json(text: Column, key: str) -> Column:
@@ -75,33 +84,38 @@ def _json(text: Column, key: str) -> Column:
 
 def jsonified(text: Column) -> Column:
     """A cell's text as JSON: Python's spelling of a dictionary or list too, unless its texts hold quotes; null where it is neither."""
-    starts = F.trim(text).rlike(r"^[\[{]")
     python = F.replace(text, F.lit("'"), F.lit('"'))
     for word, by in (("None", "null"), ("True", "true"), ("False", "false")):
         python = F.regexp_replace(python, rf"\b{word}\b", by)
-    usable = lambda t: F.when(F.try_parse_json(t).isNotNull(), t)
-    return F.when(starts, F.coalesce(usable(text), usable(python)))
+    usable = F.filter(F.array(text, python), lambda t: F.trim(t).rlike(r"^[\[{]") & F.try_parse_json(t).isNotNull())
+    return F.get(usable, F.lit(0))
+
+
+def _opened(cell: Column) -> Column:
+    """One step into a cell: null where it is no JSON."""
+
+    def into(as_json: Column) -> Column:
+        first = F.when(as_json.startswith("["), F.get_json_object(as_json, "$[0]")).otherwise(as_json)
+        inside = bound(first, lambda x: F.when(x.startswith("{"), F.coalesce(*[_json(x, k) for k in ANSWER_KEYS])))
+        return F.coalesce(inside, F.when(as_json.startswith("["), F.array_join(F.from_json(as_json, "array<string>"), ", ")), as_json)
+
+    return bound(jsonified(cell), lambda j: F.when(j.isNotNull(), into(j)))
 
 
 def answer_of(cell: Column) -> Column:
     """The answer in a cell's JSON text under any of its keys, an answer that is itself such a text opened once more; plain text is its own answer."""
-    found = cell
-    for _ in range(2):
-        as_json = jsonified(found)
-        first = F.when(as_json.startswith("["), F.coalesce(_json(as_json, "[0]"), F.lit(""))).otherwise(as_json)
-        inside = F.coalesce(*[_json(first, k) for k in ANSWER_KEYS])
-        listed = F.when(as_json.startswith("[") & ~first.startswith("{"), F.array_join(F.from_json(as_json, "array<string>"), ", "))
-        found = F.when(as_json.isNotNull(), F.coalesce(inside, listed, found)).otherwise(found)
-    return found
+    return bound(cell, lambda c: bound(F.coalesce(_opened(c), c), lambda d: F.coalesce(_opened(d), d)))
 
 
 def excerpts_of(cell: Column) -> Column:
     """The excerpts in a cell's JSON text under any of their keys, a lone text as one; none in plain text."""
-    as_json = jsonified(cell)
-    found = F.coalesce(*[_json(as_json, k) for k in EXCERPT_KEYS])
-    listed = F.from_json(F.when(found.startswith("["), found), "array<string>")
-    one = F.when(F.coalesce(found, F.lit("")) != "", F.array(found)).otherwise(F.array().cast("array<string>"))
-    return F.coalesce(F.when(F.size(F.filter(listed, lambda x: x.isNotNull())) == F.size(listed), listed), one)
+    none = F.array().cast("array<string>")
+
+    def listed(found: Column) -> Column:
+        many = F.when(found.startswith("["), F.from_json(found, "array<string>"))
+        return F.when(many.isNotNull() & (F.size(F.filter(many, lambda x: x.isNotNull())) == F.size(many)), many).when(F.coalesce(found, F.lit("")) != "", F.array(found)).otherwise(none)
+
+    return bound(bound(jsonified(cell), lambda j: F.coalesce(*[_json(j, k) for k in EXCERPT_KEYS])), listed)
 
 
 def normal_cell(cell: Column) -> Column:
@@ -111,11 +125,14 @@ def normal_cell(cell: Column) -> Column:
 
 def display(cell: Column) -> Column:
     """What a cell shows: its answer; nothing for null; the values of an object without answer joined by commas."""
-    as_json = jsonified(cell)
-    values = F.array_join(F.filter(F.map_values(F.from_json(as_json, "map<string,string>")), lambda v: v.isNotNull() & (F.trim(v) != "")), ", ")
-    named = F.coalesce(*[_json(as_json, k) for k in ("answer", "value", "text")])
-    plain = as_json.isNull() | as_json.startswith("[")
-    return F.coalesce(F.when(plain, answer_of(cell)).when(named.isNotNull(), answer_of(named)).otherwise(values), F.lit(""))
+
+    def shown(as_json: Column) -> Column:
+        named = F.coalesce(*[_json(as_json, k) for k in ("answer", "value", "text")])
+        values = F.array_join(F.filter(F.map_values(F.from_json(as_json, "map<string,string>")), lambda v: v.isNotNull() & (F.trim(v) != "")), ", ")
+        return F.when(as_json.startswith("["), answer_of(as_json)).otherwise(F.coalesce(bound(named, answer_of), values))
+
+    quoted = F.nullif(F.regexp_extract(cell, r"(?s)^\s*\{\s*'text'\s*:\s*'(.*?)'\s*(?:,\s*'source'\s*:\s*'.*'\s*)?\}\s*$", 1), F.lit(""))
+    return F.coalesce(bound(jsonified(cell), lambda j: F.when(j.isNotNull(), shown(j))), quoted, cell, F.lit(""))
 
 
 def grade(reply: Column) -> Column:
@@ -133,15 +150,18 @@ def retry_wait(error: Column) -> Column:
 
 def used_columns(reply: Column, names: list[str]) -> Column:
     """Columns of the row that a reply seems to use: it names the column, holds a short value, or several longer words of a long value."""
-    low, out = F.lower(reply), []
-    for name in names:
-        value = F.lower(answer_of(F.col(name).cast("string")))
+    low = F.lower(reply)
+
+    def mentioned(name: str, value: Column) -> Column:
         words = F.filter(F.split(value, r"\s+"), lambda w: w != "")
         hits = F.size(F.filter(words, lambda w: (F.length(w) > 3) & low.contains(w)))
         long = (F.size(words) >= 3) & (hits >= F.least(F.lit(3), F.floor(F.size(words) / 2)))
-        mentioned = F.when(F.trim(value) == "", False).when(low.contains(name.lower()), True).when(F.length(value) > 10, long).otherwise(low.contains(value))
-        out.append(F.when(F.coalesce(mentioned, F.lit(False)), F.lit(name)))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+        return F.when(F.trim(value) == "", False).when(low.contains(name.lower()), True).when(F.length(value) > 10, long).otherwise(low.contains(value))
+
+    def used(name: str) -> Column:
+        return bound(F.lower(answer_of(F.col(name).cast("string"))), lambda v: mentioned(name, v))
+
+    return F.array_compact(F.array(*[F.when(F.coalesce(used(n), F.lit(False)), F.lit(n)) for n in names]))
 
 
 def example_text(number: Column, paper: Column, pairs: Column, truth: Column) -> Column:

@@ -4,6 +4,7 @@ import hashlib
 import json
 from dataclasses import dataclass, field, replace
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -143,6 +144,51 @@ def suggestions(values: DataFrame, known: DataFrame, threshold: int | None = 2)
     return fresh.withColumn("action", F.when(F.col("documents") >= F.lit(threshold), "add").otherwise("pending") if threshold and threshold > 0 else F.lit("pending"))
 
 
+def decide(catalog: DataFrame, pending: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The catalog (column, allowed) and the pending values (column, value) after decisions (column, value, approve).
+
+    Approved values are added in order, but for those allowed already, whatever the case, of which the first spelling
+    stays; approved and rejected ones wait no longer. Decisions on values that don't wait change nothing.
+    """
+    waiting = pending.select("column", "value").distinct()
+    known = decisions.join(waiting, ["column", "value"], "left_semi").groupBy("column", "value").agg(F.max("approve").alias("approve"))
+    added = known.where("approve").groupBy("column").agg(F.sort_array(F.collect_list("value")).alias("added"))
+    spelled = F.aggregate(
+        F.coalesce("added", F.array().cast("array<string>")),
+        F.coalesce("allowed", F.array().cast("array<string>")),
+        lambda acc, v: F.when(F.exists(acc, lambda a: F.lower(a) == F.lower(v)), acc).otherwise(F.array_append(acc, v)),
+    )
+    return catalog.join(added, "column", "left").select("column", spelled.alias("allowed")), waiting.join(known, ["column", "value"], "left_anti")
+
+
+def field_score(predicted: str, gold: str, alike=None) -> float:
+    """1 for equal names, 0.8 where one holds the other, else ``alike`` (0 without)."""
+    p, g = predicted.lower().strip(), gold.lower().strip()
+    return 1.0 if p == g else 0.8 if p in g or g in p else max(0.0, alike(p, g)) if alike else 0.0
+
+
+#: What the name of a field that is no subject of alignment holds.
+META_FIELDS = ["id", "row_name", "protein_name", "fasta", "sequence", "hash", "combined", "gt_", "_id", "index"]
+
+
+def align_fields(predicted: DataFrame, gold: DataFrame, table: str, least: float = 0.6) -> DataFrame:
+    """table, pred_field, gold_field, score: for each table (table, field, seq), predicted fields in order take the best gold field still free above ``least``.
+
+    A table's fields are few (a schema); tables are spread over tasks.
+    """
+
+    def align(key: tuple, p: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+        plain = lambda d: [f for f in d.sort_values("seq")["field"] if not any(m in f.lower() for m in META_FIELDS)]
+        own = plain(g)
+        pairs = [(f, h, field_score(f, h)) for f in plain(p) for h in own]
+        score = {(f, h): s for f, h, s in pairs}
+        found = greedy_alignment(pairs, least)
+        return pd.DataFrame([(key[0], f, h, score[f, h]) for f, h in found.items()], columns=[table, "pred_field", "gold_field", "score"])
+
+    kind = dict(predicted.dtypes)[table]
+    return predicted.groupBy(table).cogroup(gold.groupBy(table)).applyInPandas(align, f"{table} {kind}, pred_field string, gold_field string, score double")
+
+
 #: What a definition says of a column's kind; the first kind that applies.
 STRATEGIES = [("identifier", "id|identifier|accession|registration|code"), ("numeric", "number|count|percent|rate|score|accuracy|size|cost"), ("categorical", "type|category|class|phase|status"), ("text", "")]
 

@@ -4,13 +4,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.cells import number
-from tessera.functions.similarity import contains_score
+from tessera.functions.similarity import contains_score, jaccard, ratio_udf, tokens
 
 #: Words that say yes and no; yes is looked for first.
 POSITIVE = ["yes", "true", "positive", "confirmed", "present"]
 NEGATIVE = ["no", "false", "negative", "absent", "not", "none"]
 
 
+#: Truths that are compared as yes or no.
+BINARY = ["yes", "no", "true", "false", "positive", "negative"]
+
+
 def binary(text: Column) -> Column:
     """True, false or null by the words within a text; a positive word anywhere wins."""
     low = F.lower(F.trim(text))
@@ -37,6 +41,61 @@ def value_similarity(predicted: Column, truth: Column) -> Column:
     return F.when((F.coalesce(a, F.lit("")) == "") | (F.coalesce(b, F.lit("")) == ""), 0.0).when(a == b, 1.0).when(a.contains(b) | b.contains(a), 0.7).otherwise(0.0)
 
 
+def kind_of(truth: Column) -> Column:
+    """How a truth is best compared: binary, numeric, sequence or semantic."""
+    plain = F.lower(F.trim(truth))
+    return F.when(plain.isin(BINARY), "binary").when(number(truth).isNotNull(), "numeric").when((F.length(truth) > 10) & truth.rlike("^[A-Z]+$"), "sequence").otherwise("semantic")
+
+
+def _same(match: Column, similarity: Column) -> Column:
+    return F.struct(F.coalesce(match, F.lit(False)).alias("match"), F.coalesce(similarity, F.lit(0.0)).alias("similarity"))
+
+
+def _exact(p: Column, t: Column) -> Column:
+    same = F.lower(F.trim(p)) == F.lower(F.trim(t))
+    return _same(same, same.cast("double"))
+
+
+def _contains(p: Column, t: Column) -> Column:
+    held = F.lower(p).contains(F.lower(F.trim(t)))
+    return _same(held, held.cast("double"))
+
+
+def _semantic(p: Column, t: Column) -> Column:
+    s = jaccard(tokens(p), tokens(t))
+    return _same(s >= 0.95, s)
+
+
+def _binary(p: Column, t: Column) -> Column:
+    same = binary(p) == binary(t)
+    return _same(same, same.cast("double"))
+
+
+def _numeric(p: Column, t: Column) -> Column:
+    got = numeric_match(p, t)
+    return F.when(got["similarity"].isNotNull(), _same(got["match"], got["similarity"])).otherwise(_semantic(p, t))
+
+
+def _sequence(p: Column, t: Column) -> Column:
+    a, b = longest_sequence(p), longest_sequence(t)
+    return F.when((a != "") & (b != ""), _same(a == b, ratio_udf(a, b))).otherwise(_semantic(p, t))
+
+
+#: Ways to compare a prediction with a truth, by name: each gives match and similarity. Add to it to register another.
+COMPARISONS = {"exact": _exact, "contains": _contains, "semantic": _semantic, "binary": _binary, "numeric": _numeric, "sequence": _sequence}
+
+
+def compare(predicted: Column, truth: Column, kind: str = "auto") -> Column:
+    """match and similarity by the way named, or by ``kind_of`` the truth; empty texts match nothing."""
+    if kind != "auto":
+        found = COMPARISONS.get(kind, _semantic)(predicted, truth)
+    else:
+        of = kind_of(truth)
+        found = F.when(of == "binary", _binary(predicted, truth)).when(of == "numeric", _numeric(predicted, truth)).when(of == "sequence", _sequence(predicted, truth)).otherwise(_semantic(predicted, truth))
+    empty = (F.coalesce(predicted, F.lit("")) == "") | (F.coalesce(truth, F.lit("")) == "")
+    return F.when(empty, _same(F.lit(False), F.lit(0.0))).otherwise(found)
+
+
 def longest_sequence(text: Column) -> Column:
     """Longest run of three capitals or more, the first among equals."""
     return F.aggregate(F.regexp_extract_all(text, F.lit("([A-Z]{3,})"), 1), F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))

@@ -5,6 +5,7 @@ import zipfile
 from datetime import UTC, datetime
 from io import BytesIO, StringIO
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,13 +111,32 @@ def preamble(meta: dict) -> list[str]:
     return out
 
 
-def archive(files: dict[str, str]) -> bytes:
-    """A ZIP of schema-sized texts; data parts are added by their paths."""
-    data = BytesIO()
-    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, text in files.items():
-            z.writestr(name, text)
-    return data.getvalue()
+def archives(df: DataFrame, by: str, columns: list[dict], meta: dict) -> DataFrame:
+    """``by``, content: a ZIP for each value of ``by`` with schema.json, column_metadata.csv, data.csv and metadata.json; each is upload-sized."""
+    kind, names = dict(df.dtypes)[by], [c for c in df.columns if c != by]
+
+    def pack(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        data = BytesIO()
+        with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("schema.json", json.dumps({"schema": columns}))
+            z.writestr("column_metadata.csv", schema_csv(columns))
+            z.writestr("data.csv", own[names].to_csv(index=False))
+            z.writestr("metadata.json", json.dumps(meta | {"n_rows": len(own)}))
+        return pd.DataFrame({by: [key[0]], "content": [data.getvalue()]})
+
+    return df.groupBy(by).applyInPandas(pack, f"{by} {kind}, content binary")
+
+
+def markdown_table(df: DataFrame) -> DataFrame:
+    """value: each row as a line of a Markdown table."""
+    return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *df.columns), F.lit(" |")).alias("value"))
+
+
+def backup(spark: SparkSession, path: str, now: datetime | None = None) -> str:
+    """Path of a copy of a JSONL table, made by the tasks."""
+    kept = snapshot_name(path, now)
+    spark.read.text(path).write.text(kept)
+    return kept
 
 
 def schema_csv(columns: list[dict]) -> str:

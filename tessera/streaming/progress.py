@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.sources.scratch import new_path
@@ -35,6 +35,45 @@ def suggested(stream: DataFrame) -> DataFrame:
     return stream.dropDuplicates(["column", "value", "document"]).groupBy("column", "value").agg(F.count(F.lit(1)).alias("documents"))
 
 
+#: Kinds of events that a run reports.
+EVENT_KINDS = ["progress", "log", "error", "completed", "schema_updated", "schema_completed", "row_completed", "reprocessing_started", "reprocessing_completed"]
+
+
+def event_kind(kind: Column) -> Column:
+    """A kind of event; others are logs."""
+    return F.when(kind.isin(EVENT_KINDS), kind).otherwise("log")
+
+
+def cell_events(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """key, column, value: each cell of a stream of rows as an event of its own."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
+    return rows.select(key, F.explode(cells).alias("c")).select(key, "c.*")
+
+
+def run_until(df: DataFrame, out: str, state: str, should_stop: Callable[[int], bool]) -> int:
+    """Append a stream's rows to ``out`` batch by batch until ``should_stop(batches)`` or its end; what was written stays, a later run goes on from ``state``.
+
+    Returns the number of batches. The batch under way is finished, and the next one is not begun.
+    """
+    done: list[int] = []
+
+    def put(batch: DataFrame, number: int) -> None:
+        if not (done and should_stop(len(done))):
+            batch.write.mode("append").parquet(out)
+            done.append(number)
+        else:
+            raise StopIteration
+
+    query = df.writeStream.foreachBatch(put).option("checkpointLocation", state).trigger(availableNow=True).start()
+    try:
+        query.awaitTermination()
+    except Exception:
+        if not should_stop(len(done)):
+            raise
+        query.stop()
+    return len(done)
+
+
 def run_once(df: DataFrame, mode: str = "complete") -> DataFrame:
     """All that is there now through the stream, written to the shared folder and read as a table."""
     spark = df.sparkSession
