@@ -30,6 +30,8 @@ def by_bucket(bucket: np.ndarray, arrays: list[np.ndarray], data: np.ndarray | N
     """(bucket, blob) of the records of each bucket; ``data`` holds ``sizes`` bytes of each record, in order."""
     from tessera.llm.textcore import ragged
 
+    if not len(bucket):
+        return
     order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
     begin = np.cumsum(sizes) - sizes if sizes is not None else None

@@ -73,9 +73,12 @@ def test_tables_follow_their_conditional():
     assert np.allclose(np.bincount(draws, minlength=4)[1:] / n, w / w.sum(), atol=0.02)
 
 
-def test_scores(spark, make):
-    rows = [(i, t) for i, t in enumerate(["a b a b c", "A b", None, "", "c c c d", "a b a b c", "new words here", "a b"] * 6)]
+@pytest.mark.parametrize("frequent", [100_000, 4])
+def test_scores(spark, make, odd, frequent, monkeypatch):
+    monkeypatch.setattr(hpy, "FREQUENT", frequent)
+    rows = [(100 + i, t) for i, t in enumerate(["a b a b c", "A b", None, "", "c c c d", "a b a b c", "new words here", "a b"] * 6)] + odd
     out = {r.doc_id: r for r in hpy.scores(make(rows)).collect()}
+    assert len(out) == len(rows)
     tokens = {d: [*folded(t), "\0"] for d, t in rows}
     train = [d for d in tokens if zlib.crc32(str(d).encode()) % 7 != 2]
     count = Counter(w for d in train for w in tokens[d])
@@ -88,25 +91,81 @@ def test_scores(spark, make):
     assert hpy.scores(make([])).count() == 0
 
 
-def test_predictive_probabilities_sum_to_one(monkeypatch):
-    """Over a vocabulary of frequent words alone, a context's probabilities are a distribution, in sections or not."""
+def test_scores_of_rows_with_no_or_the_same_id(make):
+    rows = [(1, "a b"), (1, "a b"), (1, "c"), (None, "a b c d"), (None, None), (2, "a")]
+    out = sorted((r.doc_id or -1, r.n_tokens, round(r.base_score, 6)) for r in hpy.scores(make(rows)).collect())
+    assert [x[:2] for x in out] == [(-1, 1), (-1, 5), (1, 2), (1, 3), (1, 3), (2, 2)]
+    assert out[3] == out[4]
+
+
+def test_predictive_probabilities_sum_to_one():
+    """Over all words and one never seen: of the parent with words of both kinds, of a restaurant, and of one in parts."""
     rng = np.random.default_rng(3)
     words = np.sort(rng.integers(1, 2**63, 40).astype(np.uint64))
     counts = rng.integers(1, 50, 40)
-    parent = hpy.Parent(words, counts, np.zeros(4, np.int64), np.zeros(4, np.int64), 5, int(counts.sum()), 40, 4, 1)
-    assert parent.p.sum() == pytest.approx(1)
-    dish = np.arange(len(parent.p))
-    for n in (1, 3):
-        section = dish % n
-        mass = np.bincount(section, parent.p, n)
-        c = rng.integers(0, 4, len(dish))
-        order = np.argsort(section, kind="stable")
-        r = hpy.Restaurants(section[order].astype(np.uint64), dish[order], dish[order], c[order], mass[section[order]], parent, 1)
-        p = r.predictive() * parent.size[dish[order]]
-        total = c.sum()
-        whole = p * (r.customers[r.group] + hpy.STRENGTH * mass[section[order]]) / (total + hpy.STRENGTH) if n > 1 else p
-        free = c[order] * (1 - 1 / parent.size[dish[order]])  # customers of a word that shares its dish count once
-        assert whole.sum() == pytest.approx(1, abs=0.02 + free.sum() / max(1, total))
+    parent = hpy.Parent(words, counts, 5, int(counts.sum()), 40)
+    assert parent.p.sum() + parent.open == pytest.approx(1)
+    few = rng.integers(1, 4, 30)
+    parent = hpy.Parent(words, counts, 5, int(counts.sum() + few.sum()), 70)
+    tables = parent.seat_rare(few, 1)
+    parent.seat(counts, few.sum(), tables.sum())
+    assert parent.p.sum() + parent.rare(few, tables).sum() + parent.open == pytest.approx(1, abs=1e-6)
+    p0 = np.concatenate([parent.p, parent.rare(few, tables), [parent.open]])
+    c = np.append(rng.integers(0, 4, 70), 0)
+    zero = np.zeros(len(c))
+    assert hpy.Restaurants(zero.astype(np.uint64), c, p0, zero, zero, 1).predictive().sum() == pytest.approx(1, abs=1e-6)
+    part = np.arange(len(c)) % 3
+    order = np.argsort(part, kind="stable")
+    whole = hpy.Restaurants(zero.astype(np.uint64), c, p0, zero, zero, 2)
+    whole.sweep()
+    r = hpy.Restaurants(part[order].astype(np.uint64), c[order], p0[order], np.full(len(c), c.sum()), np.full(len(c), whole.t.sum()), 3)
+    assert r.predictive().sum() == pytest.approx(1, abs=0.05)
+
+
+def _exact(children, v):
+    """Predictive probabilities of words in contexts under the whole posterior, all seatings enumerated."""
+    from itertools import product
+
+    s = {d: np.exp(hpy.stirling(d)) for d in (hpy.DISCOUNT, hpy.PARENT_DISCOUNT)}
+
+    def weight(c, t, d, theta):
+        n, k = sum(c), sum(t)
+        up = np.prod([theta + d * i for i in range(1, k)]) if k else 1.0
+        return up / np.prod([theta + i for i in range(1, n)]) * np.prod([s[d][x, y] for x, y in zip(c, t) if x])
+
+    total, mass = np.zeros((len(children), v)), 0.0
+    seats = [list(product(*[range(1, x + 1) if x else [0] for x in c])) for c in children]
+    for ts in product(*seats):
+        own = np.prod([weight(c, t, hpy.DISCOUNT, hpy.STRENGTH) for c, t in zip(children, ts)])
+        top = [sum(t[w] for t in ts) for w in range(v)]
+        for tops in product(*[range(1, x + 1) if x else [0] for x in top]):
+            p = own * weight(top, tops, hpy.PARENT_DISCOUNT, hpy.PARENT_STRENGTH) * (1 / (v + 1)) ** sum(tops)
+            norm = hpy.PARENT_STRENGTH + sum(top)
+            p0 = (np.array(top) - hpy.PARENT_DISCOUNT * np.array(tops)) / norm + (hpy.PARENT_STRENGTH + hpy.PARENT_DISCOUNT * sum(tops)) / norm / (v + 1)
+            for u, (c, t) in enumerate(zip(children, ts)):
+                total[u] += p * ((np.array(c) - hpy.DISCOUNT * np.array(t)) + (hpy.STRENGTH + hpy.DISCOUNT * sum(t)) * p0) / (hpy.STRENGTH + sum(c))
+            mass += p
+    return total / mass
+
+
+def test_sampler_against_all_seatings():
+    """The chain of parent, children, parent, children, averaged over seeds, is near the exact posterior."""
+    children, v = [[3, 1, 0], [1, 0, 2], [2, 0, 0]], 3
+    want = _exact(children, v)
+    counts = np.sum(children, 0)
+    key, word = np.repeat(np.arange(3), v), np.tile(np.arange(v), 3)
+    c = np.ravel(children)
+    zero = np.zeros(len(c))
+    got, rounds = np.zeros((3, v)), 200
+    for seed in range(rounds):
+        parent = hpy.Parent(np.arange(1, v + 1).astype(np.uint64), counts, 1, int(counts.sum()), v)
+        r = hpy.Restaurants(key.astype(np.uint64), c, parent.p[word], zero, zero, seed)
+        for _ in range(hpy.BURN_IN + 1):
+            r.sweep()
+        parent.seat(np.bincount(word, r.t, v), 0, 0)
+        got += hpy.Restaurants(key.astype(np.uint64), c, parent.p[word], zero, zero, 1000 + seed).predictive().reshape(3, v) / rounds
+    print(np.round(got, 3), np.round(want, 3), np.abs(got - want).max())
+    assert np.abs(got - want).max() < 0.03
 
 
 def test_held_out_perplexity(spark):
