@@ -16,6 +16,8 @@ from tessera.llm.textcore import run_hashes, slices, word_spans
 
 #: Labelled documents from which the field is learnt, about: more are thinned evenly by a hash of doc_id.
 FIT_DOCUMENTS = 4000
+#: Characters of these documents, about, and of the longest one that is drawn: documents are drawn whole or not at all.
+FIT_CHARS, LONGEST = 24_000_000, 1_000_000
 STEPS, RATE, DECAY = 300, 0.05, 1e-3
 #: Marks whose share of a line is a feature each.
 MARKS = b"|#$%&*!?.,;:<>{}[]()=_-/\\@+~^\"'`"
@@ -146,13 +148,18 @@ def train(x: np.ndarray, first: np.ndarray, good: np.ndarray) -> Field:
     return Field(mean, scale, theta[:-4], theta[-4:].reshape(2, 2))
 
 
-def fit(docs: DataFrame, labels: DataFrame, at_most: int = FIT_DOCUMENTS) -> Field | None:
+def fit(docs: DataFrame, labels: DataFrame, at_most: int = FIT_DOCUMENTS, chars: int = FIT_CHARS) -> Field | None:
     """Field learnt from ``docs`` (doc_id, text) whose ``quality`` in ``labels`` is 0 or 1; None without any.
 
-    The features of about ``at_most`` documents, evenly thinned, come to the driver.
+    The features of about ``at_most`` documents and ``chars`` characters, evenly thinned, come to the driver. Where a
+    doc_id has several labels, the highest counts. Documents of over LONGEST characters are not learnt from.
     """
     known = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    share = min(1.0, at_most / max(1, known.count()))
+    docs = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= LONGEST)
+    n = known.count()
+    drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < int(min(1.0, at_most / max(1, n)) * (1 << 20)))
+    size = docs.join(F.broadcast(drawn), "doc_id").agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] if n else 0
+    share = min(1.0, at_most / max(1, n)) * min(1.0, chars / max(1, size))
     if share < 1:
         known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20)))
 
@@ -161,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, at_most: int = FIT_DOCUMENTS) -> Fie
             x, _, first = features(buf, offs)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array([x[i:j].tobytes() for i, j in zip(first, first[1:])], pa.binary())], ["doc_id", "quality", "x"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(known) if share < 1 or at_most <= FIT_DOCUMENTS else known, "doc_id").select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
     rows = rows.mapInArrow(lines, "doc_id long, quality int, x binary").orderBy("doc_id").collect()
     if not rows:
         return None

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from tessera.llm.textcore import mix, shingles, slices, text_buffer, words
 
 COORDS = 64
-#: Items in one pass over the documents: their sets and signatures go to every executor, under about 40 MB.
-ITEMS_PER_PASS = 20_000
+#: Items and their characters in one pass over the documents, about: their sets and signatures go to every executor.
+ITEMS_PER_PASS, CHARS_PER_PASS = 20_000, 16_000_000
 _SCALE = mix(np.arange(1, COORDS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
 
@@ -71,10 +71,11 @@ def contamination(docs: DataFrame, items: DataFrame, k: int = 5, num: int = 80,
 
     Items come as (item_id, text). Texts of fewer than k words, empty or null, have no shingles: such items match
     nothing, such documents hold nothing. Repeated documents or items give a row each. Other columns are ignored. The
-    items are a stated query set: they go round in blocks of ITEMS_PER_PASS, each held against all documents; no shuffle.
+    items are a stated query set: they go round in blocks of ITEMS_PER_PASS items and CHARS_PER_PASS characters, each held
+    against all documents; no shuffle.
     """
-    n = items.count()
-    passes = max(1, -(-n // ITEMS_PER_PASS))
+    n, chars = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    passes = max(1, -(-n // ITEMS_PER_PASS), -(-chars // CHARS_PER_PASS))
     out = None
     for p in range(passes):
         block = items.select("item_id", F.coalesce("text", F.lit("")).alias("text"))

@@ -29,6 +29,46 @@ def test_language(spark, make, odd):
     assert langid.fit(make([(1, "x", None)])) == {} and langid.predict(make([]), model).count() == 0
 
 
+def test_bundles_by_brute_force(make, odd):
+    """Every trigram's vector bound letter by letter and summed; then cosines with prototypes made of them."""
+    import pyarrow as pa
+
+    from tessera.llm.textcore import text_buffer
+
+    def vector(text):
+        marks = [0, *(ord(c.lower()) if c.isalpha() and len(c.lower()) == 1 else ord(c) if c.isalpha() else 0 for c in text), 0]
+        out = np.zeros(langid.DIM)
+        for a, b, c in zip(marks, marks[1:], marks[2:]):
+            if b:
+                v = [langid.letter_vector(z).astype(float) for z in (a, b, c)]
+                out += np.roll(v[0], 2) * np.roll(v[1], 1) * v[2]
+        return out
+
+    texts = [(t or "")[:400] for _, t in odd] + ["a", "ab", "Élan vital!", "x" * 50]
+    want = np.array([vector(t) for t in texts])
+    assert np.allclose(langid.bundles(*text_buffer(pa.array(texts))), want)
+    rows = [(i, t, ["en", "fr", None][i % 3]) for i, t in enumerate(texts)]
+    model = langid.fit(make(rows))
+    unit = lambda v: v / max(np.linalg.norm(v), 1e-12)
+    for name in ("en", "fr"):
+        assert np.allclose(model[name], sum(unit(want[i]) for i, _, lang in rows if lang == name), atol=1e-4)
+    for r in langid.predict(make(rows), model).collect():
+        cos = {k: float(unit(want[r.doc_id]) @ unit(model[k])) for k in model}
+        if not want[r.doc_id].any():
+            assert (r.lang_pred, r.score) == ("und", 0)
+        else:
+            assert r.score == pytest.approx(max(0, max(cos.values())), abs=1e-4) and cos[r.lang_pred] == pytest.approx(max(cos.values()), abs=1e-4)
+
+
+def test_fit_draws_whole_documents_by_size(spark, make):
+    rows = [(i, "good line here\n" * 40 if i % 2 else "@@ ## !!\n" * 60) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)] + [(1, 1, 0)], "doc_id long, quality int, toxic int")
+    for chars in (10**9, 8000):
+        field = crf.fit(make([*rows, (1000, "z" * (crf.LONGEST + 1))]), labels, chars=chars)
+        got = {r.doc_id: r.score for r in crf.score(make(rows), field).collect()}
+        assert got[1] > 0.5 > got[0]
+
+
 def test_chain_marginals():
     rng = np.random.default_rng(0)
     unary, trans = rng.normal(size=7), rng.normal(size=(2, 2))
