@@ -135,6 +135,12 @@ def display(cell: Column) -> Column:
     return F.coalesce(bound(jsonified(cell), lambda j: F.when(j.isNotNull(), shown(j))), quoted, cell, F.lit(""))
 
 
+def aspects(reply: Column) -> Column:
+    """The first list of texts in a reply, in Python's spelling or JSON's; empty without any."""
+    found = F.regexp_extract(reply, r"(?s)(\[\s*['\"].*?\])", 1)
+    return F.coalesce(F.from_json(jsonified(found), "array<string>"), F.array().cast("array<string>"))
+
+
 def grade(reply: Column) -> Column:
     """A judge's score from 0 to 10 as 0 to 1: kept within bounds, the middle where the reply holds none."""
     score = F.try_variant_get(repaired(reply), "$.score", "string").try_cast("double")

@@ -5,7 +5,7 @@ import json
 from dataclasses import dataclass, field, replace
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.cells import normal_name
@@ -144,6 +144,49 @@ def suggestions(values: DataFrame, known: DataFrame, threshold: int | None = 2)
     return fresh.withColumn("action", F.when(F.col("documents") >= F.lit(threshold), "add").otherwise("pending") if threshold and threshold > 0 else F.lit("pending"))
 
 
+def _twins(name: str) -> list[str]:
+    return [name, f"{name}_excerpt", f"{name}_excerpts"]
+
+
+def rename_column(df: DataFrame, old: str, new: str) -> DataFrame:
+    """A table's column, and its excerpts', under another name; a name that is taken raises."""
+    if new in df.columns:
+        raise ValueError(f"there is a column {new}")
+    return df.withColumnsRenamed(dict(zip(_twins(old), _twins(new))))
+
+
+def drop_column(df: DataFrame, name: str) -> DataFrame:
+    """A table without a column and its excerpts."""
+    return df.drop(*_twins(name))
+
+
+def add_column(df: DataFrame, name: str) -> DataFrame:
+    """A table with an empty column; a name that is taken, whatever the case, raises."""
+    if name.lower() in [c.lower() for c in df.columns]:
+        raise ValueError(f"there is a column {name}")
+    return df.withColumn(name, F.lit(None).cast("string"))
+
+
+def merge_catalogs(old: DataFrame, new: DataFrame) -> DataFrame:
+    """name, rationale, allowed_values of columns of both catalogs: names equal but for case are one, spelled as in ``old``; the longer rationale stays, allowed values unite, old ones first."""
+    both = old.select(F.lit(0).alias("_o"), "name", "rationale", "allowed_values").unionByName(new.select(F.lit(1).alias("_o"), "name", "rationale", "allowed_values"))
+    longest = F.max_by("rationale", F.struct(F.length("rationale"), -F.col("_o"))).alias("rationale")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_o", "name", "allowed_values"))), lambda x: x["allowed_values"])
+    return both.groupBy(F.lower("name").alias("_k")).agg(F.min_by("name", F.struct("_o", "name")).alias("name"), longest, F.array_compact(F.array_distinct(F.flatten(ordered))).alias("allowed_values")).drop("_k")
+
+
+def converged(before: Column, after: Column) -> Column:
+    """Whether two arrays of names are nearly one set, of one size."""
+    alike = F.size(F.array_intersect(before, after)) / F.greatest(F.size(F.array_union(before, after)), F.lit(1))
+    return (alike >= 0.9) & (F.size(before) == F.size(after))
+
+
+def pruned(columns: DataFrame, schema: str, score: Column, rationale: Column, most: int) -> DataFrame:
+    """The ``most`` columns of each schema of highest ``score``, plus a twentieth for each hundred characters of rationale; the first by rationale among equals."""
+    n = F.row_number().over(Window.partitionBy(schema).orderBy(F.desc(score + 0.05 * F.length(rationale) / 100), rationale))
+    return columns.withColumn("_n", n).where(F.col("_n") <= most).drop("_n")
+
+
 def decide(catalog: DataFrame, pending: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The catalog (column, allowed) and the pending values (column, value) after decisions (column, value, approve).
 

@@ -7,9 +7,10 @@ from dataclasses import dataclass, field
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.cells import placeholder
 from tessera.functions.similarity import ground
 from tessera.operators.catalog import ColumnDef, TableSchema, Unit
 
@@ -54,6 +55,25 @@ def parse_reply(text: str) -> dict:
     return {}
 
 
+def discovery_prompt(mode: Column, question: Column, text: Column) -> Column:
+    """What discovery shows: question and documents, or one of them alone, by mode (STANDARD, DOCUMENT_ONLY, QUERY_ONLY)."""
+    asked = F.when(mode != "DOCUMENT_ONLY", F.concat(F.lit("Question: "), question))
+    shown = F.when(mode != "QUERY_ONLY", F.concat(F.lit("Documents:\n"), text))
+    return F.concat_ws("\n\n", asked, shown)
+
+
+def missing_cells(docs: DataFrame, found: DataFrame, columns: list[str]) -> DataFrame:
+    """doc_id, column of every cell that ``found`` (doc_id, column) lacks: what the next stage asks for."""
+    wanted = docs.select("doc_id", F.explode(F.array(*map(F.lit, columns))).alias("column"))
+    return wanted.join(found.select("doc_id", "column").distinct(), ["doc_id", "column"], "left_anti")
+
+
+def first_answers(attempts: DataFrame, most: int) -> DataFrame:
+    """doc_id, column, answer, attempt: of the first ``most`` attempts (doc_id, column, attempt, answer) at a cell the first that says something."""
+    said = attempts.where((F.col("attempt") <= most) & (F.coalesce("answer", F.lit("")) != "") & ~placeholder(F.coalesce("answer", F.lit("")), F.lit(0)))
+    return said.groupBy("doc_id", "column").agg(F.min_by("answer", "attempt").alias("answer"), F.min("attempt").alias("attempt"))
+
+
 def prompt(task: dict, text: str) -> str:
     return json.dumps(task) + "\n---\n" + text
 

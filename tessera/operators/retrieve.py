@@ -34,6 +34,15 @@ def rerank(rows: DataFrame, score: Column, group: str, order: str, k: int) -> Da
     return top_k(rows.drop("rank").withColumn("similarity", score), group, order, k)
 
 
+def ranked_in_batches(rows: DataFrame, score: Column, group: str, order: str, k: int, most: int) -> DataFrame:
+    """The k best rows of each group by a scorer that takes ``most`` rows at once: 2 k of each batch are ranked once more."""
+    place = F.row_number().over(Window.partitionBy(group).orderBy(order))
+    held = rows.withColumn("_batch", F.floor((place - 1) / most)).withColumn("similarity", score)
+    w = Window.partitionBy(group, "_batch").orderBy(F.desc("similarity"), F.desc(order))
+    finalists = held.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 2 * k).drop("rank", "_batch")
+    return top_k(finalists, group, order, k)
+
+
 def expanded_k(k: int) -> int:
     return min(max(2 * k, 8), 24)
 

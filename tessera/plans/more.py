@@ -177,11 +177,6 @@ def _(embeddings):
     return retrieve.rerank(retrieve.top_k(near, "label", "vec_id", 8), similarity.dot(F.col("embedding"), F.col("q")), "label", "vec_id", 3).select("label", "vec_id")
 
 
-@query("ddl_03_add_column", "nation", "SELECT n_nationkey, NULL::VARCHAR AS note FROM nation")
-def _(nation):
-    return nation.select("n_nationkey").withColumn("note", F.lit(None).cast("string"))
-
-
 @query("ddl_05_validate", "part", "SELECT lower(p_brand) AS name, count(*) > 1 AS duplicate FROM part GROUP BY 1")
 def _(part):
     return part.groupBy(F.lower("p_brand").alias("name")).agg((F.count(F.lit(1)) > 1).alias("duplicate"))

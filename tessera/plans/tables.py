@@ -170,16 +170,6 @@ def _(supplier):
     return supplier.select("s_suppkey", cells.sanitise(odd).alias("v"))
 
 
-@query("prj_07_rename", "supplier", "SELECT s_suppkey AS id, s_name AS name FROM supplier")
-def _(supplier):
-    return supplier.withColumnsRenamed({"s_suppkey": "id", "s_name": "name"}).select("id", "name")
-
-
-@query("prj_08_drop", "nation", "SELECT n_nationkey, n_name FROM nation")
-def _(nation):
-    return nation.drop("n_regionkey", "n_regionkey_excerpt")
-
-
 @query("prj_09_update_cell", "customer", "SELECT c_custkey, CASE WHEN c_custkey = (SELECT min(c_custkey) FROM customer WHERE c_mktsegment = 'BUILDING') THEN 'edited' ELSE c_mktsegment END AS c_mktsegment FROM customer")
 def _(customer):
     from tessera.operators.merge import update_cell
