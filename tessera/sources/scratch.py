@@ -1,4 +1,4 @@
-"""A new path in the shared folder, for tables that a job writes and reads again."""
+"""A new path in the shared folder, for tables that a job writes and reads again; a local one only where all is one process."""
 
 import tempfile
 import uuid
@@ -9,6 +9,8 @@ from pyspark.sql import SparkSession
 def new_path(spark: SparkSession, name: str) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         root = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
