@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 from pyspark.sql.types import IntegerType, StringType, StructType
 
+from tessera.functions.cells import bound
+
 #: Headings that begin references and acknowledgments.
 REFERENCE_HEADINGS = [r"(?im)^\s*(?:\d+\.?\s+)?references?\s*$", r"(?im)^\s*bibliography\s*$", r"(?im)^\s*literature\s+cited\s*$", r"(?i)\\section\*?\{references?\}"]
 ACKNOWLEDGMENTS = [r"(?im)^\s*acknowledgments?\s*$", r"(?im)^\s*acknowledgements?\s*$"]
@@ -90,22 +92,29 @@ def stripped(text: Column) -> Column:
 
 def without_references(text: Column) -> Column:
     """Text before the first kind of reference heading whose first place is after 70 % of the text, stripped."""
-    out = text
-    for pattern in reversed(REFERENCE_HEADINGS):
-        at = F.regexp_instr(text, F.lit(pattern))
-        out = F.when(at - 1 > 0.7 * F.length(text), stripped(F.substring(text, F.lit(1), at - 1))).otherwise(out)
-    return out
+
+    def cut(t: Column) -> Column:
+        places = F.array(*[F.regexp_instr(t, F.lit(p)) for p in REFERENCE_HEADINGS])
+        late = F.filter(places, lambda at: at - 1 > 0.7 * F.length(t))
+        return F.when(F.size(late) > 0, stripped(F.substring(t, F.lit(1), F.get(late, F.lit(0)) - 1))).otherwise(t)
+
+    return bound(text, cut)
 
 
 def without_acknowledgments(text: Column) -> Column:
     """Text without the section of acknowledgments: to the next line that begins with a word, or to the end after 80 %."""
-    for pattern in ACKNOWLEDGMENTS:
-        at = F.regexp_instr(text, F.lit(pattern))
-        before = F.substring(text, F.lit(1), at - 1)
-        rest = F.substr(text, at + F.length(F.regexp_extract(text, pattern, 0)))
-        then = F.regexp_instr(rest, F.lit(r"(?im)^\s*(?:\d+\.?\s+)?[A-Z][a-z]+"))
-        text = F.when(at == 0, text).when(then > 0, F.concat(before, F.substr(rest, then))).when(at - 1 > 0.8 * F.length(text), before).otherwise(text)
-    return text
+
+    def cut(t: Column, pattern: str) -> Column:
+        def at_heading(at: Column) -> Column:
+            before = F.substring(t, F.lit(1), at - 1)
+            rest = F.substr(t, at + F.length(F.regexp_extract(t, pattern, 0)))
+            then = F.regexp_instr(rest, F.lit(r"(?im)^\s*(?:\d+\.?\s+)?[A-Z][a-z]+"))
+            return F.when(then > 0, F.concat(before, F.substr(rest, then))).when(at - 1 > 0.8 * F.length(t), before).otherwise(t)
+
+        return bound(F.regexp_instr(t, F.lit(pattern)), lambda at: F.when(at == 0, t).otherwise(at_heading(at)))
+
+    first, second = ACKNOWLEDGMENTS
+    return bound(text, lambda t: bound(cut(t, first), lambda u: cut(u, second)))
 
 
 def preprocess(text: Column, paper: Column) -> Column:

@@ -3,6 +3,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.cells import bound
+
 #: Keys under which a cell keeps its answer and its evidence, in the order they are looked for.
 ANSWER_KEYS = ["answer", "value", "response", "result", "text", "content"]
 EXCERPT_KEYS = ["excerpt", "excerpts", "evidence", "sources", "quotes", "supporting_text"]
@@ -59,11 +61,6 @@ def payload(text: Column) -> Column:
     return F.replace(F.replace(inner, F.lit("{{"), F.lit("{")), F.lit("}}"), F.lit("}"))
 
 
-def bound(value: Column, use) -> Column:
-    """``use(value)`` with the value worked out once, however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def repaired(text: Column) -> Column:
     """A variant of a reply's JSON, null without any: as it is, then with plain quotes and without trailing commas, then the last object in it, then closed where it was cut."""
 

@@ -4,11 +4,11 @@ import hashlib
 import json
 from dataclasses import dataclass, field, replace
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.cells import normal_name
+from tessera.functions.cells import bound, normal_name
+from tessera.functions.replies import holds_any
 
 
 @dataclass(frozen=True)
@@ -204,10 +204,10 @@ def decide(catalog: DataFrame, pending: DataFrame, decisions: DataFrame) -> tupl
     return catalog.join(added, "column", "left").select("column", spelled.alias("allowed")), waiting.join(known, ["column", "value"], "left_anti")
 
 
-def field_score(predicted: str, gold: str, alike=None) -> float:
-    """1 for equal names, 0.8 where one holds the other, else ``alike`` (0 without)."""
-    p, g = predicted.lower().strip(), gold.lower().strip()
-    return 1.0 if p == g else 0.8 if p in g or g in p else max(0.0, alike(p, g)) if alike else 0.0
+def field_score(predicted: Column, gold: Column) -> Column:
+    """1 for equal names, 0.8 where one holds the other, else 0."""
+    p, g = F.lower(F.trim(predicted)), F.lower(F.trim(gold))
+    return F.when(p == g, 1.0).when(g.contains(p) | p.contains(g), 0.8).otherwise(0.0)
 
 
 #: What the name of a field that is no subject of alignment holds.
@@ -217,19 +217,23 @@ META_FIELDS = ["id", "row_name", "protein_name", "fasta", "sequence", "hash", "c
 def align_fields(predicted: DataFrame, gold: DataFrame, table: str, least: float = 0.6) -> DataFrame:
     """table, pred_field, gold_field, score: for each table (table, field, seq), predicted fields in order take the best gold field still free above ``least``.
 
-    A table's fields are few (a schema); tables are spread over tasks.
+    A table's fields are few (a schema), so they are one row's arrays; tables are spread over tasks.
     """
+    plain = lambda df, name: df.where(~holds_any(F.lower("field"), META_FIELDS)).groupBy(table).agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "field"))), lambda x: x["field"]).alias(name))
+    both = plain(predicted, "_p").join(plain(gold, "_g"), table)
+    start = F.struct(F.array().cast("array<string>").alias("used"), F.array().cast("array<struct<pred_field:string,gold_field:string,score:double>>").alias("out"))
 
-    def align(key: tuple, p: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        plain = lambda d: [f for f in d.sort_values("seq")["field"] if not any(m in f.lower() for m in META_FIELDS)]
-        own = plain(g)
-        pairs = [(f, h, field_score(f, h)) for f in plain(p) for h in own]
-        score = {(f, h): s for f, h, s in pairs}
-        found = greedy_alignment(pairs, least)
-        return pd.DataFrame([(key[0], f, h, score[f, h]) for f, h in found.items()], columns=[table, "pred_field", "gold_field", "score"])
+    def step(acc: Column, p: Column) -> Column:
+        scored = F.transform(F.col("_g"), lambda g, i: F.struct(field_score(p, g).alias("score"), (-i).alias("place"), g.alias("gold")))
+        best = F.array_max(F.filter(scored, lambda c: (c["score"] > least) & ~F.array_contains(acc["used"], c["gold"])))
 
-    kind = dict(predicted.dtypes)[table]
-    return predicted.groupBy(table).cogroup(gold.groupBy(table)).applyInPandas(align, f"{table} {kind}, pred_field string, gold_field string, score double")
+        def taken(b: Column) -> Column:
+            row = F.struct(p.alias("pred_field"), b["gold"].alias("gold_field"), b["score"].alias("score"))
+            return F.when(b.isNull(), acc).otherwise(F.struct(F.array_append(acc["used"], b["gold"]).alias("used"), F.array_append(acc["out"], row).alias("out")))
+
+        return bound(best, taken)
+
+    return both.select(table, F.explode(F.aggregate("_p", start, step)["out"]).alias("_")).select(table, "_.*")
 
 
 #: What a definition says of a column's kind; the first kind that applies.
@@ -245,16 +249,6 @@ def strategy(definition):
     return out
 
 
-def greedy_alignment(pairs: list[tuple[str, str, float]], least: float = 0.6) -> dict[str, str]:
-    """One partner for each prediction, in order, the best of those still free above ``least`` (schema-sized, on the driver)."""
-    out: dict[str, str] = {}
-    for name in dict.fromkeys(p for p, _, _ in pairs):
-        free = [(s, g) for p, g, s in pairs if p == name and g not in out.values() and s > least]
-        if free:
-            out[name] = max(free, key=lambda x: x[0])[1]
-    return out
-
-
 def recommendations(one: DataFrame) -> DataFrame:
     """What the metrics (accuracy, answer_rate, high_rate) of an evaluation call for."""
     said = F.array(F.when(F.col("accuracy") < 0.7, "refine definitions"), F.when(F.col("answer_rate") < 0.8, "add columns"), F.when(F.col("high_rate") < 0.5, "add examples"))

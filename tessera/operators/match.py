@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.cells import bound
 from tessera.operators.blocks import join_blocks
 
 #: Words of a document's gram, characters of a name's.
@@ -17,19 +18,25 @@ def word_grams(text: Column) -> Column:
 def inner_grams(text: Column) -> Column:
     """As ``word_grams``, without the first and last word, which may be parts of words in a text that holds this one."""
     words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    return _grams(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))))
+    return _grams(bound(words, lambda w: F.slice(w, F.lit(2), F.greatest(F.size(w) - 2, F.lit(0)))))
 
 
 def _grams(words: Column) -> Column:
-    n = F.size(words) - WORD_GRAM + 1
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, F.lit(WORD_GRAM))))).otherwise(F.array().cast("array<bigint>"))
+    def of(w: Column) -> Column:
+        n = F.size(w) - WORD_GRAM + 1
+        return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, F.lit(WORD_GRAM))))).otherwise(F.array().cast("array<bigint>"))
+
+    return bound(words, of)
 
 
 def char_grams(text: Column) -> Column:
     """Hashes of the CHAR_GRAM characters from each character on."""
-    low = F.lower(text)
-    n = F.length(low) - CHAR_GRAM + 1
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.substring(low, i, F.lit(CHAR_GRAM))))).otherwise(F.array().cast("array<bigint>"))
+
+    def of(low: Column) -> Column:
+        n = F.length(low) - CHAR_GRAM + 1
+        return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.substring(low, i, F.lit(CHAR_GRAM))))).otherwise(F.array().cast("array<bigint>"))
+
+    return bound(F.lower(text), of)
 
 
 def holders(inner: DataFrame, outer: DataFrame, own: Column, all_: Column) -> DataFrame:
