@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.cells import bound
 from tessera.operators.blocks import join_blocks
+from tessera.sources.scratch import new_path
 
 #: Words of a document's gram, characters of a name's.
 WORD_GRAM, CHAR_GRAM = 4, 3
@@ -50,6 +51,8 @@ def holders(inner: DataFrame, outer: DataFrame, own: Column, all_: Column) -> Da
     grams = asked.where(F.size("_g") > 0).select("inner", "text_in", F.explode("_g").alias("_g"))
     wanted = grams.select("_g").distinct()
     has = outer.where("text_out is not null").select("outer", F.explode(F.array_distinct(all_)).alias("_g")).join(wanted, "_g", "left_semi")
+    has.write.parquet(path := new_path(has.sparkSession, "grams"))  # what the inner texts ask for only, read twice
+    has = has.sparkSession.read.schema(has.schema).parquet(path)
     often = has.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
     # a text of whose grams one is in no outer text is in none of them, and the check below says so
     rarest = grams.join(often, "_g").groupBy("inner", "text_in").agg(F.min_by("_g", F.struct("_n", "_g")).alias("_g"))
