@@ -23,11 +23,11 @@ def inner_grams(text: Column) -> Column:
 
 
 def _grams(words: Column) -> Column:
-    def of(w: Column) -> Column:
-        n = F.size(w) - WORD_GRAM + 1
-        return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, F.lit(WORD_GRAM))))).otherwise(F.array().cast("array<bigint>"))
+    def of(h: Column) -> Column:
+        n = F.size(h) - WORD_GRAM + 1
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WORD_GRAM)]))).otherwise(F.array().cast("array<bigint>"))
 
-    return bound(words, of)
+    return bound(F.transform(words, lambda w: F.xxhash64(w)), of)
 
 
 def char_grams(text: Column) -> Column:
@@ -50,7 +50,7 @@ def holders(inner: DataFrame, outer: DataFrame, own: Column, all_: Column) -> Da
     asked = inner.where("text_in is not null").select("inner", "text_in", F.array_distinct(own).alias("_g"))
     grams = asked.where(F.size("_g") > 0).select("inner", "text_in", F.explode("_g").alias("_g"))
     wanted = grams.select("_g").distinct()
-    has = outer.where("text_out is not null").select("outer", F.explode(F.array_distinct(all_)).alias("_g")).join(wanted, "_g", "left_semi")
+    has = outer.where("text_out is not null").select("outer", F.explode(all_).alias("_g")).join(wanted, "_g", "left_semi").distinct()
     has.write.parquet(path := new_path(has.sparkSession, "grams"))  # what the inner texts ask for only, read twice
     has = has.sparkSession.read.schema(has.schema).parquet(path)
     often = has.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
