@@ -19,7 +19,7 @@ DOMAINS = {
 #: Data types that are a feature each; marks for allowed values and domains weigh MARK.
 TYPES, MARK = ["string", "number", "boolean", "date", "array"], 2.0
 #: What a path of a local folder holds.
-LOCAL = ["/app/", "/data/", "/backend/", "pending_documents", "/Users/", "/home/", "C:\\", "D:\\", "./", "../", "schematiq_work/", "qbsd_work/"]
+LOCAL = ["/app/", "/data/", "/backend/", "pending_documents", "/Users/", "/home/", "C:\\", "D:\\", "./", "../"]
 
 
 def marks(text: Column, data_type: Column, allowed: Column) -> Column:
@@ -30,10 +30,10 @@ def marks(text: Column, data_type: Column, allowed: Column) -> Column:
     return F.array(*kinds, listed, *[F.when(F.coalesce(holds_any(low, words), F.lit(False)), MARK).otherwise(0.0) for words in DOMAINS.values()])
 
 
-def is_local_path(path: Column) -> Column:
-    """Whether a document folder is a path of this machine rather than a name in a store."""
+def is_local_path(path: Column, own: tuple[str, ...] = ()) -> Column:
+    """Whether a document folder is a path of this machine rather than a name in a store; ``own`` are further folder names of an installation."""
     deep = path.startswith("/") & (F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit(""))) > 2)
-    return F.coalesce(holds_any(path, LOCAL) | deep, F.lit(False))
+    return F.coalesce(holds_any(path, [*LOCAL, *own]) | deep, F.lit(False))
 
 
 def fit_prompt(header: Column, blocks: Column, budget: int, caps: tuple[int, ...] = (11, 9, 7, 5, 3, 1)) -> Column:
