@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, crf, decontam, fingerprint, hpy, langid, neardup, oracles, store, suffix, windows
+from tessera.llm import bpe, collocations, crf, decontam, fingerprint, hpy, langid, neardup, oracles, periods, secrets, store, suffix, windows
 from tessera.llm.workspace import documents
 
 
@@ -63,9 +63,21 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.periodic_runs(documents(spark, sf_dir), planted=True)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_fingerprints, op3_language_model, op4_quality, op5_substring_dedup, op6_passage_dedup, op7_near_duplicates, op8_token_store, op9_byte_bpe, op10_language)}
+    return {f.__name__: f for f in (op1_decontamination, op2_fingerprints, op3_language_model, op4_quality, op5_substring_dedup, op6_passage_dedup, op7_near_duplicates, op8_token_store, op9_byte_bpe, op10_language, op11_periodic_runs, op12_collocations, op13_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": oracles.OP1, "op7_near_duplicates": oracles.OP7}
+    return {"op1_decontamination": oracles.OP1, "op7_near_duplicates": oracles.OP7, "op11_periodic_runs": oracles.OP11, "op12_collocations": oracles.OP12, "op13_secrets": oracles.OP13}
