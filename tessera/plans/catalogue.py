@@ -1,6 +1,6 @@
 """All queries of the library and their SQL."""
 
-from tessera.plans import catalogs, evidence, jobs, merges, more, tables, texts  # noqa: F401  they register themselves
+from tessera.plans import catalogs, evidence, jobs, merges, more, schemas, tables, texts  # noqa: F401  they register themselves
 from tessera.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
