@@ -26,10 +26,10 @@ from tessera.llm.workspace import materialise, parts
 
 UNKNOWN = "und"
 #: Bytes of text that are counted at a time; counters of a task, and rows of a task, that wait to be merged.
-SLICE_BYTES, WAITING, ROWS = 8 << 20, 3_000_000, 1_500_000
+SLICE_BYTES, WAITING, ROWS = 3 << 20, 1_500_000, 600_000
 FINGERPRINT_BITS, FILTER_BITS, MOST_BUCKET_BITS = 48, 28, 20
 #: Copies of a single word's count, and of a longer part's, that a join deals the phrases of a common part over.
-WORD_SALTS, PART_SALTS, TOP_SALTS = 16, 4, 64
+WORD_SALTS, PART_SALTS, TOP_SALTS = 8, 2, 64
 #: A-Z folded; bytes that end a piece (a line break here), and the tab as a space.
 _FOLD = LOWER.copy()
 _FOLD[[ord(c) for c in ".,;:!?"]] = _FOLD[10:14] = 10
@@ -62,7 +62,7 @@ def grams(langs: list, texts: list, longest: int, keep=None) -> tuple[np.ndarray
     words = np.empty(len(first), object)
     words[:] = data.split()
     ids, known = pd.factorize(words)
-    ids = ids.astype(np.int64)
+    del words, raw, buf, solid, data
     word_hash = np.array([xxhash.xxh3_64_intdigest(w) for w in known], np.uint64)
     lang_hash = np.array([xxhash.xxh3_64_intdigest(x.encode(), 1) for x in names], np.uint64)
     pos, before, before_hash, found = np.arange(len(ids)), lang.astype(np.int64), lang_hash, []
@@ -90,7 +90,7 @@ def grams(langs: list, texts: list, longest: int, keep=None) -> tuple[np.ndarray
 def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
     """Languages and texts of so many bytes at a time, one document at least."""
     langs, texts, size = [], [], 0
-    for batch in batches:
+    for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             langs.append(lang)
             texts.append(text)
@@ -252,7 +252,7 @@ def frequent_phrases(docs: DataFrame, longest: int, threshold: int) -> DataFrame
             if rows > ROWS:
                 held = [merged(held)]
                 rows = held[0].num_rows
-                if rows > ROWS:
+                if rows > ROWS // 2:
                     yield from held[0].to_batches(100_000)
                     held, rows = [], 0
         if held:
