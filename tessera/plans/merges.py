@@ -228,8 +228,15 @@ def _(documents):
 
 @query("sim_09_dedup_units", "embeddings")
 def _(embeddings):
-    own = embeddings.select((F.col("vec_id") % 50).alias("doc"), F.concat(F.lit("unit"), F.col("label").cast("string")).alias("name"), "embedding", F.lit("high").alias("confidence"), F.col("vec_id").alias("seq"))
-    return units.dedup_units(own, "doc", "name", "embedding", "confidence")
+    """Forty vectors are a document's units, named by label and number; every fourth leans on the one before."""
+    n = F.col("vec_id")
+    before = embeddings.select((n + 1).alias("vec_id"), F.col("embedding").alias("last"))
+    lean = F.when((n % 4 == 1) & F.col("last").isNotNull(), F.zip_with("embedding", "last", lambda x, y: x * F.lit(0.3).cast("float") + y)).otherwise(F.col("embedding"))
+    own = embeddings.join(before, "vec_id", "left").select(
+        F.floor(n / 40).alias("document"), n.alias("seq"), F.concat(F.lit("Unit "), "label", F.when(n % 7 == 0, "").otherwise(F.concat(F.lit(" no "), n.cast("string")))).alias("name"), lean.alias("vector"),
+        F.element_at(F.array(*[F.lit(c) for c in (*units.CONFIDENCE, "odd")]), (n % 5 + 1).cast("int")).alias("confidence"), F.array(F.concat(F.lit("passage "), (n % 3).cast("string"))).alias("passages"),
+    )
+    return units.dedup_units(own)
 
 
 @query("sim_03_token_jaccard", "part", "WITH t AS (SELECT p_partkey, list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]+')) AS a, list_distinct(regexp_extract_all(lower(p_type), '[a-z0-9]+')) AS b FROM part) SELECT p_partkey, round(len(list_intersect(a, b))::DOUBLE / greatest(len(list_distinct(list_concat(a, b))), 1), 6) AS score FROM t")

@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import cells, documents as docs_, replies, similarity
-from tessera.operators import cost, evaluate, filters, match, retrieve
+from tessera.operators import alike, cost, evaluate, filters, match, retrieve
 from tessera.plans.registry import query
 
 _SENT = "string_split(regexp_replace(text, '([.?!])\\s+', '\\1' || chr(1), 'g'), chr(1))"
@@ -170,10 +170,19 @@ def _(part):
     return part.select("p_partkey", (F.lower("p_brand") == "brand#11").alias("same"))
 
 
-@query("sim_11_allowed_values", "part", "SELECT p_partkey, CASE WHEN p_size > 40 THEN '40.0' ELSE p_size::VARCHAR END AS v FROM part")
+@query("sim_11_allowed_values", "part")
 def _(part):
-    number = cells.number(F.regexp_replace(F.concat(F.col("p_size").cast("string"), F.lit("%")), "%$", ""))
-    return part.select("p_partkey", F.when(number > 40, F.lit(40.0).cast("string")).otherwise(F.col("p_size").cast("string")).alias("v"))
+    """Parts' types with a letter doubled, lost or wrong, their sizes with a percent sign, and words, against allowed values of five kinds of columns."""
+    n = F.col("p_partkey")
+    names = F.array_sort(F.collect_set("p_name"))
+    catalog = part.groupBy((F.col("p_partkey") % 3).alias("k")).agg(names.alias("names"))
+    lists = catalog.select(F.concat(F.lit("name"), "k").alias("column"), F.col("names").alias("allowed"))
+    fixed = part.sparkSession.createDataFrame([("number", [" Number "]), ("range", ["10-40"]), ("below", ["-10-20"]), ("odd", ["a-b"]), ("free", [])], "column string, allowed array<string>")
+    column = F.element_at(F.array(*[F.lit(c) for c in ("name0", "name1", "name2", "number", "range", "below", "odd", "free", "unknown")]), (n % 9 + 1).cast("int"))
+    size = F.concat(F.lit(" "), F.col("p_size").cast("string"), F.when(n % 4 == 0, "%").otherwise(""))
+    typo = F.when(n % 5 == 0, F.upper("p_name")).when(n % 5 == 1, F.concat(F.substring("p_name", 2, 50), F.lit("s"))).when(n % 5 == 2, F.reverse("p_name")).when(n % 5 == 3, F.replace("p_name", F.lit(" "), F.lit("  "))).otherwise(F.col("p_type"))
+    rows = part.select("p_partkey", column.alias("column"), F.when(n % 9 < 3, typo).when(n % 11 == 0, F.lit("none of it")).otherwise(size).alias("answer"))
+    return alike.allowed_values(rows, lists.unionByName(fixed))
 
 
 @query("sim_14_numeric", "part", "WITH x AS (SELECT p_partkey, CASE WHEN p_partkey % 5 > 0 THEN round(p_retailprice, 2) END AS p, p_retailprice + p_size % 20 AS t FROM part) SELECT p_partkey, abs(p - t) / abs(t) < 0.01 AS match, round(greatest(0, 1 - abs(p - t) / abs(t)), 6) AS similarity FROM x")
