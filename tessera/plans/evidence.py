@@ -235,14 +235,21 @@ def _(part):
     return spark.read.text(path).select(c["name"].alias("name"), c["definition"].alias("definition"), F.size(c["allowed_values"]).cast("long").alias("n_allowed"))
 
 
-@query("snk_12_evaluation_report", "documents labels", "SELECT lang, '| ' || lang || ' | ' || count(*) || ' | ' || printf('%.3f', avg(quality)) || ' |' AS line FROM documents JOIN labels USING (doc_id) GROUP BY lang")
+@query("snk_12_evaluation_report", "documents labels", "WITH m AS (SELECT lang, count(*)::DOUBLE AS n, avg(quality) AS accuracy, avg(CASE WHEN toxic = 1 THEN 1.0 ELSE 0.0 END) AS toxic FROM documents JOIN labels USING (doc_id) GROUP BY lang) SELECT lang, '# Evaluation Report: ' || lang || chr(10) || chr(10) || '| Metric | Value |' || chr(10) || '|--------|-------|' || chr(10) || '| n | ' || n::BIGINT || ' |' || chr(10) || '| accuracy | ' || CASE WHEN accuracy = floor(accuracy) THEN accuracy::BIGINT::VARCHAR ELSE printf('%.3f', accuracy) END || ' |' || chr(10) || '| toxic | ' || CASE WHEN toxic = floor(toxic) THEN toxic::BIGINT::VARCHAR ELSE printf('%.3f', toxic) END || ' |' || chr(10) AS markdown, round(accuracy, 6) AS json_accuracy, 3 AS csv_metrics, round(n + accuracy + toxic, 6) AS csv_total FROM m")
 def _(documents, labels):
-    """Metrics of each class as lines of a Markdown table, written and read again."""
+    """Metrics of each language as JSON, CSV and Markdown files, written and read again."""
+    from tessera.sources import readers
+
     spark, path = documents.sparkSession, new_path(documents.sparkSession, "report")
-    metrics = documents.join(labels, "doc_id").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.avg("quality").alias("accuracy"))
-    writers.markdown_table(metrics.select("lang", F.col("n").cast("string").alias("n"), F.format_string("%.3f", "accuracy").alias("accuracy"))).write.text(path)
-    lines = spark.read.text(path)
-    return lines.select(F.regexp_extract("value", r"^\| (\S+) \|", 1).alias("lang"), F.col("value").alias("line"))
+    found = documents.join(labels, "doc_id").groupBy("lang").agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("quality").alias("accuracy"), F.avg(F.when(F.col("toxic") == 1, 1.0).otherwise(0.0)).alias("toxic"))
+    metrics = found.select(F.col("lang").alias("report"), F.posexplode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("n", "accuracy", "toxic")])).alias("seq", "m")).select("report", "seq", "m.*")
+    writers.write_report(metrics, path)
+    name = readers.file_name(F.col("_metadata.file_path"))
+    texts = spark.read.text(f"{path}/*_report.md", wholetext=True).select(F.regexp_replace(name, "_report.md$", "").alias("lang"), F.col("value").alias("markdown"))
+    told = spark.read.schema("report string, overall_metrics map<string, double>").json(f"{path}/*.json").select(F.col("report").alias("lang"), F.round(F.col("overall_metrics")["accuracy"], 6).alias("json_accuracy"))
+    lines = spark.read.option("header", True).schema("metric string, value double").csv(f"{path}/*_summary.csv").select(F.regexp_replace(name, "_summary.csv$", "").alias("lang"), "value")
+    sums = lines.groupBy("lang").agg(F.count(F.lit(1)).cast("int").alias("csv_metrics"), F.round(F.sum("value"), 6).alias("csv_total"))
+    return texts.join(told, "lang").join(sums, "lang")
 
 
 @query("snk_10_backup", "nation", "SELECT n_nationkey, n_name AS before, upper(n_name) || '!' AS after FROM nation")

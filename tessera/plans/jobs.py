@@ -1,5 +1,6 @@
 """Queries that write and read files, run streams, or extract cells."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import extract
@@ -16,11 +17,19 @@ def _(events):
     return readers.read_jsonl(events.sparkSession, path, "event_id long, event_type string, value double")
 
 
-@query("src_05_csv", "customer", "SELECT c_custkey, c_name, c_mktsegment AS segment, CASE WHEN c_custkey % 3 = 0 THEN '# ' || c_name ELSE c_mktsegment || ', \"' || c_custkey || '\"' || chr(10) || 'c_custkey' END AS note FROM customer")
+@query("src_05_csv", "customer", "SELECT c_custkey, c_name, CASE WHEN c_custkey % 4 <> 3 THEN c_mktsegment END AS segment, CASE WHEN c_custkey % 3 = 0 THEN '# ' || c_name ELSE c_mktsegment || ', \"' || c_custkey || '\"' || chr(10) || 'c_custkey' END AS note FROM customer")
 def _(customer):
+    """Four files whose headers differ in order, delimiter and columns, read as one table by name."""
     spark, path = customer.sparkSession, new_path(customer.sparkSession, "csv")
     note = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("# "), "c_name")).otherwise(F.concat(F.col("c_mktsegment"), F.lit(', "'), F.col("c_custkey").cast("string"), F.lit('"\nc_custkey')))
-    writers.write_csv(customer.select("c_custkey", "c_name", "c_mktsegment", note.alias("note")), path)
+    rows = customer.select(F.col("c_custkey").cast("string").alias("c_custkey"), "c_name", "c_mktsegment", note.alias("note"))
+    orders = [("c_custkey c_name c_mktsegment note", ","), ("note c_mktsegment c_custkey c_name", ";"), ("c_name note c_mktsegment c_custkey", "\t"), ("note c_custkey c_name", "|")]
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"'))
+    k = (F.col("c_custkey").cast("long") % 4).cast("int")
+    line = F.get(F.array(*[F.concat_ws(d, *[quoted(c) for c in names.split()]) for names, d in orders]), k)
+    heads = spark.createDataFrame([(f"f{i}.csv", f"# Query: {i}\n\n" + d.join(names.split()) + "\n") for i, (names, d) in enumerate(orders)], "name string, text string")
+    body = rows.select(F.concat(F.lit("f"), k.cast("string"), F.lit(".csv")).alias("name"), F.concat(line, F.lit("\n")).alias("text"), F.col("c_custkey").cast("long").alias("seq"))
+    writers.write_files(heads.withColumn("seq", F.lit(-1).cast("long")).unionByName(body), path, ["seq"])
     return readers.read_csv(spark, path, rename={"c_mktsegment": "segment"}, schema="c_custkey long, c_name string, c_mktsegment string, note string")
 
 
@@ -34,15 +43,19 @@ def _(supplier):
     return readers.read_csv(spark, f"{path}/*", schema="s_suppkey long, s_name string, note string")
 
 
-@query("src_07_validate", "events", "SELECT event_type, 'csv' AS format, count(*)::INT AS n_rows, 2 AS n_columns, false AS schema_only, 0 AS n_errors FROM events GROUP BY event_type")
+@query("src_07_validate", "events", "SELECT user_id, 'csv' AS format, count(*) FILTER (event_id % 16 < 4) AS n_rows, 3 AS n_columns, count(*) FILTER (event_id % 16 < 4) = 0 AS schema_only, 0 AS n_errors, CASE WHEN count(*) FILTER (event_id % 16 < 4) = 0 THEN 2 ELSE 1 END AS n_warnings FROM events GROUP BY user_id")
 def _(events):
+    """A file of a few events of each user, parted by semicolons, with line breaks in cells, and what its beginning says; some have no rows."""
     spark, path = events.sparkSession, new_path(events.sparkSession, "uploads")
-    writers.export_csv(events.select("event_id", "value", "event_type"), path, {"query": "q"}, "event_type")
-    found = readers.validate_files(spark, f"{path}/*").withColumn("event_type", F.regexp_extract(F.col("filename"), r"^(.*)\.csv$", 1))
-    return found.select("event_type", "format", "n_rows", "n_columns", "schema_only", F.size("errors").alias("n_errors"))
+    name = F.concat(F.col("user_id").cast("string"), F.lit(".csv"))
+    heads = events.select(name.alias("name"), F.lit(-1).cast("long").alias("seq"), F.lit("# Query: q\nevent;note;value\n").alias("text")).distinct()
+    rows = events.where("event_id % 16 < 4").select(name.alias("name"), F.col("event_id").alias("seq"), F.concat(F.col("event_id").cast("string"), F.lit(';"a\n""b"", ;";'), F.col("value").cast("string"), F.lit("\n")).alias("text"))
+    writers.write_files(heads.unionByName(rows), path, ["seq"])
+    found = readers.validate_files(spark, path).withColumn("user_id", F.regexp_extract(F.col("filename"), r"^(.*)\.csv$", 1).cast("int"))
+    return found.select("user_id", "format", "n_rows", "n_columns", "schema_only", F.size("errors").alias("n_errors"), F.size("warnings").alias("n_warnings"))
 
 
-@query("src_09_upload_errors", "nation", "SELECT n_regionkey, CASE n_regionkey % 3 WHEN 0 THEN ['not a CSV or JSON file'] WHEN 1 THEN ['empty'] ELSE [] END AS errors FROM nation GROUP BY n_regionkey")
+@query("src_09_upload_errors", "nation", "SELECT n_regionkey, CASE n_regionkey % 3 WHEN 0 THEN ['Unsupported file format'] WHEN 1 THEN ['CSV file must have at least a header row'] ELSE [] END AS errors FROM nation GROUP BY n_regionkey")
 def _(nation):
     spark, path = nation.sparkSession, new_path(nation.sparkSession, "uploads")
     k = F.col("n_regionkey") % 3
@@ -51,6 +64,19 @@ def _(nation):
     return readers.validate_files(spark, path).select(F.regexp_extract("filename", r"(\d+)", 1).cast("int").alias("n_regionkey"), "errors")
 
 
+@query("snk_03_schema_files", "part", "WITH c AS (SELECT p_brand, p_type, min(p_partkey) AS seq FROM part GROUP BY ALL), n AS (SELECT *, 1 + (row_number() OVER (PARTITION BY p_brand ORDER BY seq) - 1) // 2 AS iteration FROM c) SELECT p_brand AS schema, list(p_type ORDER BY seq) AS columns, max(iteration) AS snapshots, count(*) FILTER (iteration = 1) AS first_total, round(count(*)::DOUBLE / max(iteration), 6) AS contribution_rate FROM n GROUP BY p_brand")
+def _(part):
+    """The schema artefact of each brand, two columns an iteration, as a file of its own, and what it says."""
+    spark, path = part.sparkSession, new_path(part.sparkSession, "schemas")
+    found = part.groupBy("p_brand", "p_type").agg(F.min("p_partkey").alias("seq"))
+    iteration = F.floor((F.row_number().over(Window.partitionBy("p_brand").orderBy("seq")) - 1) / 2) + 1
+    columns = found.select(F.col("p_brand").alias("schema"), "seq", F.col("p_type").alias("name"), F.concat(F.lit("of "), "p_brand").alias("definition"), F.lit(None).cast("string").alias("rationale"), F.array(F.lit("a")).alias("allowed"), iteration.alias("iteration"), F.concat(F.lit("doc"), F.col("seq").cast("string")).alias("document"))
+    writers.write_schema(columns, path)
+    back = spark.read.schema("id string, columns array<struct<name: string>>, contribution_rate double, schema_evolution struct<snapshots: array<struct<iteration: long, total_columns: long>>>").json(path)
+    snapshots = F.col("schema_evolution.snapshots")
+    return back.select(F.col("id").alias("schema"), F.transform("columns", lambda c: c["name"]).alias("columns"), F.size(snapshots).cast("long").alias("snapshots"), F.get(snapshots, F.lit(0))["total_columns"].alias("first_total"), "contribution_rate")
+
+
 @query("src_10_schema_files", "part", "SELECT p_partkey, CASE WHEN p_partkey % 4 = 3 THEN NULL ELSE p_brand END AS name, CASE WHEN p_partkey % 4 = 3 THEN NULL ELSE p_type END AS rationale, CASE p_partkey % 4 WHEN 3 THEN NULL WHEN 1 THEN 2 ELSE 0 END AS n_allowed FROM part")
 def _(part):
     """Schema files in their four forms: columns of each, none for one that is bad."""
@@ -64,12 +90,17 @@ def _(part):
 
 @query("src_08_json_rows", "supplier", "SELECT s_suppkey, s_name FROM supplier")
 def _(supplier):
-    """Complete exports with nine keys each, one for each nation, and their rows again."""
+    """Rows of a nation as a complete export of nine keys, as a list, or as lists and exports of one; a folder of all, and their rows again."""
     spark, path = supplier.sparkSession, new_path(supplier.sparkSession, "json")
-    rows = F.collect_list(F.struct("s_suppkey", "s_name")).alias("data")
-    other = [F.lit(x).alias(x) for x in ("query", "generated", "session_id", "model", "unit", "evolution", "metadata", "version")]
-    files = supplier.groupBy("s_nationkey").agg(rows).select(F.concat(F.col("s_nationkey").cast("string"), F.lit(".json")).alias("name"), F.to_json(F.struct(*other, "data")).alias("text"))
-    writers.write_files(files, path)
+    row = F.to_json(F.struct("s_suppkey", "s_name"))
+    k, key = F.col("s_nationkey") % 3, F.col("s_nationkey").cast("string")
+    head = '{"query": "q", "generated": "g", "session_id": "s", "model": null, "unit": {}, "evolution": [], "metadata": {"a": 1}, "version": 2, "data": ['
+    first = F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")) == 1  # a nation is a file
+    many = supplier.where(k < 2).select(F.concat(key, F.lit(".json")).alias("name"), F.col("s_suppkey").cast("long").alias("seq"), F.concat(F.when(first, F.when(k == 0, head).otherwise("[")).otherwise(","), row).alias("text"))
+    ends = supplier.where(k < 2).groupBy("s_nationkey").agg(F.max("s_suppkey").alias("last")).select(F.concat(key, F.lit(".json")).alias("name"), (F.col("last") + 1).cast("long").alias("seq"), F.when(k == 0, "]}").otherwise("]").alias("text"))
+    single = supplier.where(k == 2).select(F.concat(F.lit("one"), F.col("s_suppkey").cast("string"), F.lit(".json")).alias("name"), F.lit(0).cast("long").alias("seq"), row.alias("text"))
+    empty = spark.createDataFrame([("empty.json", 0, '{"query": "q", "data": []}'), ("bad.json", 0, "{")], "name string, seq long, text string")
+    writers.write_files(many.unionByName(ends).unionByName(single).unionByName(empty), path, ["seq"])
     return readers.read_json(spark, path)
 
 

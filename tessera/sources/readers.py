@@ -6,10 +6,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
+from tessera.sources import uploads
 from tessera.sources.scratch import new_path
-from tessera.sources.writers import write_files
 
 #: Names of system files.
 SYSTEM_FILES = r"^(\..*|Thumbs\.db|desktop\.ini|~\$.*|\._.*|\.tmp.*)$"
@@ -49,52 +49,68 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: StructType |
 
 
 def read_json(spark: SparkSession, path: str, rows: str = "data") -> DataFrame:
-    """Rows of a JSON file: a list, an export with its rows in a list under ``rows`` (whatever else it holds), or one object."""
-    df = spark.read.option("multiLine", True).json(path)
-    return df.select(F.explode(rows).alias("r")).select("r.*") if dict(df.dtypes).get(rows, "").startswith("array<struct") else df
+    """Rows of JSON files, whatever each holds: a list, an export with its rows in a list under ``rows`` (whatever else it holds), or one object.
 
-
-#: Comment and blank lines before the first other line of a file; a comment may stand in quotes.
-PREAMBLE = r"^(?:[ \t]*+\r?\n|\"?+#[^\n]*+(?:\n|$))++"
+    Each file is decided by what it holds itself. Of rows the columns of all files are taken; an export without rows has none.
+    """
+    raw = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
+    under = F.try_variant_get("v", f"$.{rows}", "array<variant>")
+    kind = F.schema_of_variant("v")
+    inner = F.when(kind.startswith("ARRAY"), F.try_variant_get("v", "$", "array<variant>")).when(under.isNotNull(), under).otherwise(F.array("v"))
+    found = raw.select(F.explode(inner).alias("r")).select(F.to_json("r").alias("json")).where(F.col("json").startswith("{"))
+    kept = new_path(spark, "rows")
+    found.write.text(kept)  # a row a line, read again by the columns of all
+    return spark.read.json(kept)
 
 
-def _whole(spark: SparkSession, path: str, encoding: str) -> DataFrame:
-    """path, text of whole files: uploads, 100 MB each at most."""
-    return spark.read.format("binaryFile").load(path).select("path", F.decode("content", encoding).alias("text"))
+def heads(spark: SparkSession, path: str, most: int = uploads.MOST) -> DataFrame:
+    """What the beginnings of uploads say, a row for each file of a folder: format, header, delimiter, encoding, preamble, rows, errors, warnings."""
+    uploads.register(spark)
+    return spark.read.format("upload_heads").option("most", most).load(path)
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", rename: dict[str, str] | None = None, schema: str | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, encoding: str | None = None, rename: dict[str, str] | None = None, schema: str | None = None) -> DataFrame:
     """A CSV file with header, or a folder of them; comments stand before the header only, blank lines nowhere.
 
-    The preamble goes by its place, so later lines that look like it, or like the header, are rows. Cells may hold line
-    breaks. With or without a preamble, types are those of ``schema`` or else inferred.
+    Each file is read by its own header, delimiter and encoding (UTF-8, else Latin-1, unless one is given), so columns
+    of several files meet by name. Later lines that look like a comment or the header are rows; cells may hold line
+    breaks. Types are those of ``schema``, else of the narrowest of int, long, double, boolean that all cells spell; cells
+    that don't spell a given type are null.
     """
-    whole = _whole(spark, path, encoding)
-    if not whole.where(F.col("text").rlike(r'^\s*"?#')).isEmpty():
-        body = whole.select(F.concat(F.md5("path"), F.lit(".csv")).alias("name"), F.regexp_replace("text", PREAMBLE, "").alias("text"))
-        path, encoding = new_path(spark, "csv"), "UTF-8"
-        write_files(body.where(F.trim("text") != ""), path)
-    df = spark.read.option("header", True).option("multiLine", True).option("encoding", encoding).option("escape", '"')
-    return (df.schema(schema) if schema else df.option("inferSchema", True)).csv(path).withColumnsRenamed(rename or {})
+    uploads.register(spark)
+    if schema:
+        kinds = spark.createDataFrame([], schema).schema
+        names = kinds.fieldNames()
+    else:
+        found = heads(spark, path).where("header is not null").select(F.posexplode("header").alias("i", "name")).groupBy(F.trim("name").alias("name")).agg(F.min("i").alias("i"))
+        names = [r.name for r in found.where("name <> ''").orderBy("i", "name").collect()]  # the columns of all files
+        if not names:
+            return spark.createDataFrame([], StructType())
+    reader = spark.read.format("upload_rows").schema(StructType([StructField(n, StringType()) for n in names]))
+    rows = (reader.option("encoding", encoding) if encoding else reader).load(path)
+    if schema:
+        typed = [F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in kinds]
+    else:
+        order = ["int", "bigint", "double", "boolean"]
+        fits = rows.agg(*[F.coalesce(F.min(F.when(F.col(f"`{n}`").isNotNull(), F.col(f"`{n}`").try_cast(k).isNotNull())), F.lit(False)).alias(f"{i}_{k}") for i, n in enumerate(names) for k in order])
+        told = fits.first()
+        typed = [F.col(f"`{n}`").cast(next((k for k in order if told[f"{i}_{k}"]), "string")).alias(n) for i, n in enumerate(names)]
+    return rows.select(*typed).withColumnsRenamed(rename or {})
+
+
+def preamble_lines(spark: SparkSession, path: str) -> list[str]:
+    """Comment lines before the first other line of a file."""
+    found = heads(spark, path).where(F.size("preamble") > 0).select("preamble").first()
+    return list(found.preamble) if found else []
 
 
-def preamble_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> list[str]:
-    """Comment lines before the first other line of a file."""
-    found = _whole(spark, path, encoding).select(F.regexp_extract("text", PREAMBLE, 0).alias("p")).where("p <> ''").first()
-    return [x.strip() for x in found.p.splitlines() if x.strip()] if found else []
-
-
-def validate_files(spark: SparkSession, path: str, most: int = 100 * 1024 * 1024) -> DataFrame:
-    """filename, format, n_rows, n_columns, schema_only, errors of uploads: by name, size and what they hold."""
-    files = spark.read.format("binaryFile").load(path)
-    name = F.lower(file_name(F.col("path")))
-    kind = F.when(name.endswith(".csv"), "csv").when(name.endswith(".json") | name.endswith(".jsonl"), "json")
-    body = F.regexp_replace(F.decode("content", "UTF-8"), PREAMBLE, "")
-    lines = F.filter(F.split(body, r"\r?\n"), lambda x: F.trim(x) != "")
-    columns = F.when(kind == "csv", F.size(F.split(F.get(lines, F.lit(0)), ","))).when(kind == "json", F.size(F.json_object_keys(F.get(lines, F.lit(0)))))
-    errors = F.array_compact(F.array(F.when(F.col("length") > most, "over 100 MB"), F.when(kind.isNull(), "not a CSV or JSON file"), F.when(F.size(lines) == 0, "empty")))
-    rows = F.when(kind == "csv", F.greatest(F.size(lines) - 1, F.lit(0))).when(kind == "json", F.size(lines))
-    return files.select(file_name(F.col("path")).alias("filename"), kind.alias("format"), rows.alias("n_rows"), columns.alias("n_columns"), ((kind == "csv") & (rows == 0)).alias("schema_only"), errors.alias("errors"))
+def validate_files(spark: SparkSession, path: str, most: int = uploads.MOST) -> DataFrame:
+    """filename, format, n_rows, n_columns, schema_only, errors, warnings of uploads: by name, size and what their beginnings hold.
+
+    Rows are those of the first 8 KB that hold a header (all, where the file is that short); a quoted line break is no
+    row's end, and the delimiter is what the header shows.
+    """
+    return heads(spark, path, most).select("filename", "format", "n_rows", "n_columns", "schema_only", "errors", "warnings")
 
 
 def schema_columns(text: Column) -> Column:

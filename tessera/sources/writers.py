@@ -8,8 +8,10 @@ from io import BytesIO, StringIO
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from tessera.functions.cells import unwrap
+from tessera.sources import uploads
 
 IDS = ["row_name", "papers", "unit_name"]
 
@@ -55,21 +57,14 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).option("escape", '"').csv(path)
 
 
-def write_files(files: DataFrame, path: str) -> None:
-    """A file for each row (name, text), written by the tasks; texts are upload-sized and end in a line break."""
-    spark = files.sparkSession
-    stage = f"{path.rstrip('/')}-parts"
-    files.select("name", F.regexp_replace("text", r"\n\z", "").alias("value")).write.partitionBy("name").text(stage)
-    fs = spark._jvm.org.apache.hadoop.fs
-    root = fs.Path(stage)
-    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    system.mkdirs(fs.Path(path))
-    for folder in system.listStatus(root):
-        if folder.isDirectory():
-            name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(folder.getPath().getName().split("=", 1)[1])
-            part = next(f.getPath() for f in system.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-"))
-            system.rename(part, fs.Path(f"{path}/{name}"))
-    system.delete(root, True)
+def write_files(files: DataFrame, path: str, order: list[str] | None = None) -> None:
+    """A file for each name of ``files`` (name, text and others): its texts one after the other in ``order``, written by one task.
+
+    Rows stream into their file, so none is gathered; a file is whole or not there, and names are the files' own.
+    """
+    uploads.register(files.sparkSession)
+    dealt = files.repartition("name").sortWithinPartitions("name", *(order or []))
+    dealt.select("name", "text").write.format("named_files").mode("append").option("path", path).save()
 
 
 def csv_cell(value: Column) -> Column:
@@ -78,13 +73,54 @@ def csv_cell(value: Column) -> Column:
     return F.when(text.rlike(r'[,"\n\r]|^#|^\s|\s$'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
 
 
-def export_csv(df: DataFrame, path: str, meta: dict, by: str) -> None:
-    """An upload-sized CSV file for each value of the column ``by``, with the preamble of ``meta``, a header and the rows without ``by``."""
+def export_csv(df: DataFrame, path: str, meta: dict, by: str, order: list[str] | None = None) -> None:
+    """A CSV file for each value of the column ``by``, with the preamble of ``meta``, a header and the rows without ``by``, in ``order`` (else that of their columns)."""
     columns = [c for c in df.columns if c != by]
-    line = F.concat_ws(",", *[csv_cell(F.col(c)) for c in columns])
+    key = order or [c for c in columns if not isinstance(df.schema[c].dataType, MapType)]
     head = "".join(f"{x}\n" for x in [*preamble(meta), ",".join(columns)])
-    grouped = df.select(F.col(by).cast("string").alias("_by"), line.alias("_line")).groupBy("_by").agg(F.array_join(F.sort_array(F.collect_list("_line")), "\n").alias("_body"))
-    write_files(grouped.select(F.concat(F.coalesce("_by", F.lit("none")), F.lit(".csv")).alias("name"), F.concat(F.lit(head), "_body", F.lit("\n")).alias("text")), path)
+    name = F.concat(F.coalesce(F.col(by).cast("string"), F.lit("none")), F.lit(".csv"))
+    line = F.concat(F.concat_ws(",", *[csv_cell(F.col(c)) for c in columns]), F.lit("\n"))
+    rows = df.select(name.alias("name"), F.lit(1).alias("_part"), F.struct(*key).alias("_key"), line.alias("text"))
+    heads = rows.select("name").distinct().select("name", F.lit(0).alias("_part"), F.lit(head).alias("text"))
+    write_files(heads.unionByName(rows, allowMissingColumns=True), path, ["_part", "_key"])
+
+
+def write_schema(columns: DataFrame, path: str) -> None:
+    """A JSON file for each schema of ``columns`` (schema, seq, name, definition, rationale, allowed, iteration, document): its query artefact with evolution.
+
+    Beside the columns in order stands, for each iteration, what it added and how many columns there were, where each
+    column came from, and the share of documents that contributed any.
+    """
+    column = F.struct("seq", "name", "definition", "rationale", F.col("allowed").alias("allowed_values"), "iteration", F.col("document").alias("source_document"))
+    own = columns.groupBy("schema").agg(
+        F.transform(F.sort_array(F.collect_list(column)), lambda c: c.dropFields("seq")).alias("columns"),
+        (F.count_distinct("document") / F.greatest(F.max("iteration"), F.lit(1))).alias("contribution_rate"),
+    )
+    steps = F.transform(F.array_distinct(F.transform("columns", lambda c: c["iteration"])), lambda i: F.struct(
+        i.alias("iteration"),
+        F.transform(F.filter("columns", lambda c: c["iteration"] == i), lambda c: c["name"]).alias("new_columns"),
+        F.size(F.filter("columns", lambda c: c["iteration"] <= i)).alias("total_columns"),
+        F.array_distinct(F.transform(F.filter("columns", lambda c: c["iteration"] == i), lambda c: c["source_document"])).alias("documents_processed"),
+    ))
+    sources = F.map_from_entries(F.transform("columns", lambda c: F.struct(c["name"], c["source_document"])))
+    body = F.struct(F.col("schema").alias("id"), "columns", F.round("contribution_rate", 6).alias("contribution_rate"), F.struct(F.array_sort(steps).alias("snapshots"), sources.alias("column_sources")).alias("schema_evolution"))
+    write_files(own.select(F.concat(F.col("schema").cast("string"), F.lit(".json")).alias("name"), F.concat(F.to_json(body), F.lit("\n")).alias("text")), path)
+
+
+def write_report(metrics: DataFrame, path: str, title: str = "Evaluation Report") -> None:
+    """For each ``report`` of ``metrics`` (report, seq, metric, value) three files: its metrics as JSON, as CSV and as a Markdown table."""
+    shown = F.when(F.col("value") == F.floor("value"), F.col("value").cast("long").cast("string")).otherwise(F.format_string("%.3f", "value"))
+    rows = metrics.select(F.col("report").cast("string").alias("report"), "seq", "metric", "value", shown.alias("shown"))
+    pair = F.struct("seq", "metric", "value")
+    as_json = rows.groupBy("report").agg(F.transform(F.sort_array(F.collect_list(pair)), lambda x: F.struct(x["metric"].alias("key"), x["value"].alias("value"))).alias("m")).select(F.concat("report", F.lit(".json")).alias("name"), F.lit(0).alias("seq"), F.concat(F.to_json(F.struct("report", F.map_from_entries("m").alias("overall_metrics"))), F.lit("\n")).alias("text"))
+    as_csv = rows.select(F.concat("report", F.lit("_summary.csv")).alias("name"), "seq", F.concat(csv_cell(F.col("metric")), F.lit(","), F.col("value").cast("string"), F.lit("\n")).alias("text"))
+    as_table = rows.select(F.concat("report", F.lit("_report.md")).alias("name"), "seq", F.concat(F.lit("| "), "metric", F.lit(" | "), "shown", F.lit(" |\n")).alias("text"))
+    reports = rows.select("report").distinct()
+    heads = reports.select(F.concat("report", F.lit("_summary.csv")).alias("name"), F.lit(-1).alias("seq"), F.lit("metric,value\n").alias("text")).unionByName(
+        reports.select(F.concat("report", F.lit("_report.md")).alias("name"), F.lit(-1).alias("seq"), F.concat(F.lit(f"# {title}: "), "report", F.lit("\n\n| Metric | Value |\n|--------|-------|\n")).alias("text"))
+    )
+    every = [d.withColumn("seq", F.col("seq").cast("long")) for d in (as_json, as_csv, as_table, heads)]
+    write_files(every[0].unionByName(every[1]).unionByName(every[2]).unionByName(every[3]), path, ["seq"])
 
 
 def excerpts_text(excerpts: Column) -> Column:
