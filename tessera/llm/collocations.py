@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.textcore import LOWER, STEP, mix
@@ -29,7 +29,7 @@ UNKNOWN = "und"
 SLICE_BYTES, WAITING, ROWS = 3 << 20, 1_500_000, 600_000
 FINGERPRINT_BITS, FILTER_BITS, MOST_BUCKET_BITS = 48, 28, 20
 #: Copies of a single word's count, and of a longer part's, that a join deals the phrases of a common part over.
-WORD_SALTS, PART_SALTS, TOP_SALTS = 8, 2, 64
+WORD_SALTS, PART_SALTS, TOP_SALTS = 8, 2, 8
 #: A-Z folded; bytes that end a piece (a line break here), and the tab as a space.
 _FOLD = LOWER.copy()
 _FOLD[[ord(c) for c in ".,;:!?"]] = _FOLD[10:14] = 10
@@ -161,10 +161,14 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(key), count.astype(np.int64)
 
 
+def bucket_bits(spark: SparkSession) -> int:
+    """Buckets are ranges of the hash, a power of two of them, and whole bytes of the bitmap."""
+    return min(MOST_BUCKET_BITS, (8 * parts(spark) - 1).bit_length())
+
+
 def survivors(docs: DataFrame, longest: int, threshold: int) -> np.ndarray:
     """The bitmap of fingerprints among which all n-grams of ``threshold`` occurrences are."""
-    n = parts(docs.sparkSession)
-    bits = min(MOST_BUCKET_BITS, (8 * n - 1).bit_length())  # buckets are ranges of the fingerprint and whole bytes of the bitmap
+    n, bits = parts(docs.sparkSession), bucket_bits(docs.sparkSession)
     shift, cells = np.uint64(FINGERPRINT_BITS - bits), FINGERPRINT_BITS - FILTER_BITS
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,10 +225,35 @@ def survivors(docs: DataFrame, longest: int, threshold: int) -> np.ndarray:
     return bitmap
 
 
+COUNTED = pa.schema([("hash", pa.uint64()), ("lang", pa.string()), ("k", pa.int32()), ("phrase", pa.string()), ("a", pa.int64())])
+
+
+def totals(tables: list[pa.Table]) -> pa.Table:
+    """Equal phrases of a language as one row."""
+    return pa.concat_tables(tables).group_by(["hash", "lang", "k", "phrase"]).aggregate([("a", "sum")]).rename_columns(["hash", "lang", "k", "phrase", "a"])
+
+
 def frequent_phrases(docs: DataFrame, longest: int, threshold: int) -> DataFrame:
-    """lang, k (words), phrase, a: exact counts of all n-grams of ``threshold`` occurrences or more; k = 0 has the words in all of a language."""
-    sent = docs.sparkSession.sparkContext.broadcast(zstandard.ZstdCompressor(3).compress(survivors(docs, longest, threshold).tobytes()))
-    kinds = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("phrase", pa.string()), ("a", pa.int64())])
+    """lang, k (words), phrase, a: exact counts of all n-grams of ``threshold`` occurrences or more; k = 0 has the words in all of a language.
+
+    A task's counts of the survivors travel as one compressed table for each bucket; a bucket adds them up by the words
+    themselves.
+    """
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(zstandard.ZstdCompressor(3).compress(survivors(docs, longest, threshold).tobytes()))
+    n, bits = parts(spark), bucket_bits(spark)
+    def packed(table: pa.Table) -> pa.RecordBatch:
+        hashed = table.column("hash").to_numpy()
+        order = np.argsort(hashed)
+        bucket = (hashed[order] >> np.uint64(64 - bits)).astype(np.int64)
+        cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        table, blobs = table.take(pa.array(order)).combine_chunks(), []
+        for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(order)]):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, COUNTED, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(table.slice(i, j - i))
+            blobs.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cut], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "data"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.frombuffer(zstandard.ZstdDecompressor().decompress(sent.value), np.uint8)
@@ -233,33 +262,51 @@ def frequent_phrases(docs: DataFrame, longest: int, threshold: int) -> DataFrame
             cell = (hashed >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
             return (bitmap[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
 
-        def merged(tables: list[pa.Table]) -> pa.Table:
-            t = pa.concat_tables(tables).group_by(["lang", "k", "phrase"]).aggregate([("a", "sum")])
-            return pa.table([t.column("lang"), t.column("k"), t.column("phrase"), t.column("a_sum")], schema=kinds)
-
-        held, rows = [], 0
+        held, rows, settled = [], 0, 0
         for langs, texts in _portions(batches):
             names, total, known, found = grams(langs, texts, longest, keep)
             words, names = pa.array(known.tolist(), pa.binary()).cast(pa.string()), pa.array(names.tolist(), pa.string())
-            held.append(pa.table([names, pa.array([0] * len(names), pa.int32()), pa.array([""] * len(names)), pa.array(total, pa.int64())], schema=kinds))
+            own = np.array([xxhash.xxh3_64_intdigest(x.encode(), 2) for x in names.to_pylist()], np.uint64)
+            held.append(pa.table([pa.array(own), names, pa.array([0] * len(names), pa.int32()), pa.array([""] * len(names)), pa.array(total, pa.int64())], schema=COUNTED))
             lang, phrase = None, None
             for k, g in enumerate(found, 1):
                 lang = names.take(pa.array(g.prefix)) if k == 1 else lang.take(pa.array(g.prefix))
-                own = words.take(pa.array(g.word))
-                phrase = own if k == 1 else pc.binary_join_element_wise(phrase.take(pa.array(g.prefix)), own, " ")
-                held.append(pa.table([lang, pa.array(np.full(len(own), k, np.int32)), phrase, pa.array(g.count, pa.int64())], schema=kinds))
-                rows += len(own)
-            if rows > ROWS:
-                held = [merged(held)]
-                rows = held[0].num_rows
-                if rows > ROWS // 2:
-                    yield from held[0].to_batches(100_000)
-                    held, rows = [], 0
+                last = words.take(pa.array(g.word))
+                phrase = last if k == 1 else pc.binary_join_element_wise(phrase.take(pa.array(g.prefix)), last, " ")
+                held.append(pa.table([pa.array(g.hash), lang, pa.array(np.full(len(last), k, np.int32)), phrase, pa.array(g.count, pa.int64())], schema=COUNTED))
+                rows += len(last)
+            if rows > settled + ROWS:
+                held = [totals(held)]
+                rows = settled = held[0].num_rows
+                if rows > ROWS:
+                    yield packed(held[0])
+                    held, rows, settled = [], 0, 0
+        if held:
+            yield packed(totals(held))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close() -> Iterator[pa.RecordBatch]:
+            own = totals(held)
+            own = own.filter(pc.or_(pc.greater_equal(own.column("a"), threshold), pc.equal(own.column("k"), 0)))
+            yield from own.select(["lang", "k", "phrase", "a"]).to_batches(50_000)
+
+        now, held, rows = None, [], 0
+        for b in batches:
+            for bucket, blob in zip(b.column("bucket").to_pylist(), b.column("data")):
+                if bucket != now:
+                    if held:
+                        yield from close()
+                    now, held, rows = bucket, [], 0
+                held.append(pa.ipc.open_stream(blob.as_buffer()).read_all())
+                rows += held[-1].num_rows
+                if rows > 2 * held[0].num_rows + ROWS:
+                    held = [totals(held)]
+                    rows = held[0].num_rows
         if held:
-            yield from merged(held).to_batches(100_000)
+            yield from close()
 
-    counted = docs.select("lang", "text").mapInArrow(count, "lang string, k int, phrase string, a long")
-    return counted.groupBy("lang", "k", "phrase").agg(F.sum("a").alias("a")).where((F.col("a") >= threshold) | (F.col("k") == 0))
+    blobs = docs.select("lang", "text").mapInArrow(count, "bucket int, data binary")
+    return blobs.repartitionById(n, F.col("bucket") % n).sortWithinPartitions("bucket").mapInArrow(add, "lang string, k int, phrase string, a long")
 
 
 def score(a: Column, left: Column, right: Column) -> Column:
