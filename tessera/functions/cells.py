@@ -124,14 +124,6 @@ def nested(row: Column) -> Column:
     return F.map_filter(row, lambda k, v: ~k.startswith("_"))
 
 
-def parse_excerpts(text: Column) -> Column:
-    """Excerpts (source, text) of a text: "[source] text" joined by bars, a JSON list of texts, or one plain text."""
-    listed = F.from_json(F.when(text.startswith("["), text), "array<string>")
-    usable = listed.isNotNull() & (F.size(F.filter(listed, lambda x: x.isNotNull())) > 0)
-    of = lambda x: F.struct(F.nullif(F.regexp_extract(x, r"^\[([^\]]*)\]\s", 1), F.lit("")).alias("source"), F.regexp_replace(x, r"^\[[^\]]*\]\s", "").alias("text"))
-    return F.when(usable, F.transform(listed, lambda x: F.struct(F.lit(None).cast("string").alias("source"), x.alias("text")))).otherwise(F.transform(F.split(text, r" \| "), of))
-
-
 def attach_source(excerpts: Column, source: Column) -> Column:
     return F.transform(excerpts, lambda x: F.struct(x.alias("text"), source.alias("source")))
 

@@ -4,6 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.functions.cells import bound
+from tessera.functions.literals import python_json, whole_json
 
 #: Keys under which a cell keeps its answer and its evidence, in the order they are looked for.
 ANSWER_KEYS = ["answer", "value", "response", "result", "text", "content"]
@@ -80,12 +81,9 @@ def _json(text: Column, key: str) -> Column:
 
 
 def jsonified(text: Column) -> Column:
-    """A cell's text as JSON: Python's spelling of a dictionary or list too, unless its texts hold quotes; null where it is neither."""
-    python = F.replace(text, F.lit("'"), F.lit('"'))
-    for word, by in (("None", "null"), ("True", "true"), ("False", "false")):
-        python = F.regexp_replace(python, rf"\b{word}\b", by)
-    usable = F.filter(F.array(text, python), lambda t: F.trim(t).rlike(r"^[\[{]") & F.try_parse_json(t).isNotNull())
-    return F.get(usable, F.lit(0))
+    """A cell's text as JSON: Python's spelling of a dictionary or list too; null where it is neither."""
+    usable = F.when(F.trim(text).rlike(r"^[\[{]"), F.coalesce(whole_json(text), python_json(text)))
+    return bound(usable, lambda t: F.when(F.trim(t).rlike(r"^[\[{]"), t))
 
 
 def _opened(cell: Column) -> Column:

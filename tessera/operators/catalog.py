@@ -236,17 +236,30 @@ def align_fields(predicted: DataFrame, gold: DataFrame, table: str, least: float
     return both.select(table, F.explode(F.aggregate("_p", start, step)["out"]).alias("_")).select(table, "_.*")
 
 
-#: What a definition says of a column's kind; the first kind that applies.
-STRATEGIES = [("identifier", "id|identifier|accession|registration|code"), ("numeric", "number|count|percent|rate|score|accuracy|size|cost"), ("categorical", "type|category|class|phase|status"), ("text", "")]
+#: Terms within definition and rationale, by type of extraction, with its least confidence; the first that applies.
+STRATEGIES = {
+    "identifier": (["unique", "identifier", "name", "id"], 0.8),
+    "numeric": (["numeric", "number", "count", "score", "value"], 0.75),
+    "categorical": (["categorical", "classification", "type", "category"], 0.65),
+    "text": (["detailed", "description", "content", "text"], 0.6),
+}
+#: Words of a definition that are no keywords.
+NO_KEYWORDS = ["the", "and", "for", "with", "this", "that", "from", "about"]
 
 
-def strategy(definition):
-    """How a column is best extracted, by words within its definition."""
-    low = F.lower(definition)
-    out = F.lit("text")
-    for kind, words in reversed(STRATEGIES[:-1]):
-        out = F.when(low.rlike(words), kind).otherwise(out)
-    return out
+def strategy(name: Column, definition: Column, rationale: Column) -> Column:
+    """extraction_type, confidence_threshold, fallback_strategy and search_keywords (sorted) of a column, by terms anywhere in its definition and rationale.
+
+    Keywords are the column's name and the words of three letters or more of its definition. Nulls count as empty.
+    """
+    said = F.coalesce(definition, F.lit(""))
+    low = F.lower(F.concat(said, F.lit(" "), F.coalesce(rationale, F.lit(""))))
+    kind, least = F.lit("general"), F.lit(0.7)
+    for k, (terms, bound_) in reversed(STRATEGIES.items()):
+        kind, least = F.when(holds_any(low, terms), k).otherwise(kind), F.when(holds_any(low, terms), bound_).otherwise(least)
+    words = F.filter(F.regexp_extract_all(F.lower(said), F.lit(r"(?U)(\w{3,})"), 1), lambda w: ~w.isin(NO_KEYWORDS))
+    keywords = F.array_sort(F.array_distinct(F.concat(F.array(F.lower(name)), words)))
+    return F.struct(kind.alias("extraction_type"), least.alias("confidence_threshold"), F.when(kind == "text", "expanded_retrieval").otherwise("heuristic").alias("fallback_strategy"), keywords.alias("search_keywords"))
 
 
 def recommendations(one: DataFrame) -> DataFrame:

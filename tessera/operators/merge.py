@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.scratch import new_path
+
 
 def last_of(patch: DataFrame, key: str, order: str) -> DataFrame:
     """The last row of each key: a later duplicate wins."""
@@ -10,31 +12,41 @@ def last_of(patch: DataFrame, key: str, order: str) -> DataFrame:
     return patch.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def paper_stem(paper: Column) -> Column:
+    """The part of a paper's name before its first underscore, else its name without extension, in lower case."""
+    return F.lower(F.when(paper.contains("_"), F.split_part(paper, F.lit("_"), F.lit(1))).otherwise(F.regexp_replace(paper, r"\.[^.]*$", "")))
+
+
 def upsert(base: DataFrame, patch: DataFrame, key: str, columns: list[str], order: str, papers: str | None = None, overwrite_null: bool = False) -> DataFrame:
-    """``base`` with ``columns`` of the patch row of equal key, else of the first paper whose stem is a patch key.
+    """``base`` with ``columns`` of the patch row of equal key, else of the row's own first paper whose stem is a patch key in lower case.
 
-    Rows that neither reaches stay as they are. A null in the patch keeps the old value unless ``overwrite_null``.
+    Of patch rows with one key the last counts; of keys equal but for case the one that came up last. Rows that neither
+    reaches stay as they are, rows of one key or none keep their own papers, repeated rows stay. A null in the patch
+    keeps the old value unless ``overwrite_null``; patch rows without a key or with an empty one are left out.
     """
-    new = last_of(patch, key, order).select(F.col(key).alias("_key"), *[F.col(c).alias(f"_new_{c}") for c in columns], F.lit(True).alias("_hit"))
-    hit = base.join(new, base[key] == new["_key"], "left")
+    spark = base.sparkSession
+    named = patch.where(F.coalesce(F.col(key).cast("string"), F.lit("")) != "")
+    values = lambda kept: F.struct(*[F.col(c).alias(f"_new_{c}") for c in columns]).alias(kept)
+    new = named.groupBy(F.col(key).alias("_key")).agg(F.max_by(values("_"), order).alias("_exact"), F.min(order).alias("_first"))
+    hit = base
+    if papers:
+        base.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path := new_path(spark, "rows"))  # rows keep their numbers
+        hit = spark.read.parquet(path)
+    hit = hit.join(new.select("_key", "_exact"), hit[key] == F.col("_key"), "left")
+    value, reached = F.col("_exact"), F.col("_exact").isNotNull()
     if papers:
-        stems = base.select(key, F.posexplode(papers).alias("_pos", "_paper")).select(key, "_pos", F.explode(F.array_distinct(F.array(F.lower(F.split_part("_paper", F.lit("_"), F.lit(1))), F.lower(F.regexp_replace("_paper", r"\.[^.]*$", ""))))).alias("_stem"))
-        low = new.withColumnRenamed("_key", "_low").withColumn("_low", F.lower("_low"))
-        values = F.struct(*[f"_new_{c}" for c in columns])
-        second = stems.join(low, stems["_stem"] == low["_low"]).groupBy(key).agg(F.min_by(values, "_pos").alias("_second"))
-        hit = hit.join(second, key, "left")
-        pick = lambda c: F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(f"_second._new_{c}"))
-        reached = F.col("_hit").isNotNull() | F.col("_second").isNotNull()
-    else:
-        pick = lambda c: F.col(f"_new_{c}")
-        reached = F.col("_hit").isNotNull()
+        low = new.groupBy(F.lower("_key").alias("_stem")).agg(F.max_by("_exact", "_first").alias("_near"))
+        stems = hit.where("_exact IS NULL").select("_row", F.posexplode(papers).alias("_pos", "_paper")).select("_row", "_pos", paper_stem(F.col("_paper")).alias("_stem"))
+        second = stems.join(low, "_stem").groupBy("_row").agg(F.min_by("_near", "_pos").alias("_near"))
+        hit = hit.join(second, "_row", "left")
+        value, reached = F.coalesce("_exact", "_near"), reached | F.col("_near").isNotNull()
     out = []
     for c in base.columns:
         if c in columns:
-            value = pick(c) if overwrite_null else F.coalesce(pick(c), F.col(c))
-            out.append(F.when(reached, value).otherwise(F.col(c)).alias(c))
+            got = value[f"_new_{c}"]
+            out.append(F.when(reached, got if overwrite_null else F.coalesce(got, hit[c])).otherwise(hit[c]).alias(c))
         else:
-            out.append(base[c])
+            out.append(hit[c])
     return hit.select(*out)
 
 

@@ -26,11 +26,16 @@ def _(customer):
     return out.select("c_custkey", "c_name", F.round("c_acctbal", 6).alias("c_acctbal"))
 
 
-@query("jon_01_upsert_by_paper", "documents", "SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN 'by paper' ELSE lang END AS lang FROM documents")
+@query("jon_01_upsert_by_paper", "documents", "SELECT doc_id, CASE WHEN doc_id % 4 = 1 AND doc_id % 3 <> 2 THEN 'paper ' || doc_id WHEN doc_id % 3 = 2 AND doc_id % 4 = 0 THEN 'exact ' || doc_id ELSE lang END AS lang FROM documents")
 def _(documents):
-    base = documents.select("doc_id", F.concat(F.lit("row"), F.col("doc_id").cast("string")).alias("name"), "lang", F.array(F.concat(F.lit("none_"), F.col("doc_id").cast("string")), F.concat(F.lit("Doc"), F.col("doc_id").cast("string"), F.lit("_v1.txt"))).alias("papers"))
-    patch = documents.where("doc_id % 4 = 1").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"), F.lit("by paper").alias("lang"), F.col("doc_id").alias("seq"))
-    return merge.upsert(base, patch, "name", ["lang"], "seq", papers="papers").select("doc_id", "lang")
+    """Rows of one name, of none and of their own, each with two papers of its own; patches by stem and by name."""
+    n, text = F.col("doc_id"), F.col("doc_id").cast("string")
+    name = F.when(n % 3 == 0, "row").when(n % 3 == 2, F.concat(F.lit("Own"), text))
+    papers = F.array(F.concat(F.lit("none_"), text), F.when(n % 2 == 0, F.concat(F.lit("p."), text, F.lit(".txt"))).otherwise(F.concat(F.lit("Doc"), text, F.lit("_v1.txt"))))
+    base = documents.select("doc_id", name.alias("name"), "lang", papers.alias("papers"))
+    by_paper = documents.where("doc_id % 4 = 1 AND doc_id % 3 <> 2").select(F.concat(F.lit("doc"), text).alias("name"), F.concat(F.lit("paper "), text).alias("lang"), n.alias("seq"))
+    by_name = documents.where("doc_id % 3 = 2 AND doc_id % 4 = 0").select(F.concat(F.lit("Own"), text).alias("name"), F.concat(F.lit("exact "), text).alias("lang"), n.alias("seq"))
+    return merge.upsert(base, by_paper.unionByName(by_name), "name", ["lang"], "seq", papers="papers").select("doc_id", "lang")
 
 
 @query("jon_02_append_new", "customer", "SELECT c_name, c_custkey FROM customer WHERE c_custkey % 6 <> 0 UNION ALL SELECT c_name, NULL FROM customer WHERE c_custkey % 6 = 0")

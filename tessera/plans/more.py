@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.functions import cells, documents as docs_, similarity
+from tessera.functions import cells, documents as docs_, literals, similarity
 from tessera.operators import catalog, cost, evaluate, extract, merge, profile, retrieve
 from tessera.plans.registry import query
 from tessera.sources import readers, writers
@@ -38,10 +38,23 @@ def _(orders):
     return orders.select("o_orderkey", F.map_keys(cells.nested(flat)).alias("names"))
 
 
-@query("prj_06_excerpts", "supplier", "SELECT s_suppkey, 'a' AS source, s_name AS text, 2 AS n FROM supplier")
+@query("prj_06_excerpts", "supplier", """SELECT s_suppkey, list_transform(x, lambda e: e.text) AS texts, list_transform(x, lambda e: e.source) AS sources FROM (SELECT s_suppkey, CASE s_suppkey % 6
+  WHEN 0 THEN [{'text': 'it''s ' || s_name, 'source': 'd "1"'}, {'text': s_name || chr(10) || 'b', 'source': 'file'}] WHEN 1 THEN [{'text': s_name, 'source': 'a'}, {'text': 'plain', 'source': 'file'}]
+  WHEN 2 THEN [{'text': s_name, 'source': 'x'}, {'text': 'b "q"', 'source': 'file'}] WHEN 3 THEN [{'text': s_name || ' said so', 'source': 'file'}]
+  WHEN 4 THEN [{'text': 'don''t ' || s_name, 'source': 's'}, {'text': '[odd', 'source': 'file'}] ELSE []::STRUCT("text" VARCHAR, source VARCHAR)[] END AS x FROM supplier)""")
 def _(supplier):
-    got = cells.parse_excerpts(F.concat(F.lit("[a] "), "s_name", F.lit(" | plain")))
-    return supplier.select("s_suppkey", got[0]["source"].alias("source"), got[0]["text"].alias("text"), F.size(got).alias("n"))
+    """Dictionaries in Python's spelling, bracketed sources, a JSON list, plain text, broken quotes, and nothing."""
+    name = F.col("s_name")
+    cell = F.element_at(F.array(
+        F.concat(F.lit("{'text': \"it's "), name, F.lit("\", 'source': 'd \"1\"'} | '"), name, F.lit("\\nb'")),
+        F.concat(F.lit("[a] "), name, F.lit(" | plain")),
+        F.concat(F.lit('[{"text": "'), name, F.lit('", "source": "x"}, "b \\"q\\"", 7]')),
+        F.concat(name, F.lit(" said so")),
+        F.concat(F.lit("{'text': 'don't "), name, F.lit("', 'source': 's'} | [odd")),
+        F.lit(""),
+    ), (F.col("s_suppkey") % 6 + 1).cast("int"))
+    found = supplier.select("s_suppkey", literals.excerpt_items(cell, F.lit("file")).alias("x"))
+    return found.select("s_suppkey", F.col("x.text").alias("texts"), F.col("x.source").alias("sources"))
 
 
 @query("prj_17_attach_source", "supplier", "SELECT s_suppkey, s_name AS text, 'doc' AS source FROM supplier")
@@ -209,9 +222,16 @@ def _(nation, region):
     return nation.join(region, F.expr("n_nationkey = r_regionkey")).select("n_nationkey", F.col("r_name").alias("paper"))
 
 
-@query("sup_03_strategy", "part", "SELECT p_partkey, CASE WHEN regexp_matches(lower(p_type), 'id|identifier|accession|registration|code') THEN 'identifier' WHEN regexp_matches(lower(p_type), 'number|count|percent|rate|score|accuracy|size|cost') THEN 'numeric' WHEN regexp_matches(lower(p_type), 'type|category|class|phase|status') THEN 'categorical' ELSE 'text' END AS strategy FROM part")
+@query("sup_03_strategy", "part", r"""WITH t AS (SELECT p_partkey, 'Kind' || p_size AS name, CASE p_partkey % 6 WHEN 0 THEN 'a count of ' || p_name WHEN 1 THEN 'the TYPE, and ' || p_type WHEN 2 THEN 'about the evidence for ' || p_name WHEN 3 THEN 'detailed ' || p_name WHEN 4 THEN '' ELSE p_name END AS d, CASE WHEN p_partkey % 4 = 0 THEN 'a score' ELSE '' END AS r FROM part)
+SELECT p_partkey, CASE WHEN regexp_matches(x, 'unique|identifier|name|id') THEN 'identifier' WHEN regexp_matches(x, 'numeric|number|count|score|value') THEN 'numeric' WHEN regexp_matches(x, 'categorical|classification|type|category') THEN 'categorical' WHEN regexp_matches(x, 'detailed|description|content|text') THEN 'text' ELSE 'general' END AS extraction_type,
+  CASE WHEN regexp_matches(x, 'unique|identifier|name|id') THEN 0.8 WHEN regexp_matches(x, 'numeric|number|count|score|value') THEN 0.75 WHEN regexp_matches(x, 'categorical|classification|type|category') THEN 0.65 WHEN regexp_matches(x, 'detailed|description|content|text') THEN 0.6 ELSE 0.7 END::DOUBLE AS confidence_threshold,
+  CASE WHEN regexp_matches(x, 'unique|identifier|name|id|numeric|number|count|score|value|categorical|classification|type|category') OR NOT regexp_matches(x, 'detailed|description|content|text') THEN 'heuristic' ELSE 'expanded_retrieval' END AS fallback_strategy,
+  list_sort(list_distinct(list_concat([lower(name)], list_filter(regexp_extract_all(lower(d), '\w{3,}'), lambda w: w NOT IN ('the', 'and', 'for', 'with', 'this', 'that', 'from', 'about'))))) AS search_keywords FROM (SELECT *, lower(d || ' ' || r) AS x FROM t)""")
 def _(part):
-    return part.select("p_partkey", catalog.strategy(F.col("p_type")).alias("strategy"))
+    n = F.col("p_partkey")
+    said = F.element_at(F.array(F.concat(F.lit("a count of "), "p_name"), F.concat(F.lit("the TYPE, and "), "p_type"), F.concat(F.lit("about the evidence for "), "p_name"), F.concat(F.lit("detailed "), "p_name"), F.lit(""), F.col("p_name")), (n % 6 + 1).cast("int"))
+    got = catalog.strategy(F.concat(F.lit("Kind"), F.col("p_size").cast("string")), said, F.when(n % 4 == 0, "a score").otherwise(""))
+    return part.select("p_partkey", got.alias("s")).select("p_partkey", "s.*")
 
 
 @query("sup_07_example_rows", "documents", "SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id::VARCHAR), doc_id) AS n FROM documents) WHERE n <= 2")
