@@ -12,7 +12,10 @@ LEAST_COSINE = 0.05
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a known language: those without a letter, or like no language, go. Learns from rows with ``lang``."""
+    """Documents of a known language: those without a letter (null and empty texts too), or like no language, go. Learns from rows with ``lang``.
+
+    Repeated rows go or stay together; rows without doc_id are judged as others; an empty table gives an empty one.
+    """
     found = langid.predict(docs, langid.fit(docs))
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_COSINE)).select(docs.columns)
 
@@ -24,7 +27,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of 50 words or more that an earlier document has; a text of nothing else goes."""
+    """Texts without the passages of 50 words or more that an earlier document has; a text of nothing else goes.
+
+    Null and empty texts stay as they are; rows that share a doc_id count as one document; an empty table gives an empty one.
+    """
     found = windows.passage_dedup(docs)
     left = found.where((F.size("spans") == 0) | F.col("deduped").rlike(r"[^\x20\x09-\x0D]"))
     text = F.when(F.size("spans") == 0, F.col("text")).otherwise(F.col("deduped"))
@@ -33,13 +39,17 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    held = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(held, "doc_id", "left_anti").select(docs.columns)
+    """Documents that hold no benchmark item, judged row by row: of rows that share a doc_id, or have none, those with an item in their own text go.
+
+    Null and empty texts, and those of fewer than five words, hold nothing and stay; repeated rows stay or go together; an empty table gives one.
+    """
+    own = F.xxhash64("doc_id", "text")
+    held = decontam.contamination(docs.select(own.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("_own")).distinct()
+    return docs.withColumn("_own", own).join(held, "_own", "left_anti").select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and the digests of ids and decoded bytes."""
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and the digests of ids and decoded bytes, a row for each row; null texts have no ids."""
     return bpe.round_trip(docs, vocabulary("byte_bpe_multi_50k.tiktoken"), pattern(), keep_ids=True)
 
 
