@@ -18,6 +18,8 @@ from tessera.llm.textcore import run_hashes, slices, word_spans
 FIT_DOCUMENTS = 4000
 #: Characters of these documents, about, and of the longest one that is drawn: documents are drawn whole or not at all.
 FIT_CHARS, LONGEST = 24_000_000, 1_000_000
+#: Lines of these documents, about, and of the one of most lines that is drawn: a line's features are some 50 numbers on the driver.
+FIT_LINES, MOST_LINES = 300_000, 50_000
 STEPS, RATE, DECAY = 300, 0.05, 1e-3
 #: Marks whose share of a line is a feature each.
 MARKS = b"|#$%&*!?.,;:<>{}[]()=_-/\\@+~^\"'`"
@@ -148,18 +150,21 @@ def train(x: np.ndarray, first: np.ndarray, good: np.ndarray) -> Field:
     return Field(mean, scale, theta[:-4], theta[-4:].reshape(2, 2))
 
 
-def fit(docs: DataFrame, labels: DataFrame, at_most: int = FIT_DOCUMENTS, chars: int = FIT_CHARS) -> Field | None:
+def fit(docs: DataFrame, labels: DataFrame, at_most: int = FIT_DOCUMENTS, chars: int = FIT_CHARS, lines_at_most: int = FIT_LINES) -> Field | None:
     """Field learnt from ``docs`` (doc_id, text) whose ``quality`` in ``labels`` is 0 or 1; None without any.
 
-    The features of about ``at_most`` documents and ``chars`` characters, evenly thinned, come to the driver. Where a
-    doc_id has several labels, the highest counts. Documents of over LONGEST characters are not learnt from.
+    The features of about ``at_most`` documents, ``chars`` characters and ``lines_at_most`` lines, evenly thinned, come
+    to the driver. Where a doc_id has several labels, the highest counts. Documents of over LONGEST characters or
+    MOST_LINES lines are not learnt from.
     """
+    breaks = F.regexp_count("text", F.lit("\n")) + 1
     known = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    docs = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= LONGEST)
+    docs = docs.where((F.coalesce(F.length("text"), F.lit(0)) <= LONGEST) & (F.coalesce(breaks, F.lit(1)) <= MOST_LINES))
     n = known.count()
     drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < int(min(1.0, at_most / max(1, n)) * (1 << 20)))
-    size = docs.join(F.broadcast(drawn), "doc_id").agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] if n else 0
-    share = min(1.0, at_most / max(1, n)) * min(1.0, chars / max(1, size))
+    sizes = [F.coalesce(F.sum(c), F.lit(0)) for c in (F.length("text"), F.coalesce(breaks, F.lit(1)))]
+    size, count = docs.join(F.broadcast(drawn), "doc_id").agg(*sizes).first() if n else (0, 0)
+    share = min(1.0, at_most / max(1, n)) * min(1.0, chars / max(1, size), lines_at_most / max(1, count))
     if share < 1:
         known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20)))
 

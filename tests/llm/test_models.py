@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -87,6 +88,18 @@ def test_chain_marginals():
     assert np.allclose(p, np.concatenate(want)) and np.allclose(pairs, count)
 
 
+def test_quality_of_many_lines(spark, make):
+    """Lines bound what is learnt from as documents and characters do, and a document of very many is left out."""
+    rng = random.Random(1)
+    good = lambda: "\n".join("the words of a line that says something" + str(rng.random()) for _ in range(40))
+    rows = [(i, good() if i % 2 else "\n" * 40 + "| x |" * 5) for i in range(80)] + [(2000, "\n" * (crf.MOST_LINES + 1))]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(80)] + [(2000, 1, 0)], "doc_id long, quality int, toxic int")
+    for most in (800, 10**6):
+        field = crf.fit(make(rows), labels, lines_at_most=most)
+        got = {r.doc_id: r.score for r in crf.score(make(rows), field).collect()}
+        assert field is not None and sum((got[i] >= 0.5) == (i % 2 == 1) for i in range(80)) > 70 and 0 <= got[2000] <= 1
+
+
 def test_quality(spark, make, odd):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     out = crf.quality(docs, labels).join(labels, "doc_id").where("held_out and quality is not null").collect()

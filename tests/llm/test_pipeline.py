@@ -49,6 +49,15 @@ def test_stages(spark, folder):
     assert tokens.count() == docs.count() and "ids" in tokens.columns
 
 
+def test_decontamination_by_row(spark, folder, make):
+    """Rows without doc_id, and rows that share one, are judged by their own text."""
+    path, docs = folder
+    item = spark.read.parquet(f"{path}/benchmark.parquet").where("item_id = 1").first().text
+    mixed = make([(None, "a " + item), (None, "clean words of no item at all"), (7, item + " b"), (7, "clean too, this one of them"), (7, None), (8, "")])
+    got = sorted(((r.doc_id, r.text) for r in pipeline.decontamination(spark, mixed, path).collect()), key=repr)
+    assert got == sorted([(None, "clean words of no item at all"), (7, "clean too, this one of them"), (7, None), (8, "")], key=repr)
+
+
 def test_run_keeps_clean_documents_and_bounds(spark, folder):
     path, docs = folder
     out = pipeline.run(spark, path)
