@@ -160,12 +160,6 @@ def _stream(events):
     return progress.events(spark, path, "event_id long, ts timestamp, user_id long, event_type string")
 
 
-@query("str_03_completed", "events", "SELECT count(DISTINCT user_id) AS documents FROM events")
-def _(events):
-    done = _stream(events).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    return progress.run_once(done).agg(F.count(F.lit(1)).alias("documents"))
-
-
 @query("str_tumbling", "events", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def _(events):
     out = progress.run_once(progress.tumbling(_stream(events), "ts", "event_type", "1 hour", "60 days"))

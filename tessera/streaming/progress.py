@@ -2,15 +2,16 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.sources.scratch import new_path
 
 
-def events(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Files of a folder as they come."""
-    return spark.readStream.schema(schema).parquet(path)
+def events(spark: SparkSession, path: str, schema, files: int | None = None) -> DataFrame:
+    """Files of a folder as they come, all that are there or ``files`` of them in a batch."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
 
 
 def completed(stream: DataFrame, document: str, at: str, late: str = "1 day") -> DataFrame:
@@ -18,6 +19,51 @@ def completed(stream: DataFrame, document: str, at: str, late: str = "1 day") ->
     return stream.withWatermark(at, late).dropDuplicatesWithinWatermark([document])
 
 
+def _to_the_end(df: DataFrame, put: Callable[[DataFrame, int], None], state: str) -> None:
+    df.writeStream.foreachBatch(put).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+
+
+def _batch(out: str, number: int) -> str:
+    return f"{out}/batch={number:09d}"
+
+
+def read_batches(spark: SparkSession, out: str) -> DataFrame:
+    """What batches left in ``out``, with their numbers."""
+    return spark.read.option("basePath", out).parquet(f"{out}/batch=*")
+
+
+def deltas(stream: DataFrame, document: str, out: str, state: str) -> None:
+    """The documents newly completed in each batch, in a folder of the batch: each document once, when its first row comes.
+
+    State keeps the names of completed documents. A batch that runs again after a failure replaces its folder; a later
+    run goes on from ``state``. Rows without a document complete none.
+    """
+    once = stream.where(F.col(document).isNotNull()).dropDuplicates([document])
+    _to_the_end(once, lambda rows, n: rows.select(document).write.mode("overwrite").parquet(_batch(out, n)), state)
+
+
+def counts(batches: DataFrame) -> DataFrame:
+    """batch, newly, completed of deltas: a row for each batch that completed any, so few rows."""
+    each = batches.groupBy("batch").agg(F.count(F.lit(1)).alias("newly"))
+    return each.withColumn("completed", F.sum("newly").over(Window.orderBy("batch")))
+
+
+def snapshots(stream: DataFrame, key: list[str], out: str, state: str) -> None:
+    """All distinct ``key`` known after each batch, in a folder of the batch: what is known so far and what is new.
+
+    A batch takes the snapshot before it, so that a run that stops has a whole one; a batch that runs again replaces its own.
+    """
+    spark = stream.sparkSession
+
+    def put(rows: DataFrame, n: int) -> None:
+        found = rows.select(*key)
+        if n:
+            found = found.unionByName(spark.read.schema(found.schema).parquet(_batch(out, n - 1)))
+        found.distinct().write.mode("overwrite").parquet(_batch(out, n))
+
+    _to_the_end(stream, put, state)
+
+
 def tumbling(stream: DataFrame, at: str, key: str, width: str, late: str) -> DataFrame:
     return stream.withWatermark(at, late).groupBy(F.window(at, width), key).agg(F.count(F.lit(1)).alias("n"))
 
