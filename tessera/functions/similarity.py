@@ -2,6 +2,7 @@
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -55,8 +56,51 @@ def ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)])
 
 
-def ground(excerpt: str, source: str, low: str | None = None) -> tuple[str, int, int]:
-    """Where an excerpt stands in its source: exact, case_insensitive, fuzzy (windows of as many words, ratio 0.6 or more) or not_found."""
+def _in_windows(place: np.ndarray, n: int, width: int, ids: np.ndarray) -> np.ndarray:
+    """Distinct ``ids`` at ``place`` (ascending positions) within each window of ``width`` words: each counts where its last one before is outside."""
+    order = np.lexsort((place, ids))
+    same = np.append(False, ids[order][1:] == ids[order][:-1])
+    before = np.full(len(place), -1)
+    before[order[same]] = place[order[np.flatnonzero(same) - 1]]
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, np.maximum(before + 1, np.maximum(place - width + 1, 0)), 1)
+    np.add.at(edge, place + 1, -1)
+    return np.cumsum(edge)[: n - width + 1]
+
+
+def _candidates(want: list[str], have: list[str], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of as many words as ``want`` with a word likeness of ``least`` or more, and the most their ratio can be.
+
+    The ratio counts characters in matching blocks, so it is at most what the characters both have, whatever their order, allow.
+    """
+    n, width = len(have), len(want)
+    code: dict[str, int] = {}
+    ids = np.array([code.setdefault(w, len(code)) for w in have])
+    target = set(want)
+    mine = np.flatnonzero([w in target for w in have])
+    both = _in_windows(mine, n, width, ids[mine])
+    either = len(target) + _in_windows(np.arange(n), n, width, ids) - both
+    near = np.flatnonzero(both >= least * either)
+    if not len(near):
+        return near, np.zeros(0)
+    joined = " ".join(want)
+    letters = sorted(set(joined))
+    per_word = np.array([[w.count(c) for c in letters] for w in code])[ids]
+    upto = np.concatenate([np.zeros((1, len(letters)), np.int64), np.cumsum(per_word, 0)])
+    counts = upto[near + width] - upto[near]
+    counts[:, [c == " " for c in letters]] += width - 1
+    size = np.concatenate([[0], np.cumsum([len(w) for w in have])])
+    length = size[near + width] - size[near] + width - 1
+    common = np.minimum(counts, np.array([joined.count(c) for c in letters])).sum(1)
+    return near, 2.0 * common / (len(joined) + length)
+
+
+def ground(excerpt: str, source: str, low: str | None = None, least: float = 0.6) -> tuple[str, int, int]:
+    """Where an excerpt stands in its source: exact, case_insensitive, fuzzy (the first best window of as many words, ratio 0.6 or more) or not_found.
+
+    A fuzzy match begins where the window's words, joined by single spaces, stand in the source as they are; where they
+    don't, nothing is found. Windows are scored from the highest possible ratio down, until no other can be as good.
+    """
     if not excerpt or not source:
         return "not_found", -1, -1
     if (at := source.find(excerpt)) >= 0:
@@ -65,21 +109,27 @@ def ground(excerpt: str, source: str, low: str | None = None) -> tuple[str, int,
     want = excerpt.lower()
     if (at := low.find(want)) >= 0:
         return "case_insensitive", at, at + len(excerpt)
-    words, have = want.split(), low.split()
-    n = len(words)
-    if n < 3 or len(have) < n:
+    plain, words = source.split(), excerpt.split()
+    if len(words) < 3 or len(plain) < len(words):
         return "not_found", -1, -1
-    target, best, found = set(words), 0.6, None
-    joined = " ".join(words)
-    for i in range(len(have) - n + 1):
-        window = have[i : i + n]
-        inside = set(window)
-        if len(inside & target) < 0.3 * len(inside | target):
-            continue
-        if (r := SequenceMatcher(None, joined, " ".join(window)).ratio()) > best or r == best and found is None:
-            best, found = r, " ".join(window)
-    if found and (at := low.find(found)) >= 0:
-        return "fuzzy", at, at + len(found)
+    have = [w.lower() for w in plain]
+    matcher = SequenceMatcher(None)
+    # as the excerpt comes first, it is what changes least: the window is what the matcher analyses
+    near, most = _candidates(want.split(), have, 0.3) if len(want.split()) == len(words) else (np.arange(len(plain) - len(words) + 1), np.ones(len(plain) - len(words) + 1))
+    slack = len(want) - len(" ".join(want.split()))  # outer and repeated spaces of the excerpt, which the bound leaves out
+    best, place = 0.0, None
+    for k in np.lexsort((near, -most)).tolist():
+        i, top = int(near[k]), most[k] + 2.0 * slack / max(1, len(want))
+        if top < max(best, least) - 1e-9:
+            break
+        matcher.set_seqs(want, " ".join(have[i : i + len(words)]))
+        r = matcher.ratio()
+        if r > best or r == best and place is not None and i < place:
+            best, place = r, i
+    if place is not None and best >= least:
+        found = " ".join(plain[place : place + len(words)])
+        if (at := source.find(found)) >= 0:
+            return "fuzzy", at, at + len(found)
     return "not_found", -1, -1
 
 
