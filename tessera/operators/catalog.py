@@ -144,6 +144,19 @@ def suggestions(values: DataFrame, known: DataFrame, threshold: int | None = 2)
     return fresh.withColumn("action", F.when(F.col("documents") >= F.lit(threshold), "add").otherwise("pending") if threshold and threshold > 0 else F.lit("pending"))
 
 
+def pending(values: DataFrame, most: int = 10) -> DataFrame:
+    """column, value, documents, first: values (column, value, document) that wait, in how many documents they are, and the ``most`` first of these.
+
+    First ones are found within parts of a value's documents, so that a common value's are not gathered.
+    """
+    each = values.distinct()
+    part = F.pmod(F.xxhash64("document"), F.lit(16))
+    near = Window.partitionBy("column", "value", part).orderBy("document")
+    all_ = each.groupBy("column", "value").agg(F.count(F.lit(1)).alias("documents"))
+    few = each.withColumn("_n", F.row_number().over(near)).where(F.col("_n") <= most).groupBy("column", "value").agg(F.slice(F.sort_array(F.collect_list("document")), 1, most).alias("first"))
+    return all_.join(few, ["column", "value"])
+
+
 def _twins(name: str) -> list[str]:
     return [name, f"{name}_excerpt", f"{name}_excerpts"]
 

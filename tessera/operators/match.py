@@ -46,6 +46,7 @@ def holders(inner: DataFrame, outer: DataFrame, own: Column, all_: Column) -> Da
     ``own`` are grams that any holder of the inner text has, ``all_`` those of the outer text. Each inner text asks with
     its gram that fewest outer texts have; nothing is compared with all. Texts too short for a gram, and empty ones, go
     by blocks of a broadcast. Null texts hold nothing and are in nothing.
+    Repeated rows of ``inner`` count once, those of ``outer`` each.
     """
     asked = inner.where("text_in is not null").select("inner", "text_in", F.array_distinct(own).alias("_g"))
     grams = asked.where(F.size("_g") > 0).select("inner", "text_in", F.explode("_g").alias("_g"))

@@ -1,5 +1,6 @@
 """Merging tables of rows: upserts by name with a fallback on paper stems, folds of rows, merges of columns."""
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,9 +95,35 @@ def fold_excerpts(items: Column) -> Column:
 
 
 def fold_rows(df: DataFrame, key: str, order: str, answer: str) -> DataFrame:
-    """One row for each key, its answers folded in order. A key's answers are one array: use it for rows of one name."""
-    items = F.transform(F.array_sort(F.collect_list(F.struct(order, answer))), lambda x: x[answer])
-    return df.groupBy(key).agg(fold_answers(items).alias(answer))
+    """One row for each key, its answers folded in order (equal places by the answer), as ``fold_answers`` does.
+
+    The fold depends on the order, so a key's answers go through one task, but as a stream: sorted by Spark, which
+    spills, with no more in memory than the answer so far.
+    """
+    kinds = dict(df.dtypes)
+    rows = df.select(key, order, answer).repartition(key).sortWithinPartitions(key, order, answer)
+
+    def fold(batches):
+        now, held, begun, out = None, None, False, ([], [])
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if begun and k != now:
+                    out[0].append(now)
+                    out[1].append(held)
+                    held = None
+                if not begun or k != now:
+                    now, begun, held = k, True, None
+                if not held:
+                    held = x
+                elif x and x != held:
+                    held = x if len(x) > len(held) else f"{held}; {x}"
+            if len(out[0]) > 1000:
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], b.column(0).type), pa.array(out[1], pa.string())], [key, answer])
+                out = ([], [])
+        if begun:
+            yield pa.RecordBatch.from_arrays([pa.array([*out[0], now], b.column(0).type), pa.array([*out[1], held], pa.string())], [key, answer])
+
+    return rows.mapInArrow(fold, f"`{key}` {kinds[key]}, `{answer}` string")
 
 
 def merge_columns(columns: list[Column], strategy: str, separator: str = " ") -> Column:

@@ -12,6 +12,8 @@ from tessera.sources.scratch import new_path
 
 #: Confidence from best to worst.
 CONFIDENCE = ["high", "known", "medium", "low"]
+#: Parts in which the edges of a node meet its label.
+SALTS = 8
 #: Names that are no unit.
 SUSPICIOUS = ["answer", "excerpts", "confidence", "relevant_passages", "observation_units"]
 
@@ -104,9 +106,11 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root of undirected edges (a, b), root the smallest node within reach.
 
     Labels go to neighbours and jump to their roots' roots until nothing changes, written to the shared folder each
-    round; minima are taken before the shuffle, so a node of many neighbours is no hot key.
+    round. A node's edges meet its label in SALTS parts, and minima are taken before the shuffle, so a node of many
+    neighbours is dealt out; roots of many nodes meet their label by a join that Spark splits where it is skewed.
     """
     spark = edges.sparkSession
+    salt = F.pmod(F.xxhash64("a"), F.lit(SALTS)).alias("salt")
 
     def written(df: DataFrame) -> DataFrame:
         df.write.parquet(path := new_path(spark, "components"))
@@ -115,7 +119,8 @@ def components(edges: DataFrame) -> DataFrame:
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a is not null and b is not null").distinct())
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        copies = labels.select(F.col("node").alias("b"), "root", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")).alias("salt"))
+        near = both.select("a", "b", salt).join(copies, ["b", "salt"]).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         jump = labels.selectExpr("node AS root", "root AS far")
         nxt = written(labels.join(near, "node").join(jump, "root", "left").selectExpr("node", "least(root, near, coalesce(far, root)) AS root", "root AS was"))
         if nxt.where("root <> was").isEmpty():

@@ -142,16 +142,6 @@ def _(part):
     return values.withColumn("n", n).where("n <= 5").groupBy("column").agg(F.sort_array(F.collect_list("v")).alias("features"))
 
 
-@query("sim_24_order_invariance", "embeddings", "SELECT label, true AS same FROM embeddings GROUP BY label")
-def _(embeddings):
-    """Retrieval gives the same passages in whatever order they come."""
-    q = embeddings.where("vec_id = 0").select(F.col("embedding").alias("q"))
-    near = embeddings.join(F.broadcast(q), F.lit(True)).withColumn("similarity", F.try_divide(F.element_at("embedding", 1), F.lit(1.0)).cast("double"))
-    best = lambda rows: retrieve.top_k(rows, "label", "vec_id", 3).groupBy("label").agg(F.sort_array(F.collect_list("vec_id")).alias("best"))
-    a, b = best(near), best(near.orderBy(F.md5(F.col("vec_id").cast("string"))).repartition(7))
-    return a.join(b.withColumnRenamed("best", "other"), "label").select("label", (F.col("best") == F.col("other")).alias("same"))
-
-
 @query("udf_05_comparisons", "part", "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN true WHEN 1 THEN p_size % 4 = 0 WHEN 2 THEN true WHEN 3 THEN p_partkey % 2 = 0 ELSE false END AS match, CASE p_partkey % 5 WHEN 0 THEN 1.0 WHEN 1 THEN CASE WHEN p_size % 4 = 0 THEN 1.0 ELSE round(1 - 1.0 / (p_size + 1), 6) END WHEN 2 THEN 1.0 WHEN 3 THEN CASE WHEN p_partkey % 2 = 0 THEN 1.0 ELSE 0.5 END ELSE 0.0 END::DOUBLE AS similarity FROM (SELECT p_partkey, CASE WHEN p_size < 20 THEN 20 ELSE p_size END AS p_size FROM part)")
 def _(part):
     """Each truth is compared its own way: yes or no, numbers, sequences, words; nothing matches an empty one."""
