@@ -176,17 +176,18 @@ def first_similar(pairs: DataFrame) -> DataFrame:
     return pairs.join(seeds, ["document", "a"]).join(seeds.withColumnRenamed("a", "b"), ["document", "b"], "left_anti").groupBy("document", F.col("b").alias("seq")).agg(F.min("a").alias("seed"))
 
 
-def dedup_units(df: DataFrame, threshold: float = 0.85) -> DataFrame:
+def dedup_units(df: DataFrame, document: str = "document", name: str = "name", vector: str = "vector", confidence: str = "confidence", threshold: float = 0.85) -> DataFrame:
     """document, seq, name, confidence, members, passages: units that join the first earlier seed they resemble, as one.
 
-    ``df`` has document, seq (order, no two alike in a document), name, vector, confidence, passages (an array). Units resemble each other by cosine
+    ``df`` has the columns named, seq (order, no two alike in a document) and, maybe, passages (an array). Units resemble each other by cosine
     or where one name of three characters or more holds the other, whatever the case; a unit that joined another is no
     seed. The group takes the name and confidence of its best confidence, the earliest of equals; members and passages
     stand in that order, passages once by their first 200 characters. Other confidences than the four known count as medium; a unit without vector or name resembles
     none by it. An empty table gives none; other columns are ignored.
     """
     spark = df.sparkSession
-    own = df.select("document", "seq", "name", "vector", "confidence", "passages")
+    passages = F.col("passages") if "passages" in df.columns else F.array().cast("array<string>")
+    own = df.select(F.col(document).alias("document"), "seq", F.col(name).alias("name"), F.col(vector).alias("vector"), F.col(confidence).alias("confidence"), passages.alias("passages"))
     own.write.parquet(path := new_path(spark, "units"))
     own = spark.read.schema(own.schema).parquet(path)
     joined = first_similar(similar_pairs(own, threshold))
@@ -196,7 +197,7 @@ def dedup_units(df: DataFrame, threshold: float = 0.85) -> DataFrame:
     seen = lambda kept, p: F.exists(kept, lambda k: F.substring(k, 1, 200) == F.substring(p, 1, 200))
     passages = F.aggregate(F.flatten(F.transform("m", lambda x: x["passages"])), F.array().cast("array<string>"), lambda kept, p: F.when(seen(kept, p), kept).otherwise(F.concat(kept, F.array(p))))
     alone = F.size("m") == 1
-    return grouped.select("document", "seq", F.get("m", F.lit(0))["name"].alias("name"), F.get("m", F.lit(0))["confidence"].alias("confidence"), F.transform("m", lambda x: x["name"]).alias("members"), F.when(alone, F.get("m", F.lit(0))["passages"]).otherwise(passages).alias("passages"))
+    return grouped.select(F.col("document").alias(document), "seq", F.get("m", F.lit(0))["name"].alias(name), F.get("m", F.lit(0))["confidence"].alias(confidence), F.transform("m", lambda x: x["name"]).alias("members"), F.when(alone, F.get("m", F.lit(0))["passages"]).otherwise(passages).alias("passages"))
 
 
 def likeness(a: str, b: str) -> float:
