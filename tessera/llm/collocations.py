@@ -2,8 +2,8 @@
 
 First pass: every task counts the n-grams of its texts; their 48-bit fingerprints travel to hash partitions (ranges of
 the fingerprint). A partition knows its mass, the number of n-gram occurrences that fall into it, before the first
-counter comes, and merges the tasks' summaries into one of more than mass / threshold counters: what is taken off a
-counter is under the threshold then, so that every n-gram of that frequency survives. Second pass: exact counts of the
+counter comes, and merges the tasks' summaries into one of ROOM times mass / threshold counters: what is taken off a
+counter is under threshold / ROOM then, so that every n-gram of that frequency survives. Second pass: exact counts of the
 n-grams that survived, by their words. Equal fingerprints only let an n-gram more through to the exact count.
 
 Survivors go to the second pass as a bitmap of at most 2 ** FILTER_BITS bits, whatever the corpus. A fuller bitmap
@@ -25,9 +25,12 @@ from tessera.llm.textcore import LOWER, STEP, mix
 from tessera.llm.workspace import materialise, parts
 
 UNKNOWN = "und"
-#: Bytes of text that are counted at a time; counters of a task, and rows of a task, that wait to be merged.
-SLICE_BYTES, WAITING, ROWS = 3 << 20, 1_500_000, 600_000
+#: Bytes of text that are counted at a time; counters of a task that are kept, those that wait to be merged with them, and rows.
+SLICE_BYTES, HELD, WAITING, ROWS = 3 << 20, 4_000_000, 1_500_000, 600_000
+#: Counters of a summary for each that the guarantee needs: the fewer are taken off, the fewer infrequent n-grams survive.
+ROOM = 4
 FINGERPRINT_BITS, FILTER_BITS, MOST_BUCKET_BITS = 48, 28, 20
+COUNT_BITS, MOST_COUNT = 16, 65535
 #: Copies of a single word's count, and of a longer part's, that a join deals the phrases of a common part over.
 WORD_SALTS, PART_SALTS, TOP_SALTS = 8, 2, 8
 #: A-Z folded; bytes that end a piece (a line break here), and the tab as a space.
@@ -145,6 +148,16 @@ class Summary:
         return self.keys[0][self.counts[0] + self.less >= threshold]
 
 
+def merged(parts_: list[np.ndarray]) -> np.ndarray:
+    """Counters (fingerprint, then 16 bits of count) in order, equal fingerprints as one. Counts end at 65535, far above any threshold."""
+    x = np.concatenate(parts_)
+    x.sort()
+    key = x >> np.uint64(COUNT_BITS)
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(x) else np.zeros(0, np.int64)
+    count = np.minimum(np.add.reduceat(x & np.uint64(MOST_COUNT), first), np.uint64(MOST_COUNT)) if len(x) else x
+    return key[first] << np.uint64(COUNT_BITS) | count
+
+
 def _planes(values: np.ndarray) -> bytes:
     """Bytes of equal weight together: what compresses."""
     return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
@@ -163,7 +176,7 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def bucket_bits(spark: SparkSession) -> int:
     """Buckets are ranges of the hash, a power of two of them, and whole bytes of the bitmap."""
-    return min(MOST_BUCKET_BITS, (8 * parts(spark) - 1).bit_length())
+    return min(MOST_BUCKET_BITS, (4 * parts(spark) - 1).bit_length())
 
 
 def survivors(docs: DataFrame, longest: int, threshold: int) -> np.ndarray:
@@ -173,7 +186,7 @@ def survivors(docs: DataFrame, longest: int, threshold: int) -> np.ndarray:
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
-            key, count = summed(keys, counts)
+            key, count = held[0] >> np.uint64(COUNT_BITS), (held[0] & np.uint64(MOST_COUNT)).astype(np.int64)
             bucket = (key >> shift).astype(np.int64)
             cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(key) else np.zeros(0, np.int64)
             mass = np.add.reduceat(count, cut) if len(cut) else cut
@@ -182,16 +195,18 @@ def survivors(docs: DataFrame, longest: int, threshold: int) -> np.ndarray:
             data = pa.array([None] * len(own) + blobs, pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(np.tile(own, 2), pa.int32()), pa.array([*mass.tolist(), *[None] * len(own)], pa.int64()), data], ["bucket", "mass", "data"])
 
-        keys, counts, waiting = [], [], 0
+        held, waiting = [np.zeros(0, np.uint64)], 0
         for langs, texts in _portions(batches):
             for g in grams(langs, texts, longest)[3]:
-                keys.append(g.hash >> np.uint64(64 - FINGERPRINT_BITS))
-                counts.append(g.count)
+                held.append(g.hash >> np.uint64(64 - FINGERPRINT_BITS) << np.uint64(COUNT_BITS) | np.minimum(g.count, MOST_COUNT).astype(np.uint64))
                 waiting += len(g.count)
             if waiting > WAITING:
-                yield flush()
-                keys, counts, waiting = [], [], 0
-        if keys:
+                held, waiting = [merged(held)], 0
+                if len(held[0]) > HELD:
+                    yield flush()
+                    held = [np.zeros(0, np.uint64)]
+        held = [merged(held)]
+        if len(held[0]):
             yield flush()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +226,7 @@ def survivors(docs: DataFrame, longest: int, threshold: int) -> np.ndarray:
                 if own is not None:  # all of a bucket's masses come before its counters
                     mass += own
                 else:
-                    summary = summary or Summary(mass // threshold + 1)
+                    summary = summary or Summary(ROOM * (mass // threshold + 1))
                     summary.merge(*_unpack(blob.as_py()))
         if summary is not None:
             yield close()
@@ -239,6 +254,8 @@ def frequent_phrases(docs: DataFrame, longest: int, threshold: int) -> DataFrame
     A task's counts of the survivors travel as one compressed table for each bucket; a bucket adds them up by the words
     themselves.
     """
+    if threshold > MOST_COUNT:
+        raise ValueError("summaries count to 65535")
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(zstandard.ZstdCompressor(3).compress(survivors(docs, longest, threshold).tobytes()))
     n, bits = parts(spark), bucket_bits(spark)

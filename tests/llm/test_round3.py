@@ -114,6 +114,8 @@ def test_collocations(spark, make, odd, monkeypatch):
     assert len(against(spark, collocations.collocations(docs), oracles.OP12, docs)) > 50
     monkeypatch.setattr(collocations, "SLICE_BYTES", 500)
     monkeypatch.setattr(collocations, "WAITING", 300)
+    monkeypatch.setattr(collocations, "HELD", 500)
+    monkeypatch.setattr(collocations, "ROOM", 1)
     monkeypatch.setattr(collocations, "ROWS", 100)
     for longest, threshold in ((3, 10), (4, 3)):
         got = {(r.lang, r.k, r.phrase): r.a for r in collocations.frequent_phrases(docs, longest, threshold).collect()}
