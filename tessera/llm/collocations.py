@@ -26,7 +26,7 @@ from tessera.llm.workspace import materialise, parts
 
 UNKNOWN = "und"
 #: Bytes of text that are counted at a time; counters of a task that are kept, those that wait to be merged with them, and rows.
-SLICE_BYTES, HELD, WAITING, ROWS = 3 << 20, 4_000_000, 1_500_000, 600_000
+SLICE_BYTES, HELD, WAITING, ROWS = 2 << 20, 2_000_000, 1_500_000, 500_000
 #: Counters of a summary for each that the guarantee needs: the fewer are taken off, the fewer infrequent n-grams survive.
 ROOM = 4
 FINGERPRINT_BITS, FILTER_BITS, MOST_BUCKET_BITS = 48, 28, 20
@@ -240,12 +240,17 @@ def survivors(docs: DataFrame, longest: int, threshold: int) -> np.ndarray:
     return bitmap
 
 
-COUNTED = pa.schema([("hash", pa.uint64()), ("lang", pa.string()), ("k", pa.int32()), ("phrase", pa.string()), ("a", pa.int64())])
+#: Parts of the phrases that begin with one word.
+SPREAD = 8
+COUNTED = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("phrase", pa.string()), ("root", pa.uint64()), ("a", pa.int64())])
+SENT = pa.schema([COUNTED.field(n) for n in ("lang", "k", "phrase", "a")])
 
 
 def totals(tables: list[pa.Table]) -> pa.Table:
     """Equal phrases of a language as one row."""
-    return pa.concat_tables(tables).group_by(["hash", "lang", "k", "phrase"]).aggregate([("a", "sum")]).rename_columns(["hash", "lang", "k", "phrase", "a"])
+    rest = [n for n in tables[0].schema.names if n not in ("lang", "k", "phrase")]
+    found = pa.concat_tables(tables).group_by(["lang", "k", "phrase"]).aggregate([(n, "sum" if n == "a" else "min") for n in rest])
+    return found.rename_columns(["lang", "k", "phrase", *rest])
 
 
 def frequent_phrases(docs: DataFrame, longest: int, threshold: int) -> DataFrame:
@@ -260,16 +265,17 @@ def frequent_phrases(docs: DataFrame, longest: int, threshold: int) -> DataFrame
     sent = spark.sparkContext.broadcast(zstandard.ZstdCompressor(3).compress(survivors(docs, longest, threshold).tobytes()))
     n, bits = parts(spark), bucket_bits(spark)
     def packed(table: pa.Table) -> pa.RecordBatch:
-        hashed = table.column("hash").to_numpy()
-        order = np.argsort(hashed)
-        bucket = (hashed[order] >> np.uint64(64 - bits)).astype(np.int64)
+        bucket = (table.column("root").to_numpy() >> np.uint64(64 - bits)).astype(np.int32)
+        # phrases that begin alike stand together, which compresses them
+        order = pc.sort_indices(table.select(["phrase"]).append_column("bucket", pa.array(bucket)), [("bucket", "ascending"), ("phrase", "ascending")])
+        bucket = bucket[order.to_numpy()]
         cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-        table, blobs = table.take(pa.array(order)).combine_chunks(), []
+        table, blobs = table.select(SENT.names).take(order).combine_chunks(), []
         for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(order)]):
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, COUNTED, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            with pa.ipc.new_stream(sink, SENT) as out:
                 out.write_table(table.slice(i, j - i))
-            blobs.append(sink.getvalue().to_pybytes())
+            blobs.append(zstandard.ZstdCompressor(3).compress(sink.getvalue()))
         return pa.RecordBatch.from_arrays([pa.array(bucket[cut], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "data"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,17 +290,20 @@ def frequent_phrases(docs: DataFrame, longest: int, threshold: int) -> DataFrame
             names, total, known, found = grams(langs, texts, longest, keep)
             words, names = pa.array(known.tolist(), pa.binary()).cast(pa.string()), pa.array(names.tolist(), pa.string())
             own = np.array([xxhash.xxh3_64_intdigest(x.encode(), 2) for x in names.to_pylist()], np.uint64)
-            held.append(pa.table([pa.array(own), names, pa.array([0] * len(names), pa.int32()), pa.array([""] * len(names)), pa.array(total, pa.int64())], schema=COUNTED))
-            lang, phrase = None, None
+            held.append(pa.table([names, pa.array([0] * len(names), pa.int32()), pa.array([""] * len(names)), pa.array(own), pa.array(total, pa.int64())], schema=COUNTED))
+            lang, phrase, root = None, None, None
             for k, g in enumerate(found, 1):
+                root = g.hash if k == 1 else root[g.prefix]
                 lang = names.take(pa.array(g.prefix)) if k == 1 else lang.take(pa.array(g.prefix))
                 last = words.take(pa.array(g.word))
                 phrase = last if k == 1 else pc.binary_join_element_wise(phrase.take(pa.array(g.prefix)), last, " ")
-                held.append(pa.table([pa.array(g.hash), lang, pa.array(np.full(len(last), k, np.int32)), phrase, pa.array(g.count, pa.int64())], schema=COUNTED))
+                part = mix(root + (g.hash & np.uint64(SPREAD - 1)) * STEP)  # a bucket has all of a part of a word's phrases
+                held.append(pa.table([lang, pa.array(np.full(len(last), k, np.int32)), phrase, pa.array(part), pa.array(g.count, pa.int64())], schema=COUNTED))
                 rows += len(last)
             if rows > settled + ROWS:
                 held = [totals(held)]
                 rows = settled = held[0].num_rows
+                pa.default_memory_pool().release_unused()
                 if rows > ROWS:
                     yield packed(held[0])
                     held, rows, settled = [], 0, 0
@@ -314,7 +323,7 @@ def frequent_phrases(docs: DataFrame, longest: int, threshold: int) -> DataFrame
                     if held:
                         yield from close()
                     now, held, rows = bucket, [], 0
-                held.append(pa.ipc.open_stream(blob.as_buffer()).read_all())
+                held.append(pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob.as_py())).read_all())
                 rows += held[-1].num_rows
                 if rows > 2 * held[0].num_rows + ROWS:
                     held = [totals(held)]
