@@ -23,7 +23,7 @@ LEAST, MOST_COLUMNS, MOST_CLUSTERS, SUGGEST = 0.25, 8, 10, 0.3
 #: Similarities are whole numbers of this many parts, so that sums don't depend on their order and ties are ties.
 PARTS = 10**12
 #: Merges of a schema in one job; positions from here on are merged clusters.
-ROUNDS, MERGED = 4, 1 << 30
+ROUNDS, MERGED = 8, 1 << 30
 
 
 def name_tokens(name: Column) -> Column:
@@ -100,29 +100,34 @@ def merges(pairs: DataFrame, least: float = LEAST, most: int = MOST_COLUMNS) ->
     second, cluster stands first, and a merged cluster goes to the end. All schemas merge at once, a pair each a round;
     sums of similarities are what links keep, so a merge adds two links of each neighbour and looks at no vector again.
     """
+    none = F.array().cast("array<struct<nth:int,a:int,b:int,score:double>>")
     links = pairs.select("schema", F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"), F.lit(1).alias("n_a"), F.lit(1).alias("n_b"), F.round(F.col("score") * PARTS).cast("long").alias("total"))
-    done, nth = [], 0
-    links = _written(links, "links")
+    # a row of each schema that is no link stays to the end and has what merged
+    keeper = pairs.select("schema").distinct().select("schema", F.lit(-1).alias("a"), F.lit(-1).alias("b"), F.lit(MERGED).alias("n_a"), F.lit(0).alias("n_b"), F.lit(0).cast("long").alias("total"))
+    links, done, nth = _written(links.unionByName(keeper), "links"), [], 0
+    own = Window.partitionBy("schema")
     while True:
-        links, found = links.repartition("schema"), []
+        links = links.withColumn("log", none).repartition("schema")
         for _ in range(ROUNDS):
             average = F.col("total") / (F.col("n_a") * F.col("n_b"))
-            order = F.struct(average, -F.col("a"), -F.col("b"))
-            best = links.where(F.col("n_a") + F.col("n_b") <= most).groupBy("schema").agg(F.max_by(F.struct("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), average.alias("average")), order).alias("m")).where(F.col("m.average") >= least * PARTS)
-            at = MERGED + nth
-            hit = lambda c: F.coalesce(F.col(c).isin(F.col("m.a"), F.col("m.b")), F.lit(False))
-            marked = links.join(best, "schema", "left").withColumn("hit_a", hit("a")).withColumn("hit_b", hit("b")).where("not (hit_a and hit_b)")
+            fits = (F.col("n_a") + F.col("n_b") <= most) & (average >= least * PARTS)
+            best = F.max(F.when(fits, F.struct(average.alias("average"), (-F.col("a")).alias("a"), (-F.col("b")).alias("b"), (F.col("n_a") + F.col("n_b")).alias("n")))).over(own)
+            at, found = MERGED + nth, links.withColumn("m", best)
+            hit = lambda c: F.coalesce(F.col(c).isin(-F.col("m.a"), -F.col("m.b")), F.lit(False))
+            marked = found.withColumn("hit_a", hit("a")).withColumn("hit_b", hit("b")).where("not (hit_a and hit_b)")
             touched = F.col("hit_a") | F.col("hit_b")
+            said = F.struct(F.lit(nth).alias("nth"), (-F.col("m.a")).alias("a"), (-F.col("m.b")).alias("b"), (F.col("m.average") / PARTS).alias("score"))
             links = marked.select(
                 "schema", F.when(F.col("hit_a"), F.col("b")).otherwise(F.col("a")).alias("a"), F.when(touched, at).otherwise(F.col("b")).alias("b"),
                 F.when(F.col("hit_a"), F.col("n_b")).otherwise(F.col("n_a")).alias("n_a"), F.when(touched, F.col("m.n")).otherwise(F.col("n_b")).alias("n_b"), "total",
-            ).groupBy("schema", "a", "b", "n_a", "n_b").agg(F.sum("total").alias("total"))
-            found.append(best.select("schema", F.lit(nth).alias("nth"), F.col("m.a").alias("a"), F.col("m.b").alias("b"), (F.col("m.average") / PARTS).alias("score")))
+                F.when((F.col("a") < 0) & F.col("m").isNotNull(), F.array_append("log", said)).otherwise(F.col("log")).alias("log"),
+            ).groupBy("schema", "a", "b", "n_a", "n_b").agg(F.sum("total").alias("total"), F.first("log").alias("log"))
             nth += 1
-        done.append(_written(reduce(DataFrame.unionByName, found), "merges"))
+        links = _written(links, "links")
+        done.append(links.where("a < 0").select("schema", F.explode("log").alias("x")).select("schema", "x.*"))
         if done[-1].where(F.col("nth") == nth - 1).isEmpty():
             return reduce(DataFrame.unionByName, done)
-        links = _written(links, "links")
+        links = links.drop("log")
 
 
 def _title(text: Column) -> Column:
