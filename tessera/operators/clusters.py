@@ -121,8 +121,8 @@ def merges(pairs: DataFrame, least: float = LEAST, most: int = MOST_COLUMNS) ->
                 "schema", F.when(F.col("hit_a"), F.col("b")).otherwise(F.col("a")).alias("a"), F.when(touched, at).otherwise(F.col("b")).alias("b"),
                 F.when(F.col("hit_a"), F.col("n_b")).otherwise(F.col("n_a")).alias("n_a"), F.when(touched, F.col("m.n")).otherwise(F.col("n_b")).alias("n_b"), "total",
                 F.when((F.col("a") < 0) & F.col("m").isNotNull(), F.array_append("log", said)).otherwise(F.col("log")).alias("log"),
-            ).groupBy("schema", "a", "b", "n_a", "n_b").agg(F.sum("total").alias("total"), F.first("log").alias("log"))
-            nth += 1
+            ).where((F.col("a") < 0) | (F.col("n_a") + F.col("n_b") <= most)).groupBy("schema", "a", "b", "n_a", "n_b").agg(F.sum("total").alias("total"), F.first("log").alias("log"))
+            nth += 1  # clusters too large together only grow, so their link is of no more use
         links = _written(links, "links")
         done.append(links.where("a < 0").select("schema", F.explode("log").alias("x")).select("schema", "x.*"))
         if done[-1].where(F.col("nth") == nth - 1).isEmpty():
