@@ -1,6 +1,8 @@
 """Columns of many schemas at once: features, cosine pairs, clusters by average linkage, their names, and the cluster a new column joins.
 
 Input are columns: schema, seq (order within the schema), name, definition, rationale, data_type, allowed (an array).
+Both sides of every join grow with the columns, while their files may compress to next to nothing, by which Spark would
+take them for small: joins are merges, so that the driver gathers no side.
 """
 
 from functools import reduce
@@ -42,7 +44,7 @@ def common_terms(columns: DataFrame) -> DataFrame:
     """schema, term of words that half of a schema's column names have."""
     n = columns.groupBy("schema").agg(F.count(F.lit(1)).alias("n"))
     seen = columns.select("schema", F.explode(F.array_distinct(name_tokens(F.col("name")))).alias("term")).groupBy("schema", "term").agg(F.count(F.lit(1)).alias("df"))
-    return seen.join(n, "schema").where(F.col("df") >= F.ceil(F.col("n") / 2)).select("schema", "term")
+    return seen.join(n.hint("merge"), "schema").where(F.col("df") >= F.ceil(F.col("n") / 2)).select("schema", "term")
 
 
 def vectors(columns: DataFrame, common: DataFrame) -> DataFrame:
@@ -51,14 +53,14 @@ def vectors(columns: DataFrame, common: DataFrame) -> DataFrame:
     words = F.concat(F.coalesce(name_tokens(F.col("name")), F.array()), text_tokens(F.col("definition")), text_tokens(F.col("rationale")))
     base = columns.select("schema", "seq", words.alias("words"), marks(text, F.col("data_type"), F.col("allowed")).alias("marks"))
     n = columns.groupBy("schema").agg(F.count(F.lit(1)).alias("n"))
-    terms = base.select("schema", "seq", F.explode("words").alias("term")).groupBy("schema", "seq", "term").agg(F.count(F.lit(1)).alias("freq")).join(common, ["schema", "term"], "left_anti")
-    df = terms.groupBy("schema", "term").agg(F.count(F.lit(1)).alias("df")).join(n, "schema")
-    weighed = terms.join(df, ["schema", "term"]).select("schema", "seq", "term", "freq", (F.log(F.col("n") / F.col("df")) + 1).alias("idf"))
+    terms = base.select("schema", "seq", F.explode("words").alias("term")).groupBy("schema", "seq", "term").agg(F.count(F.lit(1)).alias("freq")).join(common.hint("merge"), ["schema", "term"], "left_anti")
+    df = terms.groupBy("schema", "term").agg(F.count(F.lit(1)).alias("df")).join(n.hint("merge"), "schema")
+    weighed = terms.join(df.hint("merge"), ["schema", "term"]).select("schema", "seq", "term", "freq", (F.log(F.col("n") / F.col("df")) + 1).alias("idf"))
     own = weighed.groupBy("schema", "seq").agg(F.sum("freq").alias("total"), F.sort_array(F.collect_list(F.struct("term", "freq", "idf"))).alias("terms"))
     flags = F.filter(F.transform("marks", lambda w, i: F.struct(F.concat(F.lit("\u0000"), i.cast("string")).alias("key"), w.alias("value"))), lambda e: e["value"] > 0)
     parts = F.transform("terms", lambda t: F.struct(t["term"].alias("key"), (t["freq"] / F.col("total") * t["idf"]).alias("value")))
     none = F.array().cast("array<struct<key:string,value:double>>")
-    return base.join(own, ["schema", "seq"], "left").select("schema", "seq", F.map_from_entries(F.concat(F.coalesce(parts, none), flags)).alias("vector"))
+    return base.join(own.hint("merge"), ["schema", "seq"], "left").select("schema", "seq", F.map_from_entries(F.concat(F.coalesce(parts, none), flags)).alias("vector"))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -76,14 +78,15 @@ def cosine_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     with any vector of length 1. The rarest feature two similar vectors share is posted by both, so only pairs that can
     reach the threshold meet; each is verified once.
     """
+    rows = _written(rows, "vectors")
     entries = rows.select("schema", "seq", F.explode("vector").alias("f", "w")).where("w <> 0")
     df = entries.groupBy("schema", "f").agg(F.count(F.lit(1)).alias("df"))
     length = F.aggregate(F.map_values("vector"), F.lit(0.0), lambda s, x: s + x * x)
-    posted = rows.select("schema", "seq", length.alias("long"), F.explode("vector").alias("f", "w")).where("w <> 0").join(df, ["schema", "f"])
+    posted = rows.select("schema", "seq", length.alias("long"), F.explode("vector").alias("f", "w")).where("w <> 0").join(df.hint("merge"), ["schema", "f"])
     rest = F.sum(F.col("w") * F.col("w") / F.col("long")).over(Window.partitionBy("schema", "seq").orderBy(F.desc("df"), F.desc("f")).rowsBetween(Window.unboundedPreceding, 0))
     posted = posted.withColumn("rest", rest).where(F.col("rest") >= threshold * threshold - 1e-9).where("df > 1").select("schema", "f", "seq")
-    met = posted.withColumnRenamed("seq", "a").join(posted.withColumnRenamed("seq", "b"), ["schema", "f"]).where("a < b").select("schema", "a", "b").distinct()
-    side = lambda name: rows.select("schema", F.col("seq").alias(name), F.col("vector").alias(f"v_{name}"))
+    met = posted.withColumnRenamed("seq", "a").join(posted.withColumnRenamed("seq", "b").hint("merge"), ["schema", "f"]).where("a < b").select("schema", "a", "b").distinct()
+    side = lambda name: rows.select("schema", F.col("seq").alias(name), F.col("vector").alias(f"v_{name}")).hint("merge")
     scored = met.join(side("a"), ["schema", "a"]).join(side("b"), ["schema", "b"]).select("schema", "a", "b", cosine(F.col("v_a"), F.col("v_b")).alias("score"))
     return scored.where(F.col("score") >= threshold - 1e-12 if threshold > 0 else F.col("score") > 0)
 
@@ -166,9 +169,9 @@ def clusters(columns: DataFrame, least: float = LEAST, most: int = MOST_COLUMNS,
     joined = merges(cosine_pairs(vectors(numbered, common), 0.0), least, most)
     shared = common.groupBy("schema").agg(F.collect_set("term").alias("common"))
     tokens = F.filter(name_tokens(F.col("name")), lambda t: ~F.array_contains(F.coalesce("common", F.array().cast("array<string>")), t) & (F.length(t) > 2))
-    own = numbered.join(shared, "schema", "left").select("schema", F.struct(F.col("seq").alias("i"), "name", tokens.alias("tokens")).alias("c")).groupBy("schema").agg(F.sort_array(F.collect_list("c")).alias("all"))
+    own = numbered.join(shared.hint("merge"), "schema", "left").select("schema", F.struct(F.col("seq").alias("i"), "name", tokens.alias("tokens")).alias("c")).groupBy("schema").agg(F.sort_array(F.collect_list("c")).alias("all"))
     steps = joined.groupBy("schema").agg(F.sort_array(F.collect_list(F.struct("nth", "a", "b", "score"))).alias("steps"))
-    state = own.join(steps, "schema", "left")
+    state = own.join(steps.hint("merge"), "schema", "left")
     single = F.transform("all", lambda c: F.struct(c["i"].cast("int").alias("at"), F.array(c).alias("members"), F.lit(1.0).alias("score")))
 
     def merge(now: Column, step: Column) -> Column:
@@ -210,12 +213,12 @@ def suggest(fresh: DataFrame, columns: DataFrame, found: DataFrame, least: float
     """
     new = fresh.select("schema", F.struct("schema", F.col("name").alias("column")).alias("key"), F.lit(-1).cast("long").alias("seq"), "name", "definition", "rationale", "data_type", "allowed")
     old = columns.select("schema", F.col("seq").cast("long").alias("seq"), "name", "definition", "rationale", "data_type", "allowed")
-    both = new.unionByName(new.select("schema", "key").join(old, "schema")).withColumn("schema", F.col("key")).drop("key")
+    both = new.unionByName(new.select("schema", "key").join(old.hint("merge"), "schema")).withColumn("schema", F.col("key")).drop("key")
     common = common_terms(both.where("seq >= 0"))
     found_vectors = _written(vectors(both, common), "vectors")
     mine = found_vectors.where("seq < 0").select("schema", F.col("vector").alias("own"))
-    scored = found_vectors.where("seq >= 0").join(mine, "schema").select("schema", "seq", F.round(cosine(F.col("own"), F.col("vector")) * PARTS).cast("long").alias("score"))
-    members = found.select("schema", "nth", F.col("name").alias("cluster"), F.explode("columns").alias("name")).join(old.select("schema", "seq", "name"), ["schema", "name"]).select(F.col("schema").alias("of"), "nth", "cluster", "seq")
-    averages = scored.join(members, (F.col("schema.schema") == F.col("of")) & (scored.seq == members.seq)).groupBy("schema", "nth", "cluster").agg((F.sum("score") / F.count(F.lit(1)) / PARTS).alias("score")).where(F.col("score") > least)
+    scored = found_vectors.where("seq >= 0").join(mine.hint("merge"), "schema").select("schema", "seq", F.round(cosine(F.col("own"), F.col("vector")) * PARTS).cast("long").alias("score"))
+    members = found.select("schema", "nth", F.col("name").alias("cluster"), F.explode("columns").alias("name")).join(old.select("schema", "seq", "name").hint("merge"), ["schema", "name"]).select(F.col("schema").alias("of"), "nth", "cluster", "seq")
+    averages = scored.join(members.hint("merge"), (F.col("schema.schema") == F.col("of")) & (scored.seq == members.seq)).groupBy("schema", "nth", "cluster").agg((F.sum("score") / F.count(F.lit(1)) / PARTS).alias("score")).where(F.col("score") > least)
     best = averages.groupBy("schema").agg(F.max_by(F.struct("cluster", "score"), F.struct("score", -F.col("nth"))).alias("b"))
-    return new.select(F.col("key").alias("schema")).join(best, "schema", "left").select("schema.schema", "schema.column", F.col("b.cluster").alias("name"), F.col("b.score").alias("score"))
+    return new.select(F.col("key").alias("schema")).join(best.hint("merge"), "schema", "left").select("schema.schema", "schema.column", F.col("b.cluster").alias("name"), F.col("b.score").alias("score"))

@@ -39,5 +39,5 @@ def _(part, supplier):
     """For each brand and supplier nation a new column, and the cluster it fits."""
     rows = columns_of(part)
     schemas = rows.groupBy("schema").agg(F.min("seq").alias("first"))
-    fresh = schemas.join(part, F.col("p_partkey") == F.col("first")).select("schema", F.concat(F.lit("new_"), F.element_at(F.split("p_name", " "), -1)).alias("name"), F.col("p_type").alias("definition"), F.lit(None).cast("string").alias("rationale"), F.lit("number").alias("data_type"), F.lit(None).cast("array<string>").alias("allowed"))
+    fresh = schemas.join(part.hint("merge"), F.col("p_partkey") == F.col("first")).select("schema", F.concat(F.lit("new_"), F.element_at(F.split("p_name", " "), -1)).alias("name"), F.col("p_type").alias("definition"), F.lit(None).cast("string").alias("rationale"), F.lit("number").alias("data_type"), F.lit(None).cast("array<string>").alias("allowed"))
     return clusters.suggest(fresh, rows, clusters.clusters(rows)).withColumn("score", F.round("score", 9))

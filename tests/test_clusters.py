@@ -166,3 +166,17 @@ def test_suggested_cluster(spark, schemas):
                 best, at = name, average
         assert got[s][:2] == (new.name, best)
         assert best is None and got[s][2] is None or abs(got[s][2] - at) < 1e-8
+
+
+def test_joins_of_columns_go_around_the_driver(spark, monkeypatch):
+    """Spark takes columns that compress well for small; no join may send them through the driver."""
+    plans, written = [], clusters._written
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name)
+
+    monkeypatch.setattr(clusters, "_written", seen)
+    for name in ("sim_18_similar_columns", "sim_19_column_clusters", "sim_20_suggested_cluster"):
+        plans.append(QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString())
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
