@@ -103,7 +103,7 @@ def _(customer):
     return profile.completeness(customer, customer.columns, "N5")
 
 
-@query("agg_23_warnings", "documents", "SELECT (ceil(count(*) / 4) + 1)::BIGINT AS calls, ['near the context limit'] AS warnings FROM documents")
+@query("agg_23_warnings", "documents", "WITH c AS (SELECT (ceil(count(*) / 4) + 1)::BIGINT AS calls FROM documents), t AS (SELECT calls, calls * 15 * 250 AS tokens_in, calls * 300 AS tokens_out FROM c) SELECT calls, list_filter([CASE WHEN tokens_in / calls > 0.8 * 4000 THEN 'near the context limit' END, CASE WHEN round(tokens_in / 1e6 * 0.15 + tokens_out / 1e6 * 0.6, 6) > 10 THEN 'over 10 dollars' END], lambda w: w IS NOT NULL) AS warnings FROM t")
 def _(documents):
     return cost.warnings(cost.discovery(documents, 4, 15, 0.15, 0.6), 4000).select("calls", "warnings")
 

@@ -44,3 +44,14 @@ def test_query(spark, duck, name):
     names = [d[0] for d in want.description]
     assert sorted(names) == sorted(df.columns)
     assert rows(df.columns, got) == rows(names, want.fetchall())
+
+
+@pytest.mark.parametrize("n, over", [(53868, False), (53869, True), (200000, True)])
+def test_warnings_of_many_documents(spark, tmp_path, n, over):
+    """13,468 calls cost just under 10 dollars: both sides warn from the next one on."""
+    spark.range(n).selectExpr("id AS doc_id", "'x' AS text").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = [tuple(r) for r in QUERIES["agg_23_warnings"](spark, str(tmp_path)).collect()]
+    assert got == con.execute(ORACLES["agg_23_warnings"]).fetchall()
+    assert ("over 10 dollars" in got[0][1]) == over
