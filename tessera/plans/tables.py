@@ -105,7 +105,18 @@ def _(documents, labels):
     return labels.join(documents.select("doc_id"), "doc_id").join(shots, "doc_id", "left_anti").select("doc_id")
 
 
-@query("flt_27_paper_classifier", "documents", "SELECT doc_id, CASE WHEN regexp_matches(t, '\\babstract\\b') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(t, '\\bintroduction\\b') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(t, '\\breferences\\b') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(t, '\\bdoi\\b') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(t, '\\barxiv\\b') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(t, '\\bet al\\b') THEN 1 ELSE 0 END AS score FROM (SELECT doc_id, lower(left(text, 2000)) AS t FROM documents)")
+#: A paper's sign in SQL: RE2 knows ASCII word bounds only, so a word character of Unicode on either side is ruled out by name.
+_WORDLY = r"[^\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{24B6}-\x{24E9}\x{1F130}-\x{1F149}\x{1F150}-\x{1F169}\x{1F170}-\x{1F189}\x{200C}\x{200D}]"
+
+
+def _sign(text: str, words: str, weight: int) -> str:
+    return f"CASE WHEN regexp_matches({text}, '(^|{_WORDLY})({words})($|{_WORDLY})') THEN {weight} ELSE 0 END"
+
+
+@query("flt_27_paper_classifier", "documents", "SELECT doc_id, " + " + ".join([
+    _sign("left(t, 2000)", "abstract", 2), _sign("left(t, 5000)", "introduction", 1), _sign("right(t, 5000)", "references?|bibliography", 2),
+    _sign("t", "conclusion", 1), _sign("t", "method(s|ology)?", 1), _sign("t", "experiment(s|al)?|results?", 1),
+]) + " AS score FROM (SELECT doc_id, lower(text) AS t FROM documents)")
 def _(documents):
     return documents.select("doc_id", filters.paper_score(F.col("text")).alias("score"))
 

@@ -55,3 +55,15 @@ def test_warnings_of_many_documents(spark, tmp_path, n, over):
     got = [tuple(r) for r in QUERIES["agg_23_warnings"](spark, str(tmp_path)).collect()]
     assert got == con.execute(ORACLES["agg_23_warnings"]).fetchall()
     assert ("over 10 dollars" in got[0][1]) == over
+
+
+def test_paper_signs_by_place(spark, tmp_path):
+    """Each sign in, at the edge of and beyond its part of a text, alone and within words, on both sides."""
+    pad = "\u00e9 " * 3000
+    texts = [None, "", "Abstract", "abstracts", pad[:1992] + "abstract" + " " + pad, pad[:1994] + "abstract", pad + "abstract", pad[:4000] + "Introduction" + pad, pad + "introduction", "References" + pad, pad + "REFERENCES", pad + "reference [1]", "references " + pad + "bibliography", pad + "conclusion" + " " + pad, "methods", "methodology", "methodical", "experiment", "experimental", "experiments", "result", "results.", "\u00e9results", "results\u00e9", "result\u0301", "result_s", "result\u2014 method", "doi arxiv et al", "abstract introduction conclusion method results references"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = {r.doc_id: r.score for r in QUERIES["flt_27_paper_classifier"](spark, str(tmp_path)).collect()}
+    assert got == dict(con.execute(ORACLES["flt_27_paper_classifier"]).fetchall())
+    assert got[0] == 0 and got[2] == 2 and got[13] == 1 and got[len(texts) - 1] == 8
