@@ -97,13 +97,16 @@ def truth_metrics(rows: DataFrame) -> DataFrame:
     """type, n, accuracy, avg_similarity, containment_rate, avg_confidence of comparisons (predicted, truth, confidence): of each type and of all (null).
 
     The type is how a truth is best compared; a value is right where both texts are equal but for case and outer space,
-    contained where the prediction holds the truth.
+    contained where the prediction holds the truth. Means are of whole sums of 12 decimals, so that ties in the last place
+    don't go by the order of rows.
     """
     p, t = F.lower(F.trim("predicted")), F.lower(F.trim("truth"))
     got = evaluate.compare(F.col("predicted"), F.col("truth"))
-    each = rows.select(evaluate.kind_of(F.col("truth")).alias("type"), F.coalesce(p == t, F.lit(False)).alias("same"), got["similarity"].alias("similarity"), F.coalesce(p.contains(t) & (t != ""), F.lit(False)).alias("held"), "confidence")
-    mean = lambda c, name: F.round(F.avg(c), 6).alias(name)
-    return each.rollup("type").agg(F.count(F.lit(1)).alias("n"), mean(F.col("same").cast("double"), "accuracy"), mean("similarity", "avg_similarity"), mean(F.col("held").cast("double"), "containment_rate"), mean("confidence", "avg_confidence"))
+    each = rows.select(evaluate.kind_of(F.col("truth")).alias("type"), F.coalesce(p == t, F.lit(False)).cast("double").alias("same"), got["similarity"].alias("similarity"), F.coalesce(p.contains(t) & (t != ""), F.lit(False)).cast("double").alias("held"), "confidence")
+    whole = lambda c: c.cast("double").try_cast("decimal(28,12)")
+    exact = lambda c: F.when(F.count(whole(c)) == F.count(c), F.try_divide(F.try_sum(whole(c)).cast("double"), F.count(c)))
+    mean = lambda c, name: F.round(F.coalesce(exact(F.col(c)), F.avg(c)), 6).alias(name)
+    return each.rollup("type").agg(F.count(F.lit(1)).alias("n"), mean("same", "accuracy"), mean("similarity", "avg_similarity"), mean("held", "containment_rate"), mean("confidence", "avg_confidence"))
 
 
 def model_specs(models: DataFrame, specs: DataFrame, fallback: int) -> DataFrame:

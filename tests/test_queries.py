@@ -67,3 +67,12 @@ def test_paper_signs_by_place(spark, tmp_path):
     got = {r.doc_id: r.score for r in QUERIES["flt_27_paper_classifier"](spark, str(tmp_path)).collect()}
     assert got == dict(con.execute(ORACLES["flt_27_paper_classifier"]).fetchall())
     assert got[0] == 0 and got[2] == 2 and got[13] == 1 and got[len(texts) - 1] == 8
+
+
+def test_truth_metrics_by_any_order(spark):
+    """A mean of exactly 0.0499185, however the rows lie."""
+    from tessera.operators import quality
+
+    rows = spark.range(0, 60000, 1, 8).selectExpr("'x' AS predicted", "'y' AS truth", "CASE WHEN id % 2 = 0 THEN 0.05D ELSE 0.049837D END AS confidence")
+    got = {r.avg_confidence for n in (1, 7, 16) for r in quality.truth_metrics(rows.repartition(n)).collect()}
+    assert got == {0.049919}
