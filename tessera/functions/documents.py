@@ -37,8 +37,12 @@ def words(text: Column) -> Column:
 def windows(items: Column, width: int, overlap: int) -> Column:
     """Overlapping slices of an array; none of an empty one."""
     step = width - overlap
-    starts = F.sequence(F.lit(0), F.greatest(F.size(items) - 1, F.lit(0)), F.lit(step))
-    return F.when(F.size(items) > 0, F.transform(starts, lambda i: F.slice(items, i + 1, F.lit(width)))).otherwise(F.array().cast("array<array<string>>"))
+
+    def sliced(items: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(items) - 1, F.lit(0)), F.lit(step))
+        return F.when(F.size(items) > 0, F.transform(starts, lambda i: F.slice(items, i + 1, F.lit(width)))).otherwise(F.array().cast("array<array<string>>"))
+
+    return bound(items, sliced)  # else the array would be made again for every slice
 
 
 def packs(text: Column, width: int) -> Column:

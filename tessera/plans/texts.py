@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import cells, documents as docs_, replies, similarity
+from tessera.functions.cells import bound
 from tessera.operators import alike, cost, evaluate, filters, match, retrieve
 from tessera.plans.registry import query
 
@@ -18,8 +19,8 @@ def _(documents):
 
 @query("win_10_word_windows", "documents", "WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents) SELECT doc_id, CASE WHEN len(w) = 0 THEN 0 ELSE ((len(w) - 1) // 64 + 1)::INT END AS n, array_to_string(w[1:128], ' ') AS first FROM w")
 def _(documents):
-    w = docs_.windows(docs_.words(F.col("text")), 128, 64)
-    return documents.select("doc_id", F.size(w).alias("n"), F.coalesce(F.array_join(F.try_element_at(w, F.lit(1)), " "), F.lit("")).alias("first"))
+    found = lambda w: F.struct(F.size(w).alias("n"), F.coalesce(F.array_join(F.try_element_at(w, F.lit(1)), " "), F.lit("")).alias("first"))
+    return documents.select("doc_id", bound(docs_.windows(docs_.words(F.col("text")), 128, 64), found).alias("w")).select("doc_id", "w.*")
 
 
 @query("doc_10_chunks", "documents")
