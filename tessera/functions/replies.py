@@ -82,40 +82,45 @@ def _json(text: Column, key: str) -> Column:
 
 def jsonified(text: Column) -> Column:
     """A cell's text as JSON: Python's spelling of a dictionary or list too; null where it is neither."""
-    usable = F.when(F.trim(text).rlike(r"^[\[{]"), F.coalesce(whole_json(text), python_json(text)))
-    return bound(usable, lambda t: F.when(F.trim(t).rlike(r"^[\[{]"), t))
+    usable = lambda t: F.when(F.trim(t).rlike(r"^[\[{]"), F.coalesce(whole_json(t), python_json(t)))
+    return bound(bound(text, usable), lambda t: F.when(F.trim(t).rlike(r"^[\[{]"), t))
 
 
-def _opened(cell: Column) -> Column:
-    """One step into a cell: null where it is no JSON."""
+def _into(as_json: Column) -> Column:
+    """One step into a cell's JSON; null for null."""
+    first = F.when(as_json.startswith("["), F.get_json_object(as_json, "$[0]")).otherwise(as_json)
+    inside = bound(first, lambda x: F.when(x.startswith("{"), F.coalesce(*[_json(x, k) for k in ANSWER_KEYS])))
+    return F.when(as_json.isNotNull(), F.coalesce(inside, F.when(as_json.startswith("["), F.array_join(F.from_json(as_json, "array<string>"), ", ")), as_json))
 
-    def into(as_json: Column) -> Column:
-        first = F.when(as_json.startswith("["), F.get_json_object(as_json, "$[0]")).otherwise(as_json)
-        inside = bound(first, lambda x: F.when(x.startswith("{"), F.coalesce(*[_json(x, k) for k in ANSWER_KEYS])))
-        return F.coalesce(inside, F.when(as_json.startswith("["), F.array_join(F.from_json(as_json, "array<string>"), ", ")), as_json)
 
-    return bound(jsonified(cell), lambda j: F.when(j.isNotNull(), into(j)))
+def _answer(cell: Column, as_json: Column) -> Column:
+    return bound(F.coalesce(_into(as_json), cell), lambda d: F.coalesce(bound(jsonified(d), _into), d))
 
 
 def answer_of(cell: Column) -> Column:
     """The answer in a cell's JSON text under any of its keys, an answer that is itself such a text opened once more; plain text is its own answer."""
-    return bound(cell, lambda c: bound(F.coalesce(_opened(c), c), lambda d: F.coalesce(_opened(d), d)))
+    return bound(cell, lambda c: bound(jsonified(c), lambda j: _answer(c, j)))
 
 
-def excerpts_of(cell: Column) -> Column:
-    """The excerpts in a cell's JSON text under any of their keys, a lone text as one; none in plain text."""
+def _excerpts(as_json: Column) -> Column:
     none = F.array().cast("array<string>")
+    texts = lambda many: F.when(F.size(F.filter(many, lambda x: x.isNotNull())) == F.size(many), many)
 
     def listed(found: Column) -> Column:
-        many = F.when(found.startswith("["), F.from_json(found, "array<string>"))
-        return F.when(many.isNotNull() & (F.size(F.filter(many, lambda x: x.isNotNull())) == F.size(many)), many).when(F.coalesce(found, F.lit("")) != "", F.array(found)).otherwise(none)
+        many = bound(F.when(found.startswith("["), F.from_json(found, "array<string>")), texts)
+        return F.coalesce(many, F.when(F.coalesce(found, F.lit("")) != "", F.array(found)), none)
+
+    return bound(F.coalesce(*[_json(as_json, k) for k in EXCERPT_KEYS]), listed)
 
-    return bound(bound(jsonified(cell), lambda j: F.coalesce(*[_json(j, k) for k in EXCERPT_KEYS])), listed)
+
+def excerpts_of(cell: Column) -> Column:
+    """The excerpts in a cell's JSON text under any of their keys, a lone text as one; none in plain text."""
+    return bound(jsonified(cell), _excerpts)
 
 
 def normal_cell(cell: Column) -> Column:
-    """answer, excerpts of a cell of any known shape."""
-    return F.struct(answer_of(cell).alias("answer"), excerpts_of(cell).alias("excerpts"))
+    """answer, excerpts of a cell of any known shape; its JSON is made once for both."""
+    return bound(cell, lambda c: bound(jsonified(c), lambda j: F.struct(_answer(c, j).alias("answer"), _excerpts(j).alias("excerpts"))))
 
 
 def display(cell: Column) -> Column:

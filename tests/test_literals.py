@@ -95,3 +95,18 @@ def test_upsert_by_row(spark):
     got = sorted(((r.name, r.v, tuple(r.papers or ())) for r in out.collect()), key=repr)
     want = [("r", "1 again", ("doc1_v2.txt",)), ("r", "old", ("doc2.pdf",)), (None, "1 again", ("x.txt", "DOC1_a")), (None, "old", ()), ("exact", "e", ("doc1_x",)), ("r", "old", ("doc2.pdf",)), ("q", "old", ()), ("s", "ab", ("a.b.txt",))]
     assert got == sorted(want, key=repr)
+
+
+def test_json_of_a_cell_is_made_once(spark):
+    """A cell's lexemes are parted for the cell and for an answer that is itself JSON; and windows part their text once."""
+    from pyspark.sql import functions as F
+
+    from tessera.functions import documents, replies
+
+    parted = lambda c, call: spark.createDataFrame([("a",)], "x string").select(c.alias("y"))._jdf.queryExecution().analyzed().toString().count(call)
+    assert parted(replies.normal_cell(F.concat(F.col("x"), F.lit("!"))), "concat(x") == 1
+    assert parted(documents.windows(documents.words(F.col("x")), 4, 2), "split(x") == 1
+    cells = ["{'answer': 'y', 'quotes': ['a', None]}", '{"value": "[{\'text\': \'in\'}]", "evidence": ["p", "q"]}', "[]", "plain", "", None, '{"answer": null, "excerpt": ""}', '["a", "b"]', "{'x': 1}"]
+    got = [tuple(r) for r in spark.createDataFrame([(c,) for c in cells], "x string").select(replies.answer_of(F.col("x")).alias("a"), replies.excerpts_of(F.col("x")).alias("e"), replies.normal_cell(F.col("x")).alias("c")).collect()]
+    assert [(a, e) for a, e, _ in got] == [tuple(c) for *_, c in got]
+    assert got[0][:2] == ("y", ['["a",null]']) and got[1][:2] == ("in", ["p", "q"]) and got[3][:2] == ("plain", [])
