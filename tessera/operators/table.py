@@ -91,3 +91,19 @@ def runs(df: DataFrame, order: list[str], value: str, within: str | None = None)
     w = Window.partitionBy(within).orderBy(*order) if within else Window.orderBy(*order)
     changed = F.when(F.lag(value).over(w).eqNullSafe(F.col(value)) & F.lag(F.lit(1)).over(w).isNotNull(), 0).otherwise(1)
     return df.withColumn("_changed", changed).withColumn("run", F.sum("_changed").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_changed")
+
+
+def longest_runs(df: DataFrame, order: list[str], value: str, within: str) -> DataFrame:
+    """``within`` and the length of its longest run, of ``runs``: from one sort, without a table of runs in memory.
+
+    Partitions are as many as the session's, or four for each one read where these are more, so that what a task sorts
+    doesn't grow with the input.
+    """
+    spark = df.sparkSession
+    dealt = df.select(within, *order, value).repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * df.rdd.getNumPartitions()), within)
+    w = Window.partitionBy(within).orderBy(*order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    same = F.lag(value).over(w).eqNullSafe(F.col(value)) & F.lag(F.lit(1)).over(w).isNotNull()
+    rows = dealt.select(within, *order, same.alias("_same"), F.row_number().over(w).cast("long").alias("_n"), F.lead(F.lit(1)).over(w).isNull().alias("_last"))
+    size = F.col("_n") - F.max(F.when(~F.col("_same"), F.col("_n"))).over(upto) + 1
+    return rows.withColumn("_size", size).withColumn("longest", F.max("_size").over(upto)).where("_last").select(within, "longest")

@@ -7,7 +7,7 @@ from tessera.functions import cells
 from tessera.functions.similarity import contains_score, jaccard, tokens
 from tessera.operators import catalog, merge, units
 from tessera.operators.match import match_rows
-from tessera.operators.table import runs
+from tessera.operators.table import longest_runs
 from tessera.plans.registry import query
 
 
@@ -279,8 +279,7 @@ def _(documents):
 
 @query("win_06_unchanged_runs", "lineitem", "WITH c AS (SELECT l_orderkey, sum(x) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING) AS run, l_linenumber FROM (SELECT *, CASE WHEN lag(l_returnflag) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) = l_returnflag THEN 0 ELSE 1 END AS x FROM lineitem)) SELECT l_orderkey, max(n) AS longest FROM (SELECT l_orderkey, run, count(*) AS n FROM c GROUP BY ALL) GROUP BY l_orderkey")
 def _(lineitem):
-    found = runs(lineitem, ["l_linenumber", "l_partkey", "l_suppkey"], "l_returnflag", "l_orderkey").groupBy("l_orderkey", "run").agg(F.count(F.lit(1)).alias("n"))
-    return found.groupBy("l_orderkey").agg(F.max("n").alias("longest"))
+    return longest_runs(lineitem, ["l_linenumber", "l_partkey", "l_suppkey"], "l_returnflag", "l_orderkey")
 
 
 @query("win_07_keep_first", "documents", "SELECT min(doc_id) AS doc_id FROM documents GROUP BY text")

@@ -1,5 +1,7 @@
 """Traps of the table engine, on rows written for them."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -216,3 +218,16 @@ def test_discovery_reads_every_document(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(r.name for r in QUERIES["llm_05_discovery"](spark, str(tmp_path)).collect()) == ["dose", "lang", "source", "unit"]
     assert {r.name: r.n_documents for r in extract.propose(docs, extract.RuleModel).collect()} == {"dose": 2, "unit": 1}
+
+
+def test_longest_runs(spark):
+    """As the runs say, from one sort and in partitions that grow with those read."""
+    from tessera.plans.catalogue import QUERIES
+
+    rng = random.Random(8)
+    rows = spark.createDataFrame([(rng.choice([None, *range(60)]), i, rng.choice("AAB") if i % 9 else None, "x") for i in range(900)], "k int, o int, v string, other string").repartition(9)
+    got = table.longest_runs(rows, ["o"], "v", "k")
+    want = table.runs(rows, ["o"], "v", "k").groupBy("k", "run").count().groupBy("k").agg(F.max("count").alias("longest"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 61
+    assert got.rdd.getNumPartitions() == 36
+    assert "Aggregate" not in QUERIES["win_06_unchanged_runs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
