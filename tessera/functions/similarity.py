@@ -85,8 +85,11 @@ def _candidates(want: list[str], have: list[str], least: float) -> tuple[np.ndar
         return near, np.zeros(0)
     joined = " ".join(want)
     letters = sorted(set(joined))
-    per_word = np.array([[w.count(c) for c in letters] for w in code])[ids]
-    upto = np.concatenate([np.zeros((1, len(letters)), np.int64), np.cumsum(per_word, 0)])
+    names, per_word = list(code), np.zeros((len(code), len(letters)), np.int64)
+    edge = np.bincount(near, minlength=n + 1) - np.bincount(near + width, minlength=n + 1)
+    for i in np.unique(ids[np.cumsum(edge)[:n] > 0]).tolist():  # words outside of these windows don't count
+        per_word[i] = [names[i].count(c) for c in letters]
+    upto = np.concatenate([np.zeros((1, len(letters)), np.int64), np.cumsum(per_word[ids], 0)])
     counts = upto[near + width] - upto[near]
     counts[:, [c == " " for c in letters]] += width - 1
     size = np.concatenate([[0], np.cumsum([len(w) for w in have])])

@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from tessera.functions.similarity import ground
+from tessera.functions.similarity import _candidates, ground
 from tessera.operators import retrieve
 from tessera.plans.catalogue import QUERIES
 
@@ -93,3 +93,19 @@ def test_ground_query(spark):
             assert got[r.doc_id] == naive(excerpt, r.text), r.doc_id
             seen.add(got[r.doc_id][0])
     assert "fuzzy" in seen
+
+
+def test_candidates_count_near_words_only():
+    """Letters are counted in the words of windows that are near, not in all of a long text."""
+    counted = []
+
+    class Word(str):
+        def count(self, *args):
+            counted.append(str(self))
+            return super().count(*args)
+
+    want = "one two three four five".split()
+    have = [Word(f"far{i}") for i in range(500)] + [Word(w) for w in "one two other four five".split()] + [Word(f"off{i}") for i in range(500)]
+    near, most = _candidates(want, have, 0.3)
+    assert near.tolist() == [499, 500, 501] and most.argmax() == 1
+    assert set(counted) == {"far499", "one", "two", "other", "four", "five", "off0"}
