@@ -77,7 +77,7 @@ def tokenizer(path: str) -> SegmentEncoder:
         size[i] = len(token.encode()) if token.encode() in added else len(token)  # byte-level: one character for each byte
 
     def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [np.array(tok.encode(t, add_special_tokens=False).ids, np.uint32) for t in texts]  # one block's encoding in memory at a time
+        ids = [np.array(tok.encode_batch_fast([t], add_special_tokens=False)[0].ids, np.uint32) for t in texts]  # without offsets, one block's encoding in memory at a time
         return np.concatenate(ids), np.array([len(x) for x in ids], np.int64)
 
     return SegmentEncoder(encode, size, most=600_000, whole=added)
