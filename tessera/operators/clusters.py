@@ -47,20 +47,34 @@ def common_terms(columns: DataFrame) -> DataFrame:
     return seen.join(n.hint("merge"), "schema").where(F.col("df") >= F.ceil(F.col("n") / 2)).select("schema", "term")
 
 
-def vectors(columns: DataFrame, common: DataFrame) -> DataFrame:
-    """schema, seq, vector (map of feature to weight): TF-IDF of the words that are not common, type, allowed values and domains."""
+def _said(columns: DataFrame, common: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Columns' marks (schema, seq, marks), and their words that are not common (schema, seq, term, freq)."""
     text = F.concat_ws(" ", F.coalesce("name", F.lit("")), F.coalesce("definition", F.lit("")), F.coalesce("rationale", F.lit("")))
     words = F.concat(F.coalesce(name_tokens(F.col("name")), F.array()), text_tokens(F.col("definition")), text_tokens(F.col("rationale")))
     base = columns.select("schema", "seq", words.alias("words"), marks(text, F.col("data_type"), F.col("allowed")).alias("marks"))
-    n = columns.groupBy("schema").agg(F.count(F.lit(1)).alias("n"))
     terms = base.select("schema", "seq", F.explode("words").alias("term")).groupBy("schema", "seq", "term").agg(F.count(F.lit(1)).alias("freq")).join(common.hint("merge"), ["schema", "term"], "left_anti")
-    df = terms.groupBy("schema", "term").agg(F.count(F.lit(1)).alias("df")).join(n.hint("merge"), "schema")
-    weighed = terms.join(df.hint("merge"), ["schema", "term"]).select("schema", "seq", "term", "freq", (F.log(F.col("n") / F.col("df")) + 1).alias("idf"))
-    own = weighed.groupBy("schema", "seq").agg(F.sum("freq").alias("total"), F.sort_array(F.collect_list(F.struct("term", "freq", "idf"))).alias("terms"))
+    return base.select("schema", "seq", "marks"), terms
+
+
+def _idf(n: Column, df: Column) -> Column:
+    return F.log(n / df) + 1
+
+
+def _weighed(base: DataFrame, terms: DataFrame, *idfs: str) -> DataFrame:
+    """schema, seq and, by the name of each idf that ``terms`` has, a map of feature to weight."""
+    own = terms.groupBy("schema", "seq").agg(F.sum("freq").alias("total"), F.sort_array(F.collect_list(F.struct("term", "freq", *idfs))).alias("terms"))
     flags = F.filter(F.transform("marks", lambda w, i: F.struct(F.concat(F.lit("\u0000"), i.cast("string")).alias("key"), w.alias("value"))), lambda e: e["value"] > 0)
-    parts = F.transform("terms", lambda t: F.struct(t["term"].alias("key"), (t["freq"] / F.col("total") * t["idf"]).alias("value")))
+    parts = lambda idf: F.transform("terms", lambda t: F.struct(t["term"].alias("key"), (t["freq"] / F.col("total") * t[idf]).alias("value")))
     none = F.array().cast("array<struct<key:string,value:double>>")
-    return base.join(own.hint("merge"), ["schema", "seq"], "left").select("schema", "seq", F.map_from_entries(F.concat(F.coalesce(parts, none), flags)).alias("vector"))
+    return base.join(own.hint("merge"), ["schema", "seq"], "left").select("schema", "seq", *[F.map_from_entries(F.concat(F.coalesce(parts(idf), none), flags)).alias(idf) for idf in idfs])
+
+
+def vectors(columns: DataFrame, common: DataFrame) -> DataFrame:
+    """schema, seq, vector (map of feature to weight): TF-IDF of the words that are not common, type, allowed values and domains."""
+    base, terms = _said(columns, common)
+    n = columns.groupBy("schema").agg(F.count(F.lit(1)).alias("n"))
+    df = terms.groupBy("schema", "term").agg(F.count(F.lit(1)).alias("df")).join(n.hint("merge"), "schema")
+    return _weighed(base, terms.join(df.hint("merge"), ["schema", "term"]).withColumn("vector", _idf(F.col("n"), F.col("df"))), "vector")
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -209,16 +223,24 @@ def suggest(fresh: DataFrame, columns: DataFrame, found: DataFrame, least: float
     """schema, column, name, score: for each new column the cluster of its schema to whose members it is most similar on average.
 
     ``found`` has schema, nth, name, columns. A column whose best average is not above ``least`` has nulls. Weights are
-    those of the schema with the one new column; words count as common without it.
+    those of the schema with the one new column; words count as common without it. A new column changes a word's weight
+    only by whether it has the word, so that a schema's columns have two vectors, however many new ones there are.
     """
-    new = fresh.select("schema", F.struct("schema", F.col("name").alias("column")).alias("key"), F.lit(-1).cast("long").alias("seq"), "name", "definition", "rationale", "data_type", "allowed")
-    old = columns.select("schema", F.col("seq").cast("long").alias("seq"), "name", "definition", "rationale", "data_type", "allowed")
-    both = new.unionByName(new.select("schema", "key").join(old.hint("merge"), "schema")).withColumn("schema", F.col("key")).drop("key")
-    common = common_terms(both.where("seq >= 0"))
-    found_vectors = _written(vectors(both, common), "vectors")
-    mine = found_vectors.where("seq < 0").select("schema", F.col("vector").alias("own"))
-    scored = found_vectors.where("seq >= 0").join(mine.hint("merge"), "schema").select("schema", "seq", F.round(cosine(F.col("own"), F.col("vector")) * PARTS).cast("long").alias("score"))
-    members = found.select("schema", "nth", F.col("name").alias("cluster"), F.explode("columns").alias("name")).join(old.select("schema", "seq", "name").hint("merge"), ["schema", "name"]).select(F.col("schema").alias("of"), "nth", "cluster", "seq")
-    averages = scored.join(members.hint("merge"), (F.col("schema.schema") == F.col("of")) & (scored.seq == members.seq)).groupBy("schema", "nth", "cluster").agg((F.sum("score") / F.count(F.lit(1)) / PARTS).alias("score")).where(F.col("score") > least)
-    best = averages.groupBy("schema").agg(F.max_by(F.struct("cluster", "score"), F.struct("score", -F.col("nth"))).alias("b"))
-    return new.select(F.col("key").alias("schema")).join(best.hint("merge"), "schema", "left").select("schema.schema", "schema.column", F.col("b.cluster").alias("name"), F.col("b.score").alias("score"))
+    new = fresh.select("schema", F.struct(F.col("name").alias("column")).alias("seq"), "name", "definition", "rationale", "data_type", "allowed")
+    old = _written(columns.select("schema", F.col("seq").cast("long").alias("seq"), "name", "definition", "rationale", "data_type", "allowed"), "columns")
+    common = common_terms(old)
+    n = old.groupBy("schema").agg((F.count(F.lit(1)) + 1).alias("n"))
+    base, terms = _said(old, common)
+    df = terms.groupBy("schema", "term").agg(F.count(F.lit(1)).alias("df"))
+    known = terms.join(df.join(n.hint("merge"), "schema").hint("merge"), ["schema", "term"])
+    theirs = _weighed(base, known.withColumn("without", _idf(F.col("n"), F.col("df"))).withColumn("with", _idf(F.col("n"), F.col("df") + 1)), "without", "with")
+    base, terms = _said(new, common)
+    asked = terms.join(df.hint("merge"), ["schema", "term"], "left").join(n.hint("merge"), "schema")
+    mine = _weighed(base, asked.withColumn("own", _idf(F.col("n"), F.coalesce("df", F.lit(0)) + 1)), "own").withColumnRenamed("seq", "key")
+    members = found.select("schema", "nth", F.col("name").alias("cluster"), F.explode("columns").alias("name")).join(old.select("schema", "seq", "name").hint("merge"), ["schema", "name"]).select("schema", "nth", "cluster", "seq")
+    met = _written(members.join(theirs.hint("merge"), ["schema", "seq"]), "vectors").join(_written(mine, "vectors").hint("merge"), "schema")
+    weights = F.transform_values("without", lambda k, w: F.when(F.map_contains_key("own", k), F.element_at("with", k)).otherwise(w))
+    scored = met.select("schema", "key", "nth", "cluster", F.round(bound(weights, lambda v: cosine(F.col("own"), v)) * PARTS).cast("long").alias("score"))
+    averages = scored.groupBy("schema", "key", "nth", "cluster").agg((F.sum("score") / F.count(F.lit(1)) / PARTS).alias("score")).where(F.col("score") > least)
+    best = averages.groupBy("schema", "key").agg(F.max_by(F.struct("cluster", "score"), F.struct("score", -F.col("nth"))).alias("b"))
+    return new.select("schema", F.col("seq").alias("key")).join(best.hint("merge"), ["schema", "key"], "left").select("schema", "key.column", F.col("b.cluster").alias("name"), F.col("b.score").alias("score"))

@@ -7,6 +7,8 @@ from tessera.plans.registry import query
 
 #: A schema is forty consecutive parts of one brand; its number grows with the table.
 BLOCK = 1000
+#: Parts of the schemas that each meet all nations.
+SHARES = 64
 
 
 def columns_of(part):
@@ -36,8 +38,19 @@ def _(part):
 
 @query("sim_20_suggested_cluster", "part supplier")
 def _(part, supplier):
-    """For each brand and supplier nation a new column, and the cluster it fits."""
+    """For each schema of a brand a new column, one more for each nation of suppliers, and the cluster that each fits.
+
+    The new column has the word and type of the schema's first part; a nation's has the type of the part that its number
+    points to. In order of schemas, the schema's own column after those of nations.
+    """
     rows = columns_of(part)
-    schemas = rows.groupBy("schema").agg(F.min("seq").alias("first"))
-    fresh = schemas.join(part.hint("merge"), F.col("p_partkey") == F.col("first")).select("schema", F.concat(F.lit("new_"), F.element_at(F.split("p_name", " "), -1)).alias("name"), F.col("p_type").alias("definition"), F.lit(None).cast("string").alias("rationale"), F.lit("number").alias("data_type"), F.lit(None).cast("array<string>").alias("allowed"))
-    return clusters.suggest(fresh, rows, clusters.clusters(rows)).withColumn("score", F.round("score", 9))
+    own = rows.select("schema", "seq").join(part.hint("merge"), F.col("p_partkey") == F.col("seq"))
+    schemas = own.groupBy("schema").agg(F.sort_array(F.collect_list(F.struct("seq", "p_name", "p_type"))).alias("parts"))
+    nations = supplier.where("s_nationkey is not null").select(F.col("s_nationkey").alias("nation")).distinct()
+    # every schema meets every nation: schemas are dealt to shares, and each share has all nations
+    dealt = schemas.withColumn("share", F.pmod(F.xxhash64("schema"), F.lit(SHARES)).cast("int"))
+    met = dealt.join(nations.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))).hint("merge"), "share").drop("share")
+    word = F.element_at(F.split(F.get("parts", F.lit(0))["p_name"], " "), -1)
+    asked = schemas.select("*", F.concat(F.lit("new_"), word).alias("name"), F.lit(0).alias("at")).unionByName(met.select("schema", "parts", F.concat(F.lit("new_"), word, F.lit("_nation_"), "nation").alias("name"), F.pmod("nation", F.size("parts")).alias("at")))
+    fresh = asked.select("schema", "name", F.get("parts", "at")["p_type"].alias("definition"), F.lit(None).cast("string").alias("rationale"), F.lit("number").alias("data_type"), F.lit(None).cast("array<string>").alias("allowed"))
+    return clusters.suggest(fresh, rows, clusters.clusters(rows)).withColumn("score", F.round("score", 9)).orderBy("schema", F.desc("column"))

@@ -168,6 +168,32 @@ def test_suggested_cluster(spark, schemas):
         assert best is None and got[s][2] is None or abs(got[s][2] - at) < 1e-8
 
 
+def test_suggested_cluster_of_every_nation(spark, schemas):
+    """Every schema has a new column for each nation of suppliers, and its own; all of them as plain Python suggests."""
+    parts = {r.p_partkey: r for r in spark.read.parquet(f"{SF}/part.parquet").collect()}
+    nations = {r.s_nationkey for r in spark.read.parquet(f"{SF}/supplier.parquet").collect()} - {None}
+    got = {(r.schema, r.column): (r.name, r.score) for r in QUERIES["sim_20_suggested_cluster"](spark, SF).collect()}
+    asked, best_of = 0, {}
+    for s, own in schemas.items():
+        common, found = common_of(own), brute_clusters(own)
+        word = parts[own[0].seq].p_name.split(" ")[-1]
+        for nation in [None, *nations]:
+            name = f"new_{word}" if nation is None else f"new_{word}_nation_{nation}"
+            p = parts[own[0 if nation is None else nation % len(own)].seq]
+            v = features([*own, type(own[0])(schema=s, seq=-1, name=name, definition=p.p_type, rationale=None, data_type="number", allowed=None)], common)
+            score = {c.name: round(cosine(v[-1], x) * 10**12) for c, x in zip(own, v)}
+            best, at = None, 0.3
+            for cluster, members, _ in found:
+                average = sum(score[m] for m in members) / len(members) / 10**12
+                if average > at:
+                    best, at = cluster, average
+            asked += 1
+            best_of.setdefault(s, set()).add(best)
+            assert got[s, name][0] == best
+            assert best is None and got[s, name][1] is None or abs(got[s, name][1] - at) < 1e-8
+    assert len(got) == asked == len(schemas) * (len(nations) + 1) and any(len(b) > 1 for b in best_of.values())
+
+
 def test_joins_of_columns_go_around_the_driver(spark, monkeypatch):
     """Spark takes columns that compress well for small; no join may send them through the driver."""
     plans, written = [], clusters._written
