@@ -154,3 +154,65 @@ def test_alike_contents_by_brute_force():
             assert mine == set(want)
         else:
             assert set().union(*(want[y] for y in mine)) == set().union(*want.values())
+
+
+def test_source_behind_many_that_seem_alike(make):
+    """Three hundred documents have a passage of 50 words with two words of their own, 40 of its 46 shingles; behind them one has all of it, and a last one too: its source is found."""
+    rng = random.Random(3)
+    rows = []
+    for g in range(5):
+        passage = [f"p{rng.randrange(10**9)}" for _ in range(50)]
+        for v in range(302):
+            body = list(passage)
+            if v < 300:
+                body[rng.choice([0, 49])] = body[rng.randrange(5, 45)] = f"e{rng.randrange(10**9)}"
+            around = [f"f{rng.randrange(10**9)}" for _ in range(50)]
+            rows.append((1000 * g + v, " ".join([*around[:25], *body, *around[25:]])))
+    out = {r.doc_id: r for r in windows.passage_dedup(make(rows)).collect()}
+    for g in range(5):
+        assert out[1000 * g + 301].partners == [1000 * g + 300], g
+        assert [(s.first_word, s.last_word) for s in out[1000 * g + 301].spans] == [(25, 75)], g
+
+
+def test_proved_by_brute_force():
+    """In a large group proved places are those that 41 of 46 shingles hold place by place, and all that an earlier window proves lies in what is given."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**32, 91, dtype=np.uint32)
+    rows, doc, size, left = [], [], [], []
+    for d in range(150):
+        own = base.copy()
+        for e in rng.integers(0, 91, rng.integers(0, 4)):
+            own[e : e + 5] = rng.integers(0, 2**32, len(own[e : e + 5]), dtype=np.uint32)
+        own[45] = base[45]
+        a, b = [(0, 91), (0, 60), (20, 91), (20, 70), (45, 91)][rng.integers(5)]
+        rows.append(own[a:b]), doc.append(d // 2), size.append(b - a), left.append(45 - a)
+    size, left, doc, codes = np.array(size), np.array(left), np.array(doc), np.concatenate(rows)
+    at = np.cumsum(size) - size
+    w = windows.Held(at, size, windows.slot(codes, 8), left, codes, at)
+    a, b, first, last, _ = windows.compared(np.ones(150, np.uint64), doc, w)
+    full = [dict(zip(range(45 - x, 45 - x + y), r.tolist())) for x, y, r in zip(left.tolist(), size.tolist(), rows)]
+
+    def places(x, y):
+        hit = [p in full[x] and full[x][p] == full[y].get(p) for p in range(91)]
+        out = set()
+        for p in range(46):
+            if p in full[x] and p + 45 in full[x] and p in full[y] and p + 45 in full[y] and sum(hit[p : p + 46]) >= 41:
+                own = [q for q in range(p, p + 46) if hit[q]]
+                out |= set(range(own[0], own[-1] + 1))
+        return out
+
+    given = {}
+    for x, y, i, j in zip(a.tolist(), b.tolist(), first.tolist(), last.tolist()):
+        if j >= 0:
+            assert set(range(i, j + 1)) == places(x, y)
+            given.setdefault(x, set()).update(range(i, j + 1))
+    for x in range(150):
+        assert given.get(x, set()) == set().union(*(places(x, y) for y in range(x) if doc[y] != doc[x]))
+
+
+def test_needed_with_proved_parts():
+    """Partners whose proved parts others hold are not asked, and stretches of one partner that touch count as one."""
+    proved = windows.SURE + windows.COPY + windows.PROVED
+    rows = [(9, 1, proved, 0, 50, 20), (9, 1, proved, 51, 99, 70), (9, 2, proved, 0, 60, 20), (9, 3, proved, 40, 99, 70), (9, 2, windows.SURE + windows.SPARE, 0, 80, 20), (9, 4, windows.SURE, 80, 120, 100), (9, 1, windows.SURE + windows.SPARE, 0, 99, 20)]
+    member, partner, k, i, j, c = (np.array(x) for x in zip(*rows))
+    assert windows.needed(member, partner, k, i, j, c).tolist() == [True, True, False, False, False, True, True]
