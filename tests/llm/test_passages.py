@@ -216,3 +216,21 @@ def test_needed_with_proved_parts():
     rows = [(9, 1, proved, 0, 50, 20), (9, 1, proved, 51, 99, 70), (9, 2, proved, 0, 60, 20), (9, 3, proved, 40, 99, 70), (9, 2, windows.SURE + windows.SPARE, 0, 80, 20), (9, 4, windows.SURE, 80, 120, 100), (9, 1, windows.SURE + windows.SPARE, 0, 99, 20)]
     member, partner, k, i, j, c = (np.array(x) for x in zip(*rows))
     assert windows.needed(member, partner, k, i, j, c).tolist() == [True, True, False, False, False, True, True]
+
+
+def test_runs_of_one_word(make):
+    """A word over and over is found in whoever says it often; what stands beside it is found behind many that only say it."""
+    rng = random.Random(8)
+    passage = [f"p{rng.randrange(10**9)}" for _ in range(60)]
+    rows = []
+    for d in range(150):
+        body = ["na"] * rng.randint(60, 90) + (passage if d in (140, 149) else [])
+        rows.append((d, " ".join([*[f"f{rng.randrange(10**9)}" for _ in range(20)], *body, *[f"f{rng.randrange(10**9)}" for _ in range(20)]])))
+    out = {r.doc_id: r for r in windows.passage_dedup(make(rows)).collect()}
+    words = {d: t.split() for d, t in rows}
+    for d in range(1, 150):
+        kept = set(range(len(words[d])))
+        for s in out[d].spans:
+            kept -= set(range(s.first_word, s.last_word))
+        assert not any(words[d][i] == "na" for i in kept), d
+    assert not any(words[149][i] in passage for i in kept) and 140 in out[149].partners and not out[0].spans
